@@ -21,17 +21,22 @@ def fields(line: Column, mark: str) -> Column:
     return F.split(line, "\\" + mark if mark in "|.*+?^$()[]{}" else mark)
 
 
+def characters(line: Column) -> Column:
+    return F.split(line, "")
+
+
 def permute_characters(line: Column, seed: int) -> Column:
     """A pseudo-random permutation of the characters of ``line``.
 
     The order is a function of text, position and seed only, so a retried task
     produces the same string again.
     """
-    chars = F.filter(F.split(line, ""), lambda c: c != "")
-    keyed = F.transform(chars, lambda c, i: F.struct(F.xxhash64(i, line, F.lit(seed)).alias("k"), i.alias("i"), c.alias("c")))
-    return F.array_join(F.transform(F.array_sort(keyed), lambda s: s["c"]), "")
+    keyed = lambda h: F.transform(characters(line), lambda c, i: F.struct(F.xxhash64(i, h).alias("k"), c.alias("c")))
+    # the one-element array binds the hash of the line, which is then computed once per row
+    bound = F.element_at(F.transform(F.array(F.xxhash64(line, F.lit(seed))), keyed), 1)
+    return F.array_join(F.transform(F.sort_array(bound), lambda s: s["c"]), "")
 
 
 def sorted_characters(line: Column) -> Column:
     """The characters of ``line`` in byte order: equal for all permutations."""
-    return F.array_join(F.array_sort(F.filter(F.split(line, ""), lambda c: c != "")), "")
+    return F.array_join(F.sort_array(characters(line)), "")

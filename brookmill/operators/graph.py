@@ -28,11 +28,6 @@ def spread_edges(edges: DataFrame, partitions: int) -> DataFrame:
     return edges.repartition(partitions, "src", "dst")
 
 
-def _heavy_or_none(counts: DataFrame, key: str, weight: str) -> DataFrame | None:
-    heavy = cut_lineage(heavy_keys(counts, key, weight))  # at most HEAVY_SHARE rows
-    return None if heavy.isEmpty() else heavy
-
-
 class _Links:
     """Edges with the share of the source rank each one carries, placed once by source.
 
@@ -41,8 +36,9 @@ class _Links:
     """
 
     def __init__(self, weighted: DataFrame):
-        out = weighted.groupBy("src").agg(F.sum("w").alias("out"), F.count(F.lit(1)).alias("n"))
-        self.heavy = _heavy_or_none(out, "src", "n")
+        weighted = cut_lineage(weighted)
+        out = cut_lineage(weighted.groupBy("src").agg(F.sum("w").alias("out"), F.count(F.lit(1)).alias("n")))
+        self.heavy = heavy_keys(out, "src", "n")
         links = weighted.join(out.drop("n"), "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share"))
         place = ["src"]
         if self.heavy is not None:
@@ -108,18 +104,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     def step(e: DataFrame, _: int) -> DataFrame:
         # every larger neighbour of a vertex moves to the smallest id around it
-        seen = e.select("lo", F.col("lo").alias("to")).unionByName(
-            e.select(F.col("hi").alias("lo"), F.col("lo").alias("to"))
+        around = e.select("lo", F.col("lo").alias("to"), F.lit(1).alias("one")).unionByName(
+            e.select(F.col("hi").alias("lo"), F.col("lo").alias("to"), F.lit(0).alias("one"))
         )
-        low = seen.groupBy("lo").agg(F.min("to").alias("m"))
-        centre_load = _heavy_or_none(e.groupBy("lo").agg(F.count(F.lit(1)).alias("n")), "lo", "n")
-        large = skew_join(e, low, "lo", centre_load, [F.col("hi")])
-        e = cut_lineage(large.select("hi", F.col("m").alias("lo")).distinct())
+        low = cut_lineage(around.groupBy("lo").agg(F.min("to").alias("m"), F.sum("one").alias("n")))
+        crowded = heavy_keys(low, "lo", "n")
+        moved = skew_join(e, low.select("lo", "m"), "lo", crowded, [F.col("hi")])
+        e = cut_lineage(moved.select("hi", F.col("m").alias("lo")).distinct())
         # the smaller neighbours of a vertex, and the vertex itself, move to their minimum
-        low = e.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("n"))
-        leaf_load = _heavy_or_none(low.select("hi", "n"), "hi", "n")
-        low = low.drop("n")
-        moved = skew_join(e, low, "hi", leaf_load, [F.col("lo")]).filter(F.col("lo") != F.col("m"))
+        low = cut_lineage(e.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("n")))
+        crowded = heavy_keys(low, "hi", "n")
+        low = low.select("hi", "m")
+        moved = skew_join(e, low, "hi", crowded, [F.col("lo")]).filter(F.col("lo") != F.col("m"))
         return moved.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(
             low.select("hi", F.col("m").alias("lo"))
         ).distinct()
@@ -151,7 +147,7 @@ def triangle_count(edges: DataFrame) -> DataFrame:
     simple = cut_lineage(canonical(edges))
     degree = simple.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("deg"))
     degree = cut_lineage(degree)
-    busy = _heavy_or_none(degree, "id", "deg")
+    busy = heavy_keys(degree, "id", "deg")
     ends = skew_join(
         simple.withColumnRenamed("src", "id"), degree, "id", busy, [F.col("dst")]
     ).select(F.col("id").alias("a"), F.col("deg").alias("da"), F.col("dst").alias("id"))
@@ -161,7 +157,7 @@ def triangle_count(edges: DataFrame) -> DataFrame:
         ends.select(F.when(forward, F.col("a")).otherwise(F.col("b")).alias("u"),
                     F.when(forward, F.col("b")).otherwise(F.col("a")).alias("v"))
     )
-    fan_in = _heavy_or_none(arcs.groupBy("v").agg(F.count(F.lit(1)).alias("n")), "v", "n")
+    fan_in = heavy_keys(cut_lineage(arcs.groupBy("v").agg(F.count(F.lit(1)).alias("n"))), "v", "n")
     onward = arcs.select(F.col("u").alias("v"), F.col("v").alias("w"))
     paths = skew_join(arcs, onward, "v", fan_in, [F.col("u")])
     closing = arcs.select("u", F.col("v").alias("w"))

@@ -57,7 +57,7 @@ def batch_sums(df: DataFrame, columns: Sequence[str], fold: Callable[..., dict[i
         .groupBy("grp", "dim")
         .agg(F.sum("x").alias("x"))
         .groupBy("grp")  # d numbers per group from here on
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("sums"))
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("sums"))
     )
 
 

@@ -7,17 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 # a key is heavy when it holds more than 1/HEAVY_SHARE of the rows, so there can never
-# be more than HEAVY_SHARE heavy keys: that is the size bound of the broadcast below
+# be more than HEAVY_SHARE heavy keys: that is the size bound of the broadcasts below
 HEAVY_SHARE = 256
+# a key with fewer rows than this fits one task whatever its share
+HEAVY_ROWS = 200_000
 MAX_SALTS = 64
 
 
-def heavy_keys(counts: DataFrame, key: str, weight: str) -> DataFrame:
-    """``(key, salts)`` for the at most ``HEAVY_SHARE`` keys above the share."""
-    total = counts.agg(F.sum(weight).alias("_total")).first()["_total"] or 0
-    floor = max(total // HEAVY_SHARE, 1)
+def heavy_keys(counts: DataFrame, key: str, weight: str) -> DataFrame | None:
+    """``(key, salts)`` for the at most ``HEAVY_SHARE`` keys that need splitting, or None.
+
+    ``counts`` (one row per key) should be materialised: it is read twice when heavy
+    keys exist and once when not. Two numbers reach the driver.
+    """
+    seen = counts.agg(F.sum(weight).alias("total"), F.max(weight).alias("top")).first()
+    floor = max((seen["total"] or 0) // HEAVY_SHARE, HEAVY_ROWS)
+    if (seen["top"] or 0) <= floor:
+        return None
     return counts.filter(F.col(weight) > floor).select(
-        key, F.least(F.ceil(F.col(weight) / floor), F.lit(MAX_SALTS)).cast("int").alias("salts")
+        key, F.least(F.ceil(F.col(weight) / floor) * 2, F.lit(MAX_SALTS)).cast("int").alias("salts")
     )
 
 

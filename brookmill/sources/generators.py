@@ -52,7 +52,7 @@ def text_lines(parts: DataFrame, vocabulary: DataFrame, bytes_per_part: int, see
         F.col("before") <= LINE_BYTES
     )
     built = used.groupBy("part", "line").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda s: s["word"]), " ").alias("value")
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "word"))), lambda s: s["word"]), " ").alias("value")
     )
     earlier = W.partitionBy("part").orderBy("line").rowsBetween(W.unboundedPreceding, -1)
     return (
