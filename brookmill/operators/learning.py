@@ -120,7 +120,8 @@ def kmeans_naive(
 def assign_clusters(points: DataFrame, features: str, centres: np.ndarray) -> DataFrame:
     """Add ``cluster`` and ``dist`` (squared) of the nearest centre to each point."""
     centres = np.asarray(centres, dtype=float)
-    at = points.columns.index(features)
+    names = points.columns
+    at = names.index(features)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields)
 
     def run(batches):
@@ -129,7 +130,7 @@ def assign_clusters(points: DataFrame, features: str, centres: np.ndarray) -> Da
             best, dist = _assign(matrix, centres) if len(matrix) else (np.empty(0), np.empty(0))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(best.astype(np.int32)), pa.array(dist)],
-                [*points.columns, "cluster", "dist"],
+                [*names, "cluster", "dist"],
             )
 
     return points.mapInArrow(run, schema + ", cluster int, dist double")

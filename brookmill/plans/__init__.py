@@ -3,7 +3,7 @@ ANSI SQL that states the same question."""
 
 from __future__ import annotations
 
-from . import graph_queries, learning_queries, mileage_queries, record_queries, text_queries  # noqa: F401
+from . import graph_queries, learning_queries, mileage_queries, record_queries, telemetry_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
