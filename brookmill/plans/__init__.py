@@ -3,7 +3,16 @@ ANSI SQL that states the same question."""
 
 from __future__ import annotations
 
-from . import graph_queries, learning_queries, mileage_queries, record_queries, telemetry_queries, text_queries  # noqa: F401
+from . import (  # noqa: F401
+    generator_queries,
+    graph_queries,
+    learning_queries,
+    mileage_queries,
+    pageview_queries,
+    record_queries,
+    telemetry_queries,
+    text_queries,
+)
 from .registry import ORACLES, QUERIES
 
 

@@ -477,8 +477,8 @@ _DAYS = """days AS (SELECT event_type AS stage, CAST(floor(epoch(ts) / 86400) AS
 
 @query(
     "samples_in_intervals",
-    f"""WITH {_DAYS}, p AS (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS at FROM events)
-SELECT event_id, stage, day FROM p JOIN days ON at BETWEEN "from" AND "to\"""",
+    f"""WITH {_DAYS}, p AS (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events)
+SELECT event_id, stage, day FROM p JOIN days ON p.sec >= days."from" AND p.sec <= days."to" """,
 )
 def samples_in_intervals(spark, sf_dir):
     """Row-level range join: events inside the daily activity interval of each type."""

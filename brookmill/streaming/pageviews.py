@@ -73,6 +73,16 @@ def error_rates(
     return out.withColumn("is_alert", shown > limit).withColumn("mark", F.when(F.col("is_alert"), "**").otherwise(""))
 
 
+# fixed values: seconds per interval unit
+UNIT_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
+
+
+def interval_seconds(text: str) -> int:
+    """``'15 seconds'`` -> 15, ``'2 hours'`` -> 7200."""
+    count, unit = text.split()
+    return int(count) * UNIT_SECONDS[unit.rstrip("s")]
+
+
 def active_users(views: DataFrame, length: str = "15 seconds", slide: str = "2 seconds") -> DataFrame:
     """Distinct users in each sliding window, exactly, in two keyed steps.
 
@@ -83,7 +93,9 @@ def active_users(views: DataFrame, length: str = "15 seconds", slide: str = "2 s
     seen = views.groupBy(F.window("ts", length, slide).alias("window"), "user_id").agg(F.count(F.lit(1)).alias("_n"))
     if not views.isStreaming:
         return seen.groupBy("window").agg(F.count(F.lit(1)).alias("users"))
-    closed = F.window(F.window_time("window"), slide)
+    # one slot per window end: slots are shifted so that they close together with the window
+    shift = interval_seconds(length) % interval_seconds(slide)
+    closed = F.window(F.window_time("window"), slide, slide, f"{shift} seconds")
     return seen.groupBy(closed.alias("closed")).agg(F.count(F.lit(1)).alias("users"), F.first("window").alias("window")).drop("closed")
 
 
