@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+# fixed values: what the pattern \s matches
+WHITE_SPACE = " \t\n\x0b\f\r"
+
+
 def tokens(line: Column) -> Column:
     """Split on runs of white space the way ``java.lang.String.split`` does.
 
     A leading empty token is kept, trailing empty tokens are dropped, an empty line
-    gives one empty token and an all-blank line gives none.
+    gives one empty token and an all-blank line gives none. Trailing blanks are cut
+    without a pattern, so each line is scanned by one regular expression only.
     """
-    return F.when(line.rlike(r"^\s+$"), F.array().cast("array<string>")).otherwise(
-        F.split(F.regexp_replace(line, r"\s+$", ""), r"\s+")
-    )
+    body = F.rtrim(line, F.lit(WHITE_SPACE))
+    blank = (body == "") & (line != "")
+    return F.when(blank, F.array().cast("array<string>")).otherwise(F.split(body, r"\s+"))
 
 
 def fields(line: Column, mark: str) -> Column:
@@ -29,12 +34,20 @@ def permute_characters(line: Column, seed: int) -> Column:
     """A pseudo-random permutation of the characters of ``line``.
 
     The order is a function of text, position and seed only, so a retried task
-    produces the same string again.
+    produces the same string again. Each sort key packs 33 hash bits above the position,
+    which keeps the sort on plain numbers.
     """
-    keyed = lambda h: F.transform(characters(line), lambda c, i: F.struct(F.xxhash64(i, h).alias("k"), c.alias("c")))
-    # the one-element array binds the hash of the line, which is then computed once per row
-    bound = F.element_at(F.transform(F.array(F.xxhash64(line, F.lit(seed))), keyed), 1)
-    return F.array_join(F.transform(F.sort_array(bound), lambda s: s["c"]), "")
+    position_bits = 31
+
+    def arranged(row: Column) -> Column:
+        key = lambda c, i: F.shiftleft(F.xxhash64(i, row["hash"]), position_bits).bitwiseOR(i.cast("bigint"))
+        place = lambda k: k.bitwiseAND(F.lit((1 << position_bits) - 1)).cast("int")
+        keys = F.sort_array(F.transform(row["chars"], key))
+        return F.array_join(F.transform(keys, lambda k: F.get(row["chars"], place(k))), "")
+
+    # the one-element array binds characters and line hash, which are then computed once
+    row = F.struct(characters(line).alias("chars"), F.xxhash64(line, F.lit(seed)).alias("hash"))
+    return F.element_at(F.transform(F.array(row), arranged), 1)
 
 
 def sorted_characters(line: Column) -> Column:

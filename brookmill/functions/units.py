@@ -11,8 +11,13 @@ def epoch_ms(ts: Column) -> Column:
 
 
 def instant(ts: Column) -> Column:
-    """A zone-less timestamp read as UTC, as a ``timestamp`` (event time needs one)."""
-    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), ts.cast("timestamp_ntz")).cast("timestamp")
+    """A zone-less timestamp read as UTC, as a ``timestamp`` (event time needs one).
+
+    In a UTC session this folds to a plain cast; elsewhere the wall clock is shifted first.
+    """
+    wall = ts.cast("timestamp_ntz")
+    shifted = F.convert_timezone(F.lit("UTC"), F.current_timezone(), wall)
+    return F.when(F.current_timezone() == "UTC", wall.cast("timestamp")).otherwise(shifted.cast("timestamp"))
 
 
 def whole(numerator: Column, denominator: Column | int) -> Column:

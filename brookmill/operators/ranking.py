@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -12,8 +12,11 @@ from ..session import cut_lineage
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
-def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position") -> DataFrame:
-    """1-based rank of each row within ``keys`` (or in the whole table when empty).
+def rank_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position", size: str | None = None
+) -> DataFrame:
+    """1-based rank of each row within ``keys`` (or in the whole table when empty), and the
+    number of rows of its group as ``size`` if that is named.
 
     Rows are range-partitioned and sorted once; a rank is then the row's offset in its
     own partition plus the number of rows of that group in earlier partitions. The
@@ -29,8 +32,10 @@ def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: st
         placed.groupBy("_pid", *keys)
         .agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .drop("_n")
     )
+    if size:
+        offsets = offsets.withColumn(size, F.sum("_n").over(W.partitionBy(*keys)))
+    offsets = offsets.drop("_n")
     if not keys:
         offsets = F.broadcast(offsets)  # one row per partition of the sort
     joined = placed.join(offsets, ["_pid", *keys])
@@ -39,62 +44,70 @@ def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: st
     )
 
 
-def value_runs(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Distinct values per group with how many rows hold them and how many precede.
+def order_statistics(
+    df: DataFrame, keys: Sequence[str], value: str, picks: dict[str, Callable[[Column], Column]]
+) -> DataFrame:
+    """Exact values at sorted positions of each group: keys and one column per pick.
 
-    Columns: keys, value, ``copies``, ``before`` (rows with a smaller value), ``total``.
-    Rows are first folded to distinct values (map-side combined). The running count is
-    taken in two levels over logarithmic value buckets, so one huge group is ranked by
-    as many tasks as it has buckets; a group has at most a few thousand buckets.
+    A pick maps the group's row count to a 0-based position. First only counts per
+    logarithmic value bucket are shuffled (at most a few thousand per group, map-side
+    combined); they tell which bucket holds each position. Then only the rows of those
+    buckets are folded to distinct values and counted through. One huge group is thus
+    shared out by value, and most rows are never moved.
     """
     keys = list(keys)
-    runs = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("copies"))
     number = F.col(value).cast("double")
-    runs = runs.withColumn("_b", F.floor(F.signum(number) * F.log2(F.abs(number) + 1.0) * 32).cast("int"))
-    prior = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    buckets = (
-        runs.groupBy(*keys, "_b")
-        .agg(F.sum("copies").alias("_n"))
-        .withColumn("_base", F.coalesce(F.sum("_n").over(prior), F.lit(0)))
-        .withColumn("total", F.sum("_n").over(W.partitionBy(*keys)))
-        .drop("_n")
+    bucket = F.floor(F.signum(number) * F.log2(F.abs(number) + 1.0) * 32).cast("int")
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, value, bucket.alias("_b"))
+    group = W.partitionBy(*keys)
+    sizes = (
+        rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_base", F.coalesce(F.sum("_n").over(group.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("_total", F.sum("_n").over(group))
     )
-    inside = W.partitionBy(*keys, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    return (
-        runs.withColumn("_in", F.coalesce(F.sum("copies").over(inside), F.lit(0)))
-        .join(buckets, [*keys, "_b"])
-        .withColumn("before", F.col("_base") + F.col("_in"))
-        .select(*keys, value, "copies", "before", "total")
+    spots = F.array(*[F.struct(F.lit(n).alias("name"), pick(F.col("_total")).cast("bigint").alias("at")) for n, pick in picks.items()])
+    wanted = (
+        sizes.withColumn("_spot", F.explode(spots))
+        .filter((F.col("_spot.at") >= F.col("_base")) & (F.col("_spot.at") < F.col("_base") + F.col("_n")))
+        .select(*keys, "_b", F.col("_spot.name").alias("_name"), (F.col("_spot.at") - F.col("_base")).alias("_at"))
     )
+    wanted = cut_lineage(wanted)  # one row per group and pick, used twice
+    near = rows.join(wanted.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi")
+    folded = near.groupBy(*keys, "_b", value).agg(F.count(F.lit(1)).alias("_copies"))
+    inside = W.partitionBy(*keys, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    counted = folded.withColumn("_before", F.coalesce(F.sum("_copies").over(inside), F.lit(0)))
+    hit = (F.col("_at") >= F.col("_before")) & (F.col("_at") < F.col("_before") + F.col("_copies"))
+    found = counted.join(wanted, [*keys, "_b"]).filter(hit)
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, F.col(value))).alias(n) for n in picks])
 
 
-def value_at(value: str, position: Column) -> Column:
-    """Aggregate over :func:`value_runs`: the value at a 0-based sorted position."""
-    here = (F.col("before") <= position) & (position < F.col("before") + F.col("copies"))
-    return F.max(F.when(here, F.col(value)))
+def index_pick(p: float) -> Callable[[Column], Column]:
+    """The position of ``sorted[floor(n * p)]``."""
+    return lambda n: F.floor(n * F.lit(p))
 
 
-def index_percentile(value: str, p: float) -> Column:
-    """``sorted[floor(n * p)]`` as an aggregate over :func:`value_runs`."""
-    return value_at(value, F.floor(F.col("total") * F.lit(p)))
+def interpolated_percentiles(df: DataFrame, keys: Sequence[str], value: str, percents: dict[str, float]) -> DataFrame:
+    """Percentiles by the ``p (n + 1)`` rule: linear interpolation between neighbours,
+    clamped to the smallest and largest value."""
+    keys = list(keys)
+    spot = lambda n, p: n.cast("double") * p + p
+    low = lambda p: lambda n: F.least(F.greatest(F.floor(spot(n, p)), F.lit(1)), n) - 1
+    high = lambda p: lambda n: F.least(F.greatest(F.floor(spot(n, p)), F.lit(1)), n - 1)
+    picks = {f"{name}_low": low(p) for name, p in percents.items()} | {f"{name}_high": high(p) for name, p in percents.items()}
+    found = order_statistics(df, keys, value, picks)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    n = F.col("_n")
 
+    def estimate(name: str, p: float) -> Column:
+        at = spot(n, p)
+        share = F.when((at < 1) | (at >= n), 0.0).otherwise(at - F.floor(at))
+        return F.col(f"{name}_low") + share * (F.coalesce(F.col(f"{name}_high"), F.col(f"{name}_low")) - F.col(f"{name}_low"))
 
-def interpolated_percentile(value: str, p: float) -> Column:
-    """The ``p (n + 1)`` percentile estimate with linear interpolation, clamped to the
-    smallest and largest value; an aggregate over :func:`value_runs`."""
-    pos = F.col("total").cast("double") * p + p
-    base = F.least(F.greatest(F.floor(pos), F.lit(1)), F.col("total"))
-    low = value_at(value, base - 1)
-    high = value_at(value, F.least(base, F.col("total") - 1))
-    frac = F.max(F.when(pos < 1, 0.0).when(pos >= F.col("total"), 0.0).otherwise(pos - F.floor(pos)))
-    return low + frac * (high - low)
+    return found.join(counts, keys).select(*keys, *[estimate(name, p).alias(name) for name, p in percents.items()])
 
 
 def trim_ranks(df: DataFrame, keys: Sequence[str], order: Sequence[str], percent: int) -> DataFrame:
     """Keep the 0-based ranks ``n*p/100 .. n*(100-p)/100``, both ends included."""
-    keys = list(keys)
-    ranked = rank_rows(df, keys, order, "_rank").withColumn("_rank", F.col("_rank") - 1)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    low = whole(F.col("_n") * percent, 100)
-    high = whole(F.col("_n") * (100 - percent), 100)
-    return ranked.join(sizes, keys).filter(F.col("_rank").between(low, high)).drop("_rank", "_n")
+    ranked = rank_rows(df, keys, order, "_rank", "_size")
+    low, high = whole(F.col("_size") * percent, 100), whole(F.col("_size") * (100 - percent), 100)
+    return ranked.filter((F.col("_rank") - 1).between(low, high)).drop("_rank", "_size")

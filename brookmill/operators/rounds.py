@@ -25,21 +25,3 @@ def iterate(
         if cut_every and (i + 1) % cut_every == 0 and i + 1 < rounds:
             state = cut_lineage(state)
     return state
-
-
-def iterate_until(
-    state: DataFrame,
-    step: Callable[[DataFrame, int], DataFrame],
-    done: Callable[[DataFrame], bool],
-    max_rounds: int = 200,
-) -> DataFrame:
-    """Apply ``step`` until ``done(state)``; the test needs an action, so every round
-    is materialised first and evaluated once."""
-    state = cut_lineage(state)
-    for i in range(max_rounds):
-        if done(state):
-            return state
-        state = cut_lineage(step(state, i))
-    if done(state):
-        return state
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds")

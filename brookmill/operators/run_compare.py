@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.student import t_p_value, t_quantile
 from ..functions.units import bytes_to_mb, ms_to_s, whole
-from .ranking import interpolated_percentile, value_runs
+from .ranking import interpolated_percentiles
 from .run_stats import KEY, real_jobs
 
 
@@ -24,9 +24,7 @@ def runtime_moments(run_table: DataFrame, by: list[str]) -> DataFrame:
 
 def runtime_percentiles(run_table: DataFrame, by: list[str]) -> DataFrame:
     """Median and 90th percentile by the ``p (n + 1)`` rule."""
-    return value_runs(run_table.select(*by, "runtime"), by, "runtime").groupBy(*by).agg(
-        interpolated_percentile("runtime", 0.5).alias("median"), interpolated_percentile("runtime", 0.9).alias("p90")
-    )
+    return interpolated_percentiles(run_table, by, "runtime", {"median": 0.5, "p90": 0.9})
 
 
 def mean_interval(moments: DataFrame, mean: str = "mean", std: str = "std", n: str = "n", prefix: str = "") -> DataFrame:
@@ -37,12 +35,17 @@ def mean_interval(moments: DataFrame, mean: str = "mean", std: str = "std", n: s
     ).drop("_half")
 
 
-def _sides(moments: DataFrame, key: str) -> DataFrame:
-    """The workloads present in both groups, with columns ``on_*`` and ``off_*``."""
-    side = lambda flag, tag: moments.filter(F.col("variant") == flag).select(
-        key, *[F.col(c).alias(f"{tag}_{c}") for c in ("n", "mean", "std", "var", "sse")]
-    )
-    return side(True, "on").join(side(False, "off"), key)
+def _sides(run_table: DataFrame, key: str) -> DataFrame:
+    """The workloads present in both groups, with moments ``on_*`` and ``off_*``: one
+    conditional pass, no join of the two groups."""
+    columns = []
+    for tag, flag in (("on", F.col("variant")), ("off", ~F.col("variant"))):
+        x = F.when(flag, F.col("runtime"))
+        columns += [
+            F.count(x).alias(f"{tag}_n"), F.avg(x).alias(f"{tag}_mean"), F.stddev_samp(x).alias(f"{tag}_std"),
+            F.var_samp(x).alias(f"{tag}_var"), (F.var_samp(x) * (F.count(x) - 1)).alias(f"{tag}_sse"),
+        ]
+    return run_table.groupBy(key).agg(*columns).filter((F.col("on_n") > 0) & (F.col("off_n") > 0))
 
 
 def compare_runtimes(run_table: DataFrame, key: str = "workload", legacy_n: bool = False) -> DataFrame:
@@ -51,7 +54,7 @@ def compare_runtimes(run_table: DataFrame, key: str = "workload", legacy_n: bool
     ``legacy_n`` takes ``n1 * n2 / n1 + n2`` as the pooled size (an operator-precedence
     slip of older reports) in place of the harmonic mean.
     """
-    both = _sides(runtime_moments(run_table, [key, "variant"]), key)
+    both = _sides(run_table, key)
     n1, n2 = F.col("on_n").cast("double"), F.col("off_n").cast("double")
     a, b = F.col("on_var") / n1, F.col("off_var") / n2
     pooled = whole(F.col("on_n") * F.col("off_n"), F.col("on_n")).cast("double") + n2 if legacy_n else 2 * n1 * n2 / (n1 + n2)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.units import whole
-from .ranking import index_percentile, trim_ranks, value_runs
+from .ranking import index_pick, order_statistics, trim_ranks
 
 KEY = ["run", "stage", "attempt"]
 
@@ -57,33 +57,36 @@ def stage_runtime(stages: DataFrame) -> DataFrame:
     return stages.withColumn("runtime", F.col("completion") - F.col("start"))
 
 
+PERCENTS = {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
+
+
 def stage_stats(tasks: DataFrame, stages: DataFrame) -> DataFrame:
     """Task-duration statistics per stage attempt.
 
-    All figures come from one fold of the tasks to (stage, duration, copies), so a
-    stage with most of the tasks is shared out by duration. Mean and variance are
-    integer figures over the planned task count; percentiles are ``sorted[floor(n p)]``.
+    Mean and variance are integer figures over the planned task count; percentiles are
+    ``sorted[floor(n p)]``. The squared deviations follow from the sum of squares, which
+    is kept exact in two halves, so one map-side combined pass gives all but the ranks.
     """
-    runs = value_runs(with_duration(tasks).select(*KEY, "duration"), KEY, "duration")
-    d, n = F.col("duration").cast("decimal(19,0)"), F.col("copies").cast("decimal(19,0)")
-    folded = runs.groupBy(*KEY).agg(
-        F.sum("copies").alias("recorded"),
-        F.sum(F.col("duration") * F.col("copies")).alias("total"),
+    timed = with_duration(tasks).select(*KEY, "duration")
+    square = F.col("duration") * F.col("duration")
+    folded = timed.groupBy(*KEY).agg(
+        F.count("duration").alias("recorded"),
+        F.sum("duration").alias("total"),
         F.min("duration").alias("shortest"),
         F.max("duration").alias("longest"),
-        F.sum((d * d * n).cast("decimal(38,0)")).alias("squares"),
-        *[index_percentile("duration", p).alias(name) for name, p in
-          {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}.items()],
+        F.sum(F.shiftright(square, 32)).alias("_high"),
+        F.sum(square.bitwiseAND(F.lit(0xFFFFFFFF))).alias("_low"),
     )
-    mean = whole(F.col("total"), F.col("task_count"))
-    m = F.col("mean").cast("decimal(19,0)")
-    spread = F.col("squares") - 2 * m * F.col("total") + m * m * F.col("recorded")
+    ranks = order_statistics(timed, KEY, "duration", {name: index_pick(p) for name, p in PERCENTS.items()})
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    squares = wide("_high") * F.lit(2**32).cast("decimal(10,0)") + wide("_low")
+    spread = squares - 2 * wide("mean") * wide("total") + wide("mean") * wide("mean") * wide("recorded")
     return (
-        folded.join(stages.select(*KEY, "task_count"), KEY)
-        .withColumn("mean", mean)
+        folded.join(stages.select(*KEY, "task_count"), KEY).join(ranks, KEY)
+        .withColumn("mean", whole(F.col("total"), F.col("task_count")))
         .withColumn("variance", whole(spread, F.col("task_count")))
         .withColumn("std", F.round(F.sqrt("variance")).cast("bigint"))
-        .drop("squares")
+        .drop("_high", "_low")
     )
 
 

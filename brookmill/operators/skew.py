@@ -11,7 +11,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 HEAVY_SHARE = 256
 # a key with fewer rows than this fits one task whatever its share
 HEAVY_ROWS = 200_000
-MAX_SALTS = 64
+# a split of a heavy key is cut down to about this many rows
+ROWS_PER_SALT = 2_000_000
+
+
+def row_total(counts: DataFrame, weight: str) -> int:
+    return counts.agg(F.sum(weight).alias("n")).first()["n"] or 0
 
 
 def heavy_keys(counts: DataFrame, key: str, weight: str) -> DataFrame | None:
@@ -25,7 +30,7 @@ def heavy_keys(counts: DataFrame, key: str, weight: str) -> DataFrame | None:
     if (seen["top"] or 0) <= floor:
         return None
     return counts.filter(F.col(weight) > floor).select(
-        key, F.least(F.ceil(F.col(weight) / floor) * 2, F.lit(MAX_SALTS)).cast("int").alias("salts")
+        key, F.greatest(F.ceil(F.col(weight) / min(floor, ROWS_PER_SALT)), F.lit(2)).cast("int").alias("salts")
     )
 
 

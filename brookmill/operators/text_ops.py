@@ -55,8 +55,10 @@ def sort_positions(lines: DataFrame) -> DataFrame:
 
 
 def shuffle_rounds(lines: DataFrame, rounds: int = 5, partitions: int | None = None, seed: int = 17) -> DataFrame:
-    """Permute the characters of each line and rebalance, ``rounds`` times over."""
+    """Spread the lines evenly, then permute the characters of each line and rebalance,
+    ``rounds`` times over."""
     n = partitions or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines = lines.repartition(n)
     for i in range(rounds):
         lines = lines.select(permute_characters(F.col("value"), seed + i).alias("value")).repartition(n)
     return lines

@@ -83,14 +83,27 @@ def gen_separable_points(spark, sf_dir):
     return _cells(gen.separable_points(table(spark, sf_dir, "customer").select("c_custkey"), _D, seed=31), ["label"])
 
 
-@query("gen_ratings")
+_GR = {"rank": 4, "share": 0.9, "seed": 7, "noise": 0.1, "test_share": 0.2}
+_AB = " + ".join(f"{gaussian_sql('u', str(k), seed=7)} * {gaussian_sql('p', str(k), seed=8)}" for k in range(4))
+
+
+@query(
+    "gen_ratings",
+    f"""WITH size AS (SELECT m, n, m * n AS cells, least(CAST(round(0.9 * 4 * (m + n - 4)) AS BIGINT), CAST(round(0.99 * m * n) AS BIGINT)) AS train
+  FROM (SELECT count(*) AS m FROM supplier), (SELECT count(*) AS n FROM part)),
+step AS (SELECT *, least(CAST(round(train * 0.2) AS BIGINT), cells - train) AS test, CAST(floor(cells * (sqrt(5) - 1) / 2) AS BIGINT) + 0 AS base FROM size),
+stride AS (SELECT step.*, (SELECT min(base + k) FROM range(0, 2000) r(k) WHERE gcd(base + k, cells) = 1) AS stride FROM step),
+c AS (SELECT i < train AS is_train, CAST((CAST(i AS HUGEINT) * stride + 7) % cells AS BIGINT) AS cell, m FROM stride, range(0, train + test) r(i)),
+x AS (SELECT is_train, cell, cell % m AS u, cell // m AS p FROM c)
+SELECT CASE WHEN is_train THEN 'train' ELSE 'test' END AS side, u AS "user", p AS product,
+  round(({_AB}) / sqrt(4) + 0.1 * {gaussian_sql('cell', seed=9)}, 6) AS rating FROM x""",
+)
 def gen_ratings(spark, sf_dir):
-    """Sides as large as ``supplier`` and ``part``: all sampled cells are distinct."""
+    """Sides as large as ``supplier`` and ``part``."""
     rows, cols = table(spark, sf_dir, "supplier").count(), table(spark, sf_dir, "part").count()
-    train, test = gen.low_rank_ratings(spark, rows, cols, rank=4, share=0.9, seed=7, noise=0.1, test_share=0.2)
+    train, test = gen.low_rank_ratings(spark, rows, cols, **_GR)
     both = train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
-    cells = both.groupBy("user", "product").agg(F.count(F.lit(1)).alias("copies"), F.max("side").alias("side"))
-    return cells.groupBy("side", "copies").agg(F.count(F.lit(1)).alias("cells"))
+    return both.select("side", "user", "product", F.round("rating", 6).alias("rating"))
 
 
 @query(

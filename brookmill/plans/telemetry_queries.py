@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.units import epoch_ms
 from ..operators import intervals, run_compare, run_resources, run_stats
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import eventlog, reports, samples as sample_files
 from ..sources.sinks import formatted
 from .registry import query, table
@@ -78,10 +78,12 @@ def stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = tasks(spark, sf_dir).groupBy("run", "stage", "attempt").agg(
         F.count(F.lit(1)).cast("int").alias("task_count"), F.min("start").alias("start"), F.max("end").alias("completion")
     )
-    return folded.join(debt, "run").select(
+    table_of_stages = folded.join(debt, "run").select(
         "run", "stage", "attempt", F.concat(F.lit("stage-"), "stage").alias("name"), (F.col("stage") % 3).alias("job"),
         "task_count", "start", "completion", (F.col("debt") & (F.col("stage") == 1)).alias("failed"),
     )
+    # a few rows per run, read several times by most queries
+    return cut_lineage(table_of_stages)
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,13 +96,19 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def run_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_stats.run_table(runs(spark, sf_dir), stages(spark, sf_dir))
+def run_table(spark: SparkSession, sf_dir: str, stage_table: DataFrame | None = None) -> DataFrame:
+    return cut_lineage(run_stats.run_table(runs(spark, sf_dir), stage_table or stages(spark, sf_dir)))
 
 
-def valid(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+def stages_and_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All stages, and the table of valid runs."""
+    stage_table = stages(spark, sf_dir)
+    return stage_table, run_table(spark, sf_dir, stage_table)
+
+
+def valid(df: DataFrame, run_rows: DataFrame) -> DataFrame:
     """Tasks or stages of valid runs only."""
-    return df.join(run_table(spark, sf_dir).select("run"), "run", "left_semi")
+    return df.join(run_rows.select("run"), "run", "left_semi")
 
 
 @query("run_table", f"WITH {RUNS} SELECT run, workload, variant, start, \"end\", runtime FROM run_table")
@@ -215,7 +223,7 @@ def job_end_markers(spark, sf_dir):
 FROM stages s JOIN run_table r ON s.run = r.run WHERE task_count > 0 GROUP BY s.job, s.stage""",
 )
 def average_timeline(spark, sf_dir):
-    return run_stats.average_timeline(stages(spark, sf_dir), run_table(spark, sf_dir))
+    return run_stats.average_timeline(*stages_and_runs(spark, sf_dir))
 
 
 
@@ -301,7 +309,7 @@ gc AS (SELECT stage, coalesce(CAST(sum(gc) FILTER (WHERE variant) AS BIGINT) //
 
 @query("gc_compare", f"WITH {GC} SELECT stage, on_gc, off_gc FROM gc")
 def gc_compare(spark, sf_dir):
-    return run_compare.compare_gc(tasks(spark, sf_dir), stages(spark, sf_dir), run_table(spark, sf_dir))
+    return run_compare.compare_gc(tasks(spark, sf_dir), *stages_and_runs(spark, sf_dir))
 
 
 @query(
@@ -314,7 +322,7 @@ UNION ALL SELECT 'Total GC Time', a, b FROM total
 UNION ALL SELECT 'GC Time Percentage', round(100 * total.a / net.a, 8), round(100 * total.b / net.b, 8) FROM total, net""",
 )
 def gc_report(spark, sf_dir):
-    out = run_compare.gc_report(tasks(spark, sf_dir), stages(spark, sf_dir), run_table(spark, sf_dir))
+    out = run_compare.gc_report(tasks(spark, sf_dir), *stages_and_runs(spark, sf_dir))
     return out.select("item", F.round("on", 8).alias("on"), F.round("off", 8).alias("off"))
 
 
@@ -382,13 +390,15 @@ _NET = {"download": ("network", "v1", "sum"), "upload": ("network", "v2", "sum")
 
 @query("disk_report", _report_sql("disk_read", "disk_write", _DISK))
 def disk_report(spark, sf_dir):
-    out = run_resources.disk_report(samples(spark, sf_dir), valid(stages(spark, sf_dir), spark, sf_dir), run_table(spark, sf_dir))
+    stage_rows, run_rows = stages_and_runs(spark, sf_dir)
+    out = run_resources.disk_report(samples(spark, sf_dir), valid(stage_rows, run_rows), run_rows)
     return out.select("stage", "name", *[F.round(c, 3).alias(c) for c in _DISK])
 
 
 @query("network_report", _report_sql("download", "upload", _NET))
 def network_report(spark, sf_dir):
-    out = run_resources.network_report(samples(spark, sf_dir), valid(stages(spark, sf_dir), spark, sf_dir), run_table(spark, sf_dir))
+    stage_rows, run_rows = stages_and_runs(spark, sf_dir)
+    out = run_resources.network_report(samples(spark, sf_dir), valid(stage_rows, run_rows), run_rows)
     return out.select("stage", "name", *[F.round(c, 3).alias(c) for c in _NET])
 
 
@@ -446,14 +456,13 @@ SELECT stage, concat('stage-', stage) AS name, CAST(sum(n) AS BIGINT) // count(*
 FROM x GROUP BY stage""",
 )
 def stage_summary(spark, sf_dir):
-    return summary(spark, sf_dir).select("*").transform(
-        lambda df: df.select(*[F.round(c, 3).alias(c) if c in ("cpu", "load", "upload", "download") else F.col(c) for c in df.columns])
-    )
+    return summary(spark, sf_dir).withColumns({c: F.round(c, 3) for c in ("cpu", "load", "upload", "download")})
 
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = valid(stages(spark, sf_dir), spark, sf_dir)
-    work = valid(tasks(spark, sf_dir), spark, sf_dir)
+    stage_rows, run_rows = stages_and_runs(spark, sf_dir)
+    kept = cut_lineage(valid(stage_rows, run_rows))
+    work = valid(tasks(spark, sf_dir), run_rows)
     used = run_resources.stage_usage(samples(spark, sf_dir), kept, list(_ALL))
     return run_resources.stage_summary(kept, run_stats.stage_stats(work, kept), run_stats.stage_io(work), used)
 
@@ -522,7 +531,7 @@ FROM good WHERE NOT isnan(v1) GROUP BY host, instance""",
 )
 def sample_file_scan(spark, sf_dir):
     path = scratch_path(spark, "samples")
-    samples(spark, sf_dir).select("host", "instance", sample_files.sample_line().alias("value")).repartition("host", "instance").write.partitionBy("host", "instance").text(path)
+    samples(spark, sf_dir).select("host", "instance", sample_files.sample_line().alias("value")).hint("rebalance", "host", "instance").write.partitionBy("host", "instance").text(path)
     back = sample_files.read_samples(spark, path)
     return back.groupBy("host", "instance").agg(
         F.count(F.lit(1)).alias("n"), F.sum("ts").alias("ts"), F.sum("v1").cast("bigint").alias("v1"), F.sum("v2").cast("bigint").alias("v2")
@@ -533,11 +542,11 @@ def _event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Application, job, stage and task events of every run as event-log JSON lines."""
     event = lambda name, *cols: F.to_json(F.struct(F.lit(name).alias("Event"), *cols)).alias("value")
     app = F.concat(F.lit("app-"), F.col("run"))
-    span = run_stats.run_table(runs(spark, sf_dir), stages(spark, sf_dir).withColumn("failed", F.lit(False)))
+    st = stages(spark, sf_dir)
+    span = cut_lineage(run_stats.run_table(runs(spark, sf_dir), st.withColumn("failed", F.lit(False))))
     begun = span.select("run", event("SparkListenerApplicationStart", app.alias("App ID"), F.col("workload").alias("App Name"), F.col("start").alias("Timestamp")))
     ended = span.select("run", event("SparkListenerApplicationEnd", F.col("end").alias("Timestamp")))
     conf = span.select("run", event("SparkListenerEnvironmentUpdate", F.create_map(F.lit("spark.variant"), F.col("variant").cast("string")).alias("Spark Properties")))
-    st = stages(spark, sf_dir)
     jobs = st.groupBy("run", "job").agg(F.collect_set("stage").alias("ids"), F.min("start").alias("at")).select(
         "run", event("SparkListenerJobStart", F.col("job").alias("Job ID"), F.col("ids").alias("Stage IDs"), F.col("at").alias("Submission Time"))
     )
@@ -576,7 +585,7 @@ def event_log_scan(spark, sf_dir):
     """Event logs written in the listener's JSON form, one folder per application."""
     path = scratch_path(spark, "eventlog")
     lines = _event_lines(spark, sf_dir).withColumn("app", F.col("run"))
-    lines.select(F.concat(F.lit("eventlog_v2_"), "app").alias("log"), "value").repartition("log").write.partitionBy("log").text(path)
+    lines.select(F.concat(F.lit("eventlog_v2_"), "app").alias("log"), "value").hint("rebalance", "log").write.partitionBy("log").text(path)
     back = eventlog.read_event_log(spark, path, "spark.variant")
     folded = back["tasks"].groupBy("run", "stage", "attempt", "host").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("task_time"), F.sum("gc").alias("gc"),

@@ -48,13 +48,36 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on shared storage, so that a lost executor costs a re-read
-    and not a replay of every earlier round."""
-    folder = shared_dir(df.sparkSession)
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a table on shared storage, so that a lost executor costs a
+    re-read and not a replay of every earlier round.
+
+    A written table is columnar, prunes columns when read back, and tells its true size
+    to the planner, which then broadcasts it only when it is small.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_placed(df: DataFrame, partitions: int, keys: list[str]) -> DataFrame:
+    """As :func:`cut_lineage`, hash-placed and sorted by ``keys`` in a way later joins see.
+
+    A table that a loop joins every round is then neither moved nor sorted again. An
+    adaptive plan does not tell its final placement, so this one exchange is planned
+    without adaption; what feeds it should be cut before, to keep adaption for that.
+    """
+    spark = df.sparkSession
+    switch = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(switch)
+    spark.conf.set(switch, "false")
+    try:
+        folder = shared_dir(spark)
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(folder)
+        return df.repartition(partitions, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
+    finally:
+        spark.conf.set(switch, before)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
