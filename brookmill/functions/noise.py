@@ -1,8 +1,8 @@
 """Random numbers that depend on row identity and seed only.
 
 ``rand()`` depends on the partition a row happens to sit in; a re-run on another
-cluster or a retried task gives other numbers. Here every draw is integer arithmetic
-on (seed, id, draw number), which the JVM compiles and which plain SQL can repeat.
+cluster or a retried task gives other numbers. Here every draw is a digest of (seed, id,
+draw number), computed inside the JVM, and plain SQL can repeat it.
 """
 
 from __future__ import annotations
@@ -11,28 +11,19 @@ import math
 
 from pyspark.sql import Column, functions as F
 
-MODULUS = 2**31 - 1
-MULTIPLIER = 1597334677
-ROUNDS = 3
-
-
-def _step(h: Column) -> Column:
-    return F.shiftright((h % MODULUS) * F.lit(MULTIPLIER).cast("bigint"), 16) % MODULUS
+HEX_DIGITS = 12
+SPACE = 16**HEX_DIGITS
 
 
 def mix(*parts: Column | int, seed: int) -> Column:
-    """An integer in [0, 2^31 - 1) scrambled from non-negative integer parts."""
-    h = F.lit(seed + 1).cast("bigint")
-    for part in parts:
-        col = F.lit(part) if isinstance(part, int) else part
-        h = _step(h + col.cast("bigint") % MODULUS + 12345)
-    for i in range(ROUNDS):
-        h = _step(h + 977 * (i + 1))
-    return h
+    """An integer in [0, 2^48) drawn from integer parts."""
+    cols = [F.lit(str(seed)), *[F.lit(str(p)) if isinstance(p, int) else p.cast("string") for p in parts]]
+    digest = F.md5(F.concat_ws("-", *cols).cast("binary"))
+    return F.conv(F.substring(digest, 1, HEX_DIGITS), 16, 10).cast("bigint")
 
 
 def uniform(*parts: Column | int, seed: int) -> Column:
-    return mix(*parts, seed=seed) / F.lit(float(MODULUS))
+    return mix(*parts, seed=seed) / F.lit(float(SPACE))
 
 
 def below(n: int, *parts: Column | int, seed: int) -> Column:
@@ -49,31 +40,21 @@ def gaussian(*parts: Column | int, seed: int) -> Column:
 
 def weighted_pick(draw: Column, choices: dict) -> Column:
     """Pick a value from ``{value: probability}`` by cumulative probability."""
-    items = list(choices.items())
-    out = F.lit(items[-1][0])
-    edge = 0.0
-    edges = []
-    for value, p in items[:-1]:
-        edge += p
-        edges.append((value, edge))
-    for value, cut in reversed(edges):
-        out = F.when(draw < cut, F.lit(value)).otherwise(out)
-    return out
+    *early, last = choices
+    out, edge = None, 0.0
+    for value in early:
+        edge += choices[value]
+        out = (F if out is None else out).when(draw < edge, F.lit(value))
+    return F.lit(last) if out is None else out.otherwise(F.lit(last))
 
 
 def mix_sql(*parts: str, seed: int) -> str:
     """The SQL text of :func:`mix`, for oracles."""
-    step = lambda h: f"(((({h}) % {MODULUS}) * {MULTIPLIER}) >> 16) % {MODULUS}"
-    h = f"CAST({seed + 1} AS BIGINT)"
-    for part in parts:
-        h = step(f"{h} + CAST({part} AS BIGINT) % {MODULUS} + 12345")
-    for i in range(ROUNDS):
-        h = step(f"{h} + {977 * (i + 1)}")
-    return f"({h})"
+    return f"CAST(('0x' || substr(md5(concat_ws('-', {', '.join([str(seed), *parts])})), 1, {HEX_DIGITS})) AS BIGINT)"
 
 
 def uniform_sql(*parts: str, seed: int) -> str:
-    return f"({mix_sql(*parts, seed=seed)} / CAST({MODULUS} AS DOUBLE))"
+    return f"({mix_sql(*parts, seed=seed)} / CAST({SPACE} AS DOUBLE))"
 
 
 def gaussian_sql(*parts: str, seed: int) -> str:

@@ -21,11 +21,12 @@ def rank_rows(
     Rows are range-partitioned and sorted once; a rank is then the row's offset in its
     own partition plus the number of rows of that group in earlier partitions. The
     second part is a table of at most (partitions x groups) counts, so a group that
-    holds most of the table is still ranked by many tasks.
+    holds most of the table is still ranked by many tasks. The input position breaks ties
+    of ``order``, so that one value repeated over and over is split as well.
     """
     keys = list(keys)
-    placed = df.orderBy(*keys, *order).withColumn("_mid", F.monotonically_increasing_id())
-    placed = cut_lineage(placed)  # fixes the placement that both uses below refer to
+    placed = df.withColumn("_tie", F.monotonically_increasing_id()).orderBy(*keys, *order, "_tie").drop("_tie")
+    placed = cut_lineage(placed.withColumn("_mid", F.monotonically_increasing_id()))  # fixes the placement that both uses below refer to
     placed = placed.withColumn("_pid", F.shiftright("_mid", _ROW_BITS).cast("int"))
     earlier = W.partitionBy(*keys).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
     offsets = (

@@ -19,15 +19,17 @@ def prefix_partition(key: Column, partitions: int) -> Column:
     return F.least(F.lit(partitions - 1), whole(prefix_number(key), share).cast("int"))
 
 
-def sort_records(records: DataFrame, partitions: int, sampled: bool = False) -> DataFrame:
+def sort_records(records: DataFrame, partitions: int, sampled: bool = True) -> DataFrame:
     """Order all records by key in one exchange.
 
-    By default the partition follows from the key prefix, with no sampling pass: right
-    for evenly spread keys. ``sampled`` picks boundaries from the data instead, by key
-    and value, so that a crowded prefix or one repeated key is split over tasks.
+    ``sampled`` picks range boundaries from the data, with the input position as tie
+    break, so that a crowded prefix or one repeated key is split over tasks. Without it
+    the partition follows from the key prefix alone: no sampling pass, right for evenly
+    spread keys.
     """
     if sampled:
-        return records.repartitionByRange(partitions, "key", "value").sortWithinPartitions("key", "value")
+        tied = records.withColumn("_tie", F.monotonically_increasing_id())
+        return tied.repartitionByRange(partitions, "key", "_tie").sortWithinPartitions("key", "_tie").drop("_tie")
     placed = records.withColumn("_pid", prefix_partition(F.col("key"), partitions))
     return placed.repartitionById(partitions, "_pid").sortWithinPartitions("key").drop("_pid")
 

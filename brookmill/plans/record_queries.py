@@ -35,7 +35,7 @@ FROM p GROUP BY pid""",
 )
 def record_prefix_partitions(spark, sf_dir):
     """Sort with partitions from the key prefix; ends and order of each partition."""
-    placed = ops.sort_records(records(spark, sf_dir), PARTITIONS).withColumn("_mid", F.monotonically_increasing_id())
+    placed = ops.sort_records(records(spark, sf_dir), PARTITIONS, sampled=False).withColumn("_mid", F.monotonically_increasing_id())
     placed = cut_lineage(placed).select("key", F.shiftright("_mid", 33).cast("int").alias("pid"), (F.col("_mid") % (1 << 33)).alias("pos"))
     ends = ops.partition_ends(placed, "pid", "pos")
     wrong = ops.adjacent_violations(placed, "pid", "pos").groupBy("pid").agg(F.count(F.lit(1)).alias("d"))
@@ -55,7 +55,7 @@ def record_sort_validate(spark, sf_dir):
     """Write unsorted records, scan, sort, write, scan again and validate."""
     raw, ordered = scratch_path(spark, "records"), scratch_path(spark, "sorted")
     fixedwidth.write_records(records(spark, sf_dir), raw)
-    fixedwidth.write_records(ops.sort_records(fixedwidth.read_records(spark, raw), PARTITIONS, sampled=True), ordered)
+    fixedwidth.write_records(ops.sort_records(fixedwidth.read_records(spark, raw), PARTITIONS), ordered)
     return ops.validate_records(fixedwidth.read_records(spark, ordered))
 
 

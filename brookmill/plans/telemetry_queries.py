@@ -368,20 +368,20 @@ _SPANS = RUNS + ', spans AS (SELECT run, stage, start, completion AS "end" FROM
 @query(
     "stage_usage",
     f"""WITH {_SPANS}, {_usage_sql('used', 'spans', 'run, stage', _ALL)}
-SELECT run, stage, {', '.join(f'round({m}, 4) AS {m}' for m in _ALL)} FROM spans LEFT JOIN used USING (run, stage)""",
+SELECT run, stage, {', '.join(f'round({m}, 7) AS {m}' for m in _ALL)} FROM spans LEFT JOIN used USING (run, stage)""",
 )
 def stage_usage(spark, sf_dir):
     out = run_resources.stage_usage(samples(spark, sf_dir), stages(spark, sf_dir), list(_ALL))
-    return out.select("run", "stage", *[F.round(m, 4).alias(m) for m in _ALL])
+    return out.select("run", "stage", *[F.round(m, 7).alias(m) for m in _ALL])
 
 
 def _report_sql(first: str, second: str, measures: dict[str, tuple[str, str, str]]) -> str:
     return f"""WITH {_SPANS}, valid_spans AS (SELECT spans.* FROM spans JOIN run_table USING (run)),
 {_usage_sql('used', 'valid_spans', 'run, stage', measures)},
 {_usage_sql('whole', 'run_table', 'run', measures)}
-SELECT stage, concat('stage-', stage) AS name, round(avg({first}), 3) AS {first}, round(avg({second}), 3) AS {second} FROM used
+SELECT stage, concat('stage-', stage) AS name, round(avg({first}), 7) AS {first}, round(avg({second}), 7) AS {second} FROM used
 WHERE {first} IS NOT NULL AND {second} IS NOT NULL GROUP BY stage
-UNION ALL SELECT -1, 'App', round(avg({first}), 3), round(avg({second}), 3) FROM whole WHERE {first} IS NOT NULL AND {second} IS NOT NULL"""
+UNION ALL SELECT -1, 'App', round(avg({first}), 7), round(avg({second}), 7) FROM whole WHERE {first} IS NOT NULL AND {second} IS NOT NULL"""
 
 
 _DISK = {"disk_read": ("disk", "v1", "sum"), "disk_write": ("disk", "v2", "sum")}
@@ -392,25 +392,25 @@ _NET = {"download": ("network", "v1", "sum"), "upload": ("network", "v2", "sum")
 def disk_report(spark, sf_dir):
     stage_rows, run_rows = stages_and_runs(spark, sf_dir)
     out = run_resources.disk_report(samples(spark, sf_dir), valid(stage_rows, run_rows), run_rows)
-    return out.select("stage", "name", *[F.round(c, 3).alias(c) for c in _DISK])
+    return out.select("stage", "name", *[F.round(c, 7).alias(c) for c in _DISK])
 
 
 @query("network_report", _report_sql("download", "upload", _NET))
 def network_report(spark, sf_dir):
     stage_rows, run_rows = stages_and_runs(spark, sf_dir)
     out = run_resources.network_report(samples(spark, sf_dir), valid(stage_rows, run_rows), run_rows)
-    return out.select("stage", "name", *[F.round(c, 3).alias(c) for c in _NET])
+    return out.select("stage", "name", *[F.round(c, 7).alias(c) for c in _NET])
 
 
 def _series_sql(metric: str, cols: dict[str, str], keys: str) -> str:
     ok = " AND ".join(f"NOT isnan({e})" for e in cols.values())
-    means = ", ".join(f"round(avg({e}), 4) AS {n}" for n, e in cols.items())
+    means = ", ".join(f"round(avg({e}), 7) AS {n}" for n, e in cols.items())
     rows = f"FROM good WHERE metric = '{metric}' AND {ok}"
     return f"WITH {SAMPLES} SELECT host, {keys}, {means} {rows} GROUP BY host, {keys} UNION ALL SELECT 'cluster', {keys}, {means} {rows} GROUP BY {keys}"
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[F.round(c, 7).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 @query("cpu_series", _series_sql("cpu", {"busy": "100 - v1"}, "ts"))
@@ -450,13 +450,13 @@ x AS (SELECT * FROM st JOIN io USING (run, stage) JOIN used USING (run, stage) J
 SELECT stage, concat('stage-', stage) AS name, CAST(sum(n) AS BIGINT) // count(*) AS task_count, {_SUMMARY_STATS},
   CAST(sum(total) AS BIGINT) // count(*) // 1000 AS task_time_s, CAST(sum(runtime) AS BIGINT) // count(*) // 1000 AS runtime_s,
   CAST(sum(fetch_wait) AS BIGINT) // count(*) // 1000 AS fetch_wait_s, CAST(sum(shuffle_write) AS BIGINT) // count(*) // 1000000000 AS shuffle_write_s,
-  round(avg(100 - idle), 3) AS cpu, round(avg(load), 3) AS load, round(avg(upload), 3) AS upload, round(avg(download), 3) AS download,
+  round(avg(100 - idle), 7) AS cpu, round(avg(load), 7) AS load, round(avg(upload), 7) AS upload, round(avg(download), 7) AS download,
   CAST(sum(partial_wait) AS BIGINT) // count(*) // 1000 AS partial_wait_s, CAST(sum(initial_read) AS BIGINT) // count(*) // 1000 AS initial_read_s,
   {', '.join(f"CAST(sum({m}_bytes) AS BIGINT) // count(*) // 1000000 AS {m}_mb" for m in ('memory', 'hadoop', 'network', 'disk'))}
 FROM x GROUP BY stage""",
 )
 def stage_summary(spark, sf_dir):
-    return summary(spark, sf_dir).withColumns({c: F.round(c, 3) for c in ("cpu", "load", "upload", "download")})
+    return summary(spark, sf_dir).withColumns({c: F.round(c, 7) for c in ("cpu", "load", "upload", "download")})
 
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
