@@ -205,9 +205,10 @@ def svdpp(
     users, items = cut_lineage(users), cut_lineage(items)
 
     for i in range(iters):
-        full = svdpp_predict(ratings, users, items, mean, low, high)
-        err = F.col("rating") - F.col("prediction")
-        graded = full.withColumn("err", err)
+        # both gradients read it: written once, instead of joining three tables twice
+        graded = cut_lineage(
+            svdpp_predict(ratings, users, items, mean, low, high).withColumn("err", F.col("rating") - F.col("prediction"))
+        )
         user_grad = graded.groupBy("user").agg(
             F.sum(g1 * (F.col("err") - g6 * F.col("bu"))).alias("dbu"),
             *[F.sum(g2 * (F.col("err") * F.col(f"q{k}") - g7 * F.col(f"p{k}"))).alias(f"dp{k}") for k in ks],

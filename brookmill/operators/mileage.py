@@ -29,13 +29,14 @@ def mileage_loop(passengers: DataFrame, scores: DataFrame, max_rounds: int = 10_
     finished = None
     for i in range(max_rounds):
         moved = cut_lineage(
-            active.withColumn("flight", F.get("flights", F.lit(i))).join(scores, "flight")
-            .select("passenger", "flights", (F.col("miles") + F.col("score")).alias("miles"))
+            active.withColumn("flight", F.get("flights", F.lit(i))).join(scores, "flight").select(
+                "passenger", "flights", (F.size("flights") - (i + 1)).alias("left"), (F.col("miles") + F.col("score")).alias("miles")
+            )
         )
-        done = moved.filter(F.size("flights") == i + 1).select("passenger", "miles")
+        done = moved.filter("left = 0").select("passenger", "miles")
         finished = done if finished is None else finished.unionByName(done)
-        active = moved.filter(F.size("flights") > i + 1)
-        if active.count() == 0:
+        active = moved.filter("left > 0")
+        if active.count() == 0:  # reads the one small column
             return finished.groupBy("passenger").agg(F.sum("miles").alias("miles"))
     raise RuntimeError(f"itineraries still active after {max_rounds} rounds")
 

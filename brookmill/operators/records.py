@@ -115,20 +115,25 @@ def border_violations(records: DataFrame) -> DataFrame:
     return segment_gaps(order_segments(records)).filter(~F.col("in_order"))
 
 
+RUN_LENGTH = 1_000_000
+
+
 def adjacent_violations(records: DataFrame, group: str, position: str) -> DataFrame:
     """Rows whose key is below the key just before them, for tables without scan order.
 
-    Groups are cut into runs of a million positions so that one long file is checked by
-    many tasks; each run also receives the last row of the run before it.
+    Groups are cut into runs of positions, so that one long group is checked by many
+    tasks; the last key of the run before comes from a table with one row per run.
     """
-    run = F.floor(F.col(position) / 1_000_000)
-    edge = F.col(position) % 1_000_000 == 999_999
-    rows = records.select("*", F.explode(F.when(edge, F.array(run, run + 1)).otherwise(F.array(run))).alias("_run"))
-    order = W.partitionBy(group, "_run").orderBy(position)
+    rows = records.withColumn("_run", F.floor(F.col(position) / RUN_LENGTH))
+    ends = rows.groupBy(group, "_run").agg(F.max_by("key", position).alias("_end"))
+    before = F.lag("_end").over(W.partitionBy(group).orderBy("_run"))
+    borders = ends.withColumn("_border", before).drop("_end")
+    inside = F.lag("key").over(W.partitionBy(group, "_run").orderBy(position))
     return (
-        rows.withColumn("previous_key", F.lag("key").over(order))
-        .filter((F.col("previous_key") > F.col("key")) & (F.floor(F.col(position) / 1_000_000) == F.col("_run")))
-        .drop("_run")
+        rows.withColumn("_inside", inside).join(borders, [group, "_run"])
+        .withColumn("previous_key", F.coalesce("_inside", "_border"))
+        .filter(F.col("previous_key") > F.col("key"))
+        .drop("_run", "_inside", "_border")
     )
 
 

@@ -213,3 +213,17 @@ def point_file_scan(spark, sf_dir):
     path = scratch_path(spark, "points")
     write_text(labelled(spark, sf_dir), tf.point_line(), path)
     return tf.read_points(spark, path).select(F.posexplode("features").alias("dim", "x")).groupBy("dim").agg(F.round(F.sum("x"), 6).alias("total"))
+
+
+@query(
+    "vector_functions",
+    """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a, list_reverse(CAST(embedding AS DOUBLE[])) AS b FROM embeddings)
+SELECT vec_id, round(list_inner_product(a, b), 7) AS dot, round(list_sum(list_transform(list_zip(a, b), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 7) AS distance,
+  round(list_sum(list_transform(list_zip(a, b), lambda p: abs(p[1] + p[2]))) / 2, 7) AS half_sum FROM v""",
+)
+def vector_functions(spark, sf_dir):
+    a, b = F.col("features"), F.reverse("features")
+    half = F.aggregate(vectors.divide(vectors.add(a, b), F.lit(2.0)), F.lit(0.0), lambda s, x: s + F.abs(x))
+    return points(spark, sf_dir).select(
+        "vec_id", F.round(vectors.dot(a, b), 7).alias("dot"), F.round(vectors.squared_distance(a, b), 7).alias("distance"), F.round(half, 7).alias("half_sum")
+    )

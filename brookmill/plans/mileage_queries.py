@@ -78,3 +78,13 @@ def flight_file_scan(spark, sf_dir):
     path = scratch_path(spark, "flights")
     write_text(inputs(spark, sf_dir)[1], tf.flight_line(), path)
     return tf.read_flights(spark, path, partitions=8)
+
+
+@query("mileage_partitioned_file", f"WITH {LEGS} SELECT passenger, miles FROM flat")
+def mileage_partitioned_file(spark, sf_dir):
+    """Hash-partitioned by passenger, sorted inside partitions, written and read back."""
+    path = scratch_path(spark, "miles")
+    result = mileage.partitioned_result(mileage.mileage_flat(*inputs(spark, sf_dir)), 8)
+    write_text(result, F.concat_ws(" ", "passenger", "miles"), path)
+    part = F.split("value", " ")
+    return tf.read_lines(spark, path, at_most=4).select(part[0].cast("bigint").alias("passenger"), part[1].cast("bigint").alias("miles"))

@@ -87,3 +87,32 @@ def record_generate_validate(spark, sf_dir):
     path = scratch_path(spark, "generated")
     fixedwidth.write_records(ops.sort_records(records_gen.records_for(numbers), PARTITIONS), path)
     return ops.validate_records(fixedwidth.read_records(spark, path))
+
+
+@query(
+    "record_disorder",
+    """WITH k AS (SELECT o_orderpriority AS part, o_orderkey AS position, substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 20) AS key FROM orders),
+l AS (SELECT *, lag(key) OVER (PARTITION BY part ORDER BY position) AS previous_key FROM k)
+SELECT part, position, key, previous_key FROM l WHERE previous_key > key""",
+)
+def record_disorder(spark, sf_dir):
+    """Adjacent rows out of order, in five groups numbered with gaps."""
+    key = F.unhex(F.substring(F.md5(F.col("o_orderkey").cast("string").cast("binary")), 1, 20))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("part"), F.col("o_orderkey").alias("position"), key.alias("key"))
+    wrong = ops.adjacent_violations(rows, "part", "position")
+    return wrong.select("part", "position", *[binary.key_hex(F.col(c)).alias(c) for c in ("key", "previous_key")])
+
+
+@query(
+    "record_bytes",
+    f"""WITH {KEYS} SELECT CAST(('0x' || substr(key, 1, 14)) AS BIGINT) AS prefix,
+  concat_ws(' ', CAST(('0x' || substr(key, 1, 2)) AS INTEGER), CAST(('0x' || substr(key, 3, 2)) AS INTEGER)) AS first_bytes,
+  substr(key, 5, 16) AS rest, key > '7fffffffffffffffffff' AS upper_half, CAST(count(*) AS BIGINT) AS n FROM k GROUP BY ALL""",
+)
+def record_bytes(spark, sf_dir):
+    """Byte slices, prefix number, unsigned rendering and unsigned comparison of keys."""
+    key = F.col("key")
+    return records(spark, sf_dir).groupBy(
+        binary.prefix_number(key).alias("prefix"), binary.unsigned_bytes(key, 2).alias("first_bytes"),
+        binary.key_hex(F.substring(key, 3, 8)).alias("rest"), (key > F.unhex(F.lit("7f" + "ff" * 9))).alias("upper_half"),
+    ).agg(F.count(F.lit(1)).alias("n"))

@@ -14,7 +14,7 @@ from ..functions.units import epoch_ms
 from ..operators import intervals, run_compare, run_resources, run_stats
 from ..session import cut_lineage, scratch_path
 from ..sources import eventlog, reports, samples as sample_files
-from ..sources.sinks import formatted
+from ..sources.sinks import formatted, write_statistics
 from .registry import query, table
 
 TASKS = """tasks AS (
@@ -326,6 +326,25 @@ def gc_report(spark, sf_dir):
     return out.select("item", F.round("on", 8).alias("on"), F.round("off", 8).alias("off"))
 
 
+@query("gc_statistics_file", f"""WITH {GC} SELECT CAST(stage AS VARCHAR) AS "StageId", format('{{:,}} MB', on_gc * 1000) AS "Barrier", format('{{:,}}', off_gc * 1000) AS "NoBarrier" FROM gc""")
+def gc_statistics_file(spark, sf_dir):
+    """A statistics file with header and number patterns, read back as text."""
+    path = scratch_path(spark, "statistics")
+    rows = run_compare.compare_gc(tasks(spark, sf_dir), *stages_and_runs(spark, sf_dir)).select(
+        F.col("stage").alias("StageId"), (F.col("on_gc") * 1000).alias("Barrier"), (F.col("off_gc") * 1000).alias("NoBarrier")
+    )
+    write_statistics(rows, path, {"Barrier": "#,### MB", "NoBarrier": run_resources.USAGE_PATTERN}, ["StageId"])
+    return spark.read.schema("StageId string, Barrier string, NoBarrier string").option("header", True).csv(path)
+
+
+@query(
+    "relative_times",
+    f"""WITH {RUNS} SELECT s.run, stage, s.start - r.start AS start, completion - r.start AS completion FROM stages s JOIN run_table r ON s.run = r.run""",
+)
+def relative_times(spark, sf_dir):
+    return run_stats.relative_times(*stages_and_runs(spark, sf_dir)).select("run", "stage", "start", "completion")
+
+
 # ---- resource samples ---------------------------------------------------------------
 
 METRIC_OF = {"1-URGENT": "cpu", "2-HIGH": "load", "3-MEDIUM": "network", "4-NOT SPECIFIED": "disk", "5-LOW": "cpu"}
@@ -462,7 +481,7 @@ def stage_summary(spark, sf_dir):
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage_rows, run_rows = stages_and_runs(spark, sf_dir)
     kept = cut_lineage(valid(stage_rows, run_rows))
-    work = valid(tasks(spark, sf_dir), run_rows)
+    work = tasks(spark, sf_dir)  # joined with the kept stages in the end
     used = run_resources.stage_usage(samples(spark, sf_dir), kept, list(_ALL))
     return run_resources.stage_summary(kept, run_stats.stage_stats(work, kept), run_stats.stage_io(work), used)
 

@@ -20,6 +20,11 @@ def int_range(spark: SparkSession, n: int, partitions: int) -> DataFrame:
     return spark.range(0, n, 1, partitions)
 
 
+def _spread(ids: DataFrame) -> DataFrame:
+    """Ids placed evenly over the tasks before each one grows into many rows."""
+    return ids.repartition(int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _dims(d: int, value) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(d - 1)), value)
 
@@ -41,7 +46,7 @@ def text_lines(parts: DataFrame, vocabulary: DataFrame, bytes_per_part: int, see
     slots, lines = LINE_BYTES // 2 + 1, bytes_per_part // (LINE_BYTES + 1) + 1
     part = F.lit(0) if identical else F.col("part")
     draws = (
-        parts.select(F.col(parts.columns[0]).alias("part"))
+        _spread(parts.select(F.col(parts.columns[0]).alias("part")))
         .withColumn("line", F.explode(F.sequence(F.lit(0), F.lit(lines - 1))))
         .withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
         .withColumn("slot", below(size, part, F.col("line"), F.col("n"), seed=seed))
@@ -66,7 +71,7 @@ def graph_edges(ids: DataFrame, n: int, seed: int, mu: float = 4.0, sigma: float
     src = F.col(ids.columns[0])
     degree = F.least(F.lit(n), F.floor(F.exp(mu + sigma * gaussian(src, seed=seed))).cast("int"))
     return (
-        ids.select(src.alias("src"), degree.alias("degree")).filter(F.col("degree") > 0)
+        _spread(ids).select(src.alias("src"), degree.alias("degree")).filter(F.col("degree") > 0)
         .withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("degree"))))
         .select("src", below(n, F.col("src"), F.col("slot"), seed=seed + 1).alias("dst"))
     )

@@ -11,13 +11,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.text import fields
 
 
-def read_lines(spark: SparkSession, path: str, partitions: int | None = None, line_end: str | None = None) -> DataFrame:
-    """``value string``; ``partitions`` rebalances the rows evenly.
+def read_lines(
+    spark: SparkSession, path: str, partitions: int | None = None, at_most: int | None = None, line_end: str | None = None
+) -> DataFrame:
+    """``value string``; ``partitions`` rebalances the rows evenly, ``at_most`` merges
+    input splits without a shuffle.
 
     Lines end at ``\\n``, ``\\r`` or ``\\r\\n`` unless ``line_end`` names one mark.
     """
     reader = spark.read.option("lineSep", line_end) if line_end else spark.read
     lines = reader.text(path)
+    if at_most:
+        lines = lines.coalesce(at_most)
     return lines.repartition(partitions) if partitions else lines
 
 
