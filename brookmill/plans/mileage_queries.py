@@ -28,7 +28,7 @@ complete AS (SELECT passenger, CAST(sum(miles) AS BIGINT) AS miles FROM whole GR
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    lines = table(spark, sf_dir, "lineitem")
+    lines = table(spark, sf_dir, "lineitem", spread=True)
     hops = F.sequence(F.lit(0), F.col("l_linenumber") - 1)
     flights = F.transform(hops, lambda i: F.col("l_partkey") + i * F.col("l_suppkey"))
     passengers = lines.select(F.col("l_orderkey").alias("passenger"), flights.alias("flights"))

@@ -47,6 +47,16 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Rebalance a scan that has fewer splits than there are cores.
+
+    A small table in one file would otherwise keep one core busy with all per-row work.
+    Anything of size has more splits than cores and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a table on shared storage, so that a lost executor costs a
     re-read and not a replay of every earlier round.
