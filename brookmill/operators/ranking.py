@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.units import whole
-from ..session import cut_lineage
+from ..session import cut_lineage, with_input_position
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
@@ -25,7 +25,7 @@ def rank_rows(
     of ``order``, so that one value repeated over and over is split as well.
     """
     keys = list(keys)
-    placed = df.withColumn("_tie", F.monotonically_increasing_id()).orderBy(*keys, *order, "_tie").drop("_tie")
+    placed = with_input_position(df, "_tie").orderBy(*keys, *order, "_tie").drop("_tie")
     placed = cut_lineage(placed.withColumn("_mid", F.monotonically_increasing_id()))  # fixes the placement that both uses below refer to
     placed = placed.withColumn("_pid", F.shiftright("_mid", _ROW_BITS).cast("int"))
     earlier = W.partitionBy(*keys).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.binary import checksum_sum, prefix_number, wide_hex
 from ..functions.units import whole
+from ..session import with_input_position
 
 PREFIX_SPACE = 2**56 - 1  # the first seven key bytes as a number
 
@@ -28,7 +29,7 @@ def sort_records(records: DataFrame, partitions: int, sampled: bool = True) -> D
     spread keys.
     """
     if sampled:
-        tied = records.withColumn("_tie", F.monotonically_increasing_id())
+        tied = with_input_position(records, "_tie")
         return tied.repartitionByRange(partitions, "key", "_tie").sortWithinPartitions("key", "_tie").drop("_tie")
     placed = records.withColumn("_pid", prefix_partition(F.col("key"), partitions))
     return placed.repartitionById(partitions, "_pid").sortWithinPartitions("key").drop("_pid")

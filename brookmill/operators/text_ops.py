@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import permute_characters, tokens
+from ..session import with_input_position
 from .ranking import rank_rows
 
 
@@ -48,7 +49,7 @@ def top_k(df: DataFrame, by: str, tie: str, k: int = 10) -> DataFrame:
 def sort_lines(lines: DataFrame) -> DataFrame:
     """All lines in byte order. The input position breaks ties, so that a line that
     makes up much of the text is range-partitioned over several tasks."""
-    return lines.withColumn("_tie", F.monotonically_increasing_id()).orderBy("value", "_tie").drop("_tie")
+    return with_input_position(lines, "_tie").orderBy("value", "_tie").drop("_tie")
 
 
 def sort_positions(lines: DataFrame) -> DataFrame:

@@ -61,7 +61,8 @@ def top_k_words(spark, sf_dir):
     f"WITH {LINES} SELECT value, CAST(row_number() OVER (ORDER BY value) AS BIGINT) AS position FROM lines",
 )
 def sort_lines(spark, sf_dir):
-    return text_ops.sort_positions(document_lines(spark, sf_dir)).select("value", "position")
+    lines = text_ops.lines_of(table(spark, sf_dir, "documents"))
+    return text_ops.sort_positions(lines).select("value", "position")
 
 
 @query(

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(app: str = "brookmill", cpus: str | int = 8, **conf) -> SparkSession:
@@ -70,6 +71,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_input_position(df: DataFrame, name: str) -> DataFrame:
+    """Number the rows so that a retried task gives each row the same number again.
+
+    Rows of a scan come in a fixed order. Behind a shuffle they come in arrival order,
+    so such a table is written first and numbered as it is read back.
+    """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if re.search(r"(?<!Broadcast)Exchange", plan):
+        df = cut_lineage(df)
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
 def cut_placed(df: DataFrame, partitions: int, keys: list[str]) -> DataFrame:
     """As :func:`cut_lineage`, hash-placed and sorted by ``keys`` in a way later joins see.
 

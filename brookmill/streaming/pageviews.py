@@ -162,7 +162,11 @@ def write_first_rows(result: DataFrame, folder: str, checkpoint: str, limit: int
 
 
 def write_latest(result: DataFrame, folder: str, checkpoint: str, live: str | None = None) -> StreamingQuery:
-    """The complete result table, replaced after every batch."""
+    """The complete result table, replaced after every batch.
+
+    Complete mode keeps the state of all windows: right for bounded inputs and a bounded
+    set of keys. For an endless stream use :func:`with_lateness` and :func:`write_batches`.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(folder)
 

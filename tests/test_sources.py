@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brookmill.functions.units import bytes_to_size, size_to_bytes
-from brookmill.session import cut_lineage, cut_placed, shared_dir
+from brookmill.session import cut_lineage, cut_placed, shared_dir, with_input_position
 from brookmill.sources import generators as gen
 from brookmill.sources import text_formats as tf
 
@@ -112,3 +112,12 @@ def test_cut_lineage_uses_the_named_folder(spark, named_folder):
     made = {p.name for p in named_folder.iterdir()} - before
     assert any(name.startswith("cut-") for name in made)
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_rows_behind_a_shuffle_are_written_before_they_are_numbered(spark, named_folder):
+    written = lambda: sum(1 for p in named_folder.iterdir() if p.name.startswith("cut-"))
+    before = written()
+    assert with_input_position(spark.range(9), "n").select("n").distinct().count() == 9
+    assert written() == before
+    again = with_input_position(spark.range(9).repartition(3), "n")
+    assert written() == before + 1 and again.select("n").distinct().count() == 9
