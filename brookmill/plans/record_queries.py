@@ -80,7 +80,39 @@ def record_file_scan(spark, sf_dir):
     )
 
 
-@query("record_generate_validate")
+BLOCK = 128
+
+
+def _limb_step(a: int, c: int) -> str:
+    """``a * x + c`` modulo 2^128 over four 32-bit limbs ``x0 .. x3``, carry by carry."""
+    part = lambda n, k: (n >> (32 * k)) & 0xFFFFFFFF
+    columns, total = [], ""
+    for k in range(4):
+        carry = f" + ({total}) // 4294967296" if total else ""
+        products = " + ".join(f"CAST({part(a, j)} AS HUGEINT) * x{k - j}" for j in range(k + 1))
+        total = f"{products} + {part(c, k)}{carry}"
+        columns.append(f"({total}) % 4294967296")
+    return ", ".join(columns)
+
+
+# block starts by long steps, then all blocks advance together
+SEQUENCE = f"""blocks AS (
+  SELECT CAST(0 AS BIGINT) AS b, {', '.join(f'CAST({(records_gen.SHIFT >> (32 * k)) & 0xFFFFFFFF} AS HUGEINT) AS x{k}' for k in range(4))}
+  UNION ALL SELECT b + 1, {_limb_step(*records_gen.jump(BLOCK))} FROM blocks WHERE b < (SELECT max(o_orderkey) // {BLOCK} FROM orders)),
+states AS (
+  SELECT b, CAST(0 AS BIGINT) AS i, x0, x1, x2, x3 FROM blocks
+  UNION ALL SELECT b, i + 1, {_limb_step(records_gen.STEP, records_gen.SHIFT)} FROM states WHERE i < {BLOCK - 1}),
+made AS (SELECT b * {BLOCK} + i AS number, lower(concat(lpad(to_hex(CAST(x3 AS BIGINT)), 8, '0'), lpad(to_hex(CAST(x2 AS BIGINT)), 8, '0'),
+  substr(lpad(to_hex(CAST(x1 AS BIGINT)), 8, '0'), 1, 4))) AS key FROM states),
+k AS (SELECT number, key FROM made JOIN orders ON number = o_orderkey)"""
+
+
+@query(
+    "record_generate_validate",
+    f"""WITH RECURSIVE {SEQUENCE} SELECT CAST(count(*) AS BIGINT) AS records,
+  lower(to_hex(CAST(sum(xor({CRC_SQL}, 4294967295)) AS BIGINT))) AS checksum,
+  CAST(0 AS BIGINT) AS inside_disorders, CAST(0 AS BIGINT) AS border_disorders FROM k""",
+)
 def record_generate_validate(spark, sf_dir):
     """One generated record per order, numbered by its key, sorted and validated."""
     numbers = table(spark, sf_dir, "orders").select("o_orderkey")
@@ -116,3 +148,13 @@ def record_bytes(spark, sf_dir):
         binary.prefix_number(key).alias("prefix"), binary.unsigned_bytes(key, 2).alias("first_bytes"),
         binary.key_hex(F.substring(key, 3, 8)).alias("rest"), (key > F.unhex(F.lit("7f" + "ff" * 9))).alias("upper_half"),
     ).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "record_generate",
+    f"""WITH RECURSIVE {SEQUENCE} SELECT number, key, lpad(to_hex(number), 32, '0') AS number_text FROM k""",
+)
+def record_generate(spark, sf_dir):
+    """Key and printed record number of one generated record per order."""
+    made = records_gen.records_for(table(spark, sf_dir, "orders").select("o_orderkey"))
+    return made.select("number", binary.key_hex(F.col("key")).alias("key"), F.substring("value", 3, 32).cast("string").alias("number_text"))
