@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import line_dedup, mixing, packing, quality_model, substring_dedup
+from . import line_dedup, mixing, order_minhash, packing, quality_model, quality_rules, substring_dedup
 from .common import ID, NO_ID
 
 VOCABULARY = "word_bpe_49k.json"
@@ -43,6 +43,18 @@ def vocabulary() -> str:
     return str(public_tokenizers.path(VOCABULARY))
 
 
+@register("op1_quality_rules")
+def op1(spark, sf_dir):
+    out = quality_rules.quality_rules(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return out.drop("class_distance", "word_distance")
+
+
+@register("op2_order_minhash")
+def op2(spark, sf_dir):
+    out = order_minhash.edited_prints(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(own_id(), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 @register("op3_best_fit_packing")
 def op3(spark, sf_dir):
     packed = packing.pack_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
