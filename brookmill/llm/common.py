@@ -51,3 +51,9 @@ def released(rows: DataFrame, columns: list[str], **added: Column) -> DataFrame:
     """The held rows' own columns with ``added`` ones, which replace those of the same name."""
     kept = [F.col(f"{ROW}.`{c}`").alias(c) for c in columns if c not in added]
     return rows.select(*kept, *[value.alias(name) for name, value in added.items()])
+
+
+def with_size(docs: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
+    """``columns`` of changed documents, with ``n_chars`` (if there) counted anew."""
+    size = F.char_length(text_col).cast("bigint")
+    return docs.select(*[size.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in columns])

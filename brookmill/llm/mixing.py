@@ -131,11 +131,29 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float
                 id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """All rows with ``size`` (words), ``source_size``, ``target`` (both of the source),
     ``rate`` and ``taken`` (words the mix takes, repeats counted)."""
+    own = _joined(docs, weights, share, most, id_col, text_col, source_col)
+    return released(own, docs.columns, **{c: F.col(c) for c in MADE})
+
+
+def _joined(docs, weights, share, most, id_col, text_col, source_col) -> DataFrame:
+    """Held rows with their part of the mix."""
     rows = held_rows(docs, id_col, text_col).withColumn("source", F.col(f"{ROW}.`{source_col}`"))
     found = mixed(rows, weights, share, most).groupBy(F.col(ID).alias("_i"), F.col("_hash").alias("_h"), F.col("source").alias("_s"))
     table = found.agg(*[F.min(c).alias(c) for c in MADE])
-    own = rows.join(table, (F.col(ID) == F.col("_i")) & (F.xxhash64(TEXT) == F.col("_h")) & F.col("source").eqNullSafe(F.col("_s")))
-    return released(own, docs.columns, **{c: F.col(c) for c in MADE})
+    return rows.join(table, (F.col(ID) == F.col("_i")) & (F.xxhash64(TEXT) == F.col("_h")) & F.col("source").eqNullSafe(F.col("_s")))
+
+
+def copies(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST,
+           id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: each row as often as it is taken in full, and once more with its
+    first words (as they stand in the text) where the last copy is taken in part."""
+    rows = _joined(docs, weights, share, most, id_col, text_col, source_col).filter(F.col("taken") > 0)
+    full, part = F.floor(F.col("taken") / F.col("size")).cast("int"), F.col("taken") % F.col("size")
+    takes = F.concat(F.array_repeat(F.lit(None).cast("bigint"), full), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
+    rows = rows.select(ROW, TEXT, F.explode(takes).alias("_words"))
+    with_blanks = F.regexp_extract_all(TEXT, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
+    head = F.array_join(F.slice(with_blanks, F.lit(1), F.col("_words").cast("int")), "")
+    return released(rows, docs.columns, **{text_col: F.when(F.col("_words").isNull(), F.col(TEXT)).otherwise(head)})
 
 
 def mixed(rows: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:

@@ -36,7 +36,7 @@ CLASSES = ("[a-z]+", "[A-Z]+", "[0-9]+", r"[\x20\x09-\x0D]+", r"""[.,;:!?'"()\-]
 SYMBOLS = CLASSES[-1]
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MIN_CHARS_JUDGED, MIN_WORDS_JUDGED, MIN_REFERENCE = 200, 100, 20
-CLASS_LIMIT, WORD_LIMIT = 0.25, 0.27
+CLASS_LIMIT, WORD_LIMIT = 0.3, 0.27
 _PLACE = 26  # bits of a word's place in a sort key
 
 

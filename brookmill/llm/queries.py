@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import line_dedup, mixing, order_minhash, packing, quality_model, quality_rules, substring_dedup
+from . import line_dedup, mixing, near_dedup, order_minhash, packing, quality_model, quality_rules, substring_dedup
 from .common import ID, NO_ID
 
 VOCABULARY = "word_bpe_49k.json"
@@ -98,6 +98,12 @@ def op8(spark, sf_dir):
     return quality_model.classify(docs, read(spark, sf_dir, "labels")).drop("text")
 
 
+@register("op9_near_dedup")
+def op9(spark, sf_dir):
+    classes = near_dedup.near_classes(near_dedup.held_rows(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    return classes.select(own_id(), F.when(F.col("class_id") != NO_ID, F.col("class_id")).alias("class_id"))
+
+
 OP10_SQL = r"""
 WITH texts AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
