@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import line_dedup, mixing, near_dedup, order_minhash, packing, quality_model, quality_rules, substring_dedup
+from . import html_extract, license_scan, line_dedup, mixing, near_dedup, order_minhash, packing, quality_model, quality_rules, substring_dedup
 from .common import ID, NO_ID
 
 VOCABULARY = "word_bpe_49k.json"
@@ -61,6 +61,17 @@ def op3(spark, sf_dir):
     return packed.select(own_id(), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@register("op4_license_scan")
+def op4(spark, sf_dir):
+    found = license_scan.scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(own_id(), "template", "coverage", "n_matched", "start_char", "end_char")
+
+
+@register("op5_html_extraction")
+def op5(spark, sf_dir):
+    return html_extract.extract_pages(read(spark, sf_dir, "pages"))
+
+
 OP6_SQL = r"""
 WITH lines AS (
   SELECT doc_id, generate_subscripts(l, 1) AS k, unnest(l) AS line
