@@ -49,8 +49,8 @@ def row_hash() -> Column:
 
 def released(rows: DataFrame, columns: list[str], **added: Column) -> DataFrame:
     """The held rows' own columns with ``added`` ones, which replace those of the same name."""
-    kept = [F.col(f"{ROW}.`{c}`").alias(c) for c in columns if c not in added]
-    return rows.select(*kept, *[value.alias(name) for name, value in added.items()])
+    own = [added.pop(c).alias(c) if c in added else F.col(f"{ROW}.`{c}`").alias(c) for c in columns]
+    return rows.select(*own, *[value.alias(name) for name, value in added.items()])
 
 
 def with_size(docs: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:

@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut_lineage
 from .common import HASH, ID, TEXT, ascii_lower, held_rows, let, released, row_hash, strip
 from .sketches import repeated, seen_twice
 
@@ -63,6 +64,7 @@ def dropped_lines(rows: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
         .select(ID, HASH, F.explode(F.filter(F.arrays_zip("lines", "hit"), lambda x: x["hit"])).alias("x"))
         .select(ID, HASH, F.unhex(F.md5("x.lines.key")).alias("key"), F.col("x.lines.at").alias("at"))
     )
+    marked = cut_lineage(marked)  # counted and joined
     counted = (
         marked.select("key", ID).distinct().groupBy("key")
         .agg(F.count(F.lit(1)).alias("docs"), F.max(ID).alias("keeper"))
@@ -74,17 +76,16 @@ def dropped_lines(rows: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     )
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows with the text that stays, ``n_lines`` before and ``n_dropped``."""
+def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text",
+               counts: bool = True) -> DataFrame:
+    """All rows with the text that stays and, unless ``counts`` is off, ``n_lines`` before
+    and ``n_dropped``."""
     rows = held_rows(docs, id_col, text_col)
     gone = dropped_lines(rows, min_chars, min_docs)
     joined = rows.withColumn(HASH, row_hash()).join(gone, [ID, HASH], "left")
     lines = F.split(TEXT, "\n")
     stay = let(lines, lambda ls: F.array_join(
         F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("gone")), lambda i: F.get(ls, i)), "\n"))
-    return released(
-        joined, docs.columns,
-        **{text_col: F.when(F.col("gone").isNull(), F.col(TEXT)).otherwise(stay)},
-        n_lines=F.size(lines).cast("bigint"),
-        n_dropped=F.coalesce(F.size("gone"), F.lit(0)).cast("bigint"),
-    )
+    text = F.when(F.col("gone").isNull(), F.col(TEXT)).otherwise(stay)
+    numbers = {"n_lines": F.size(lines).cast("bigint"), "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("bigint")}
+    return released(joined, docs.columns, **{text_col: text}, **(numbers if counts else {}))

@@ -124,7 +124,8 @@ def multipliers(sizes: DataFrame, targets: DataFrame, share: float = SHARE, most
             F.when(F.col("done") | close, F.col("multiplier")).otherwise(step).alias("multiplier"),
             "low", "high", (F.col("done") | F.coalesce(close, F.lit(False))).alias("done"),
         ))
-    return state.select("source", "size", "target", "mean", "multiplier")
+    # rounded, so that the order of floating-point sums decides nothing
+    return state.select("source", "size", "target", "mean", F.round("multiplier", 6).alias("multiplier"))
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST,

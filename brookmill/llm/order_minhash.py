@@ -109,11 +109,8 @@ def edited_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = held_rows(docs, id_col, text_col).select(ID, TEXT, row_hash().alias(HASH))
     base = cut_lineage(rows.select(ID, HASH, F.char_length(TEXT).cast("bigint").alias("n_chars"), fingerprint(F.col(TEXT)).alias("print")))
     # rows equal in id and text are one document of the order
-    once = base.select(ID, HASH).distinct().withColumn("_down", -F.col(ID))
-    # the negative of the smallest long is itself: the null id goes last by this flag
-    once = once.withColumn("_last", F.col(ID) == F.col("_down"))
-    once = once.withColumn("_last", F.col("_last") & (F.col(ID) != 0))
-    numbered = cut_lineage(rank_rows(once, [], ["_last", "_down", HASH], "at").select(ID, HASH, "at"))
+    once = base.select(ID, HASH).distinct().withColumn("_down", F.bitwise_not(ID))  # descending, without overflow
+    numbered = cut_lineage(rank_rows(once, [], ["_down", HASH], "at").select(ID, HASH, "at"))
     total = numbered.count()
     following = numbered.select(F.col(ID).alias("_ni"), F.col(HASH).alias("_nh"), F.col("at").alias("_at"))
     pairs = numbered.join(following, F.col("at") % F.lit(max(total, 1)) + 1 == F.col("_at")).select(ID, HASH, "_ni", "_nh")

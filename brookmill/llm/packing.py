@@ -36,7 +36,8 @@ from ..session import cut_lineage
 from .common import BLANKS, ID, TEXT, held_rows
 
 CAPACITY, END_ID = 4096, 1
-MEMO_WORDS = 400_000  # words a worker remembers the ids of
+MEMO_WORDS = 200_000  # words a worker remembers the ids of
+SLICE_BYTES = 8 << 20  # of text tokenised at once
 BUCKET_ROWS = 65_536
 
 
@@ -95,11 +96,21 @@ def token_lists(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return all_ids, np.diff(word_ends[bounds])
 
 
+def _slices(batch: pa.RecordBatch, column: int):
+    """The batch in parts of bounded text size (or of one row)."""
+    sizes = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, piece, start, length, ids_crc32)`` of each document's token stretches."""
 
     def cut(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, 1)):
             doc_ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             ids, sizes = token_lists(texts, path)
             out: list[tuple] = []

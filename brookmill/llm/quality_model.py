@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ID, TEXT, held_rows, let, released, words
+from .common import ID, ROW, TEXT, held_rows, let, released, words
 
 SAMPLE = 20_000
 BINS, PAIR_BINS, PAIRS = 32, 12, 10
@@ -204,9 +204,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
     return fit(got[NAMES].to_numpy(float), got["_y"].to_numpy(float))
 
 
-def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE, threshold: float = THRESHOLD,
-             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows with ``held_out``, ``score`` and ``predicted`` (1: good)."""
+def _scored(docs: DataFrame, labels: DataFrame, label_col: str, sample: int, id_col: str, text_col: str) -> DataFrame:
+    """Held rows with ``_score``."""
     model = train(docs, labels, label_col, sample, id_col, text_col)
     rows = held_rows(docs, id_col, text_col)
     shared = rows.sparkSession.sparkContext.broadcast(model)
@@ -215,9 +214,20 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sam
     def score(m: pd.DataFrame) -> pd.Series:
         return pd.Series(shared.value.score(m[NAMES].to_numpy(float)))
 
-    scored = rows.withColumn("_score", score(measures(F.col(TEXT))))
+    return rows.withColumn("_score", score(measures(F.col(TEXT))))
+
+
+def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE, threshold: float = THRESHOLD,
+             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows with ``held_out``, ``score`` and ``predicted`` (1: good)."""
     return released(
-        scored, docs.columns,
-        held_out=is_held_out(F.col(f"_row.`{id_col}`")), score=F.col("_score"),
+        _scored(docs, labels, label_col, sample, id_col, text_col), docs.columns,
+        held_out=is_held_out(F.col(f"{ROW}.`{id_col}`")), score=F.col("_score"),
         predicted=F.when(F.col("_score") >= threshold, 1).otherwise(0),
     )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE, threshold: float = THRESHOLD,
+              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that are predicted to be good, with their own columns."""
+    return released(_scored(docs, labels, label_col, sample, id_col, text_col).filter(F.col("_score") >= threshold), docs.columns)

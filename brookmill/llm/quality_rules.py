@@ -110,7 +110,8 @@ def js_distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance of two histograms of shares."""
     half = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
     terms = F.zip_with(p, q, lambda a, b: half(a, (a + b) / 2) + half(b, (a + b) / 2))
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
+    total = F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
+    return F.when(total.isNotNull(), F.sqrt(F.greatest(total / 2, F.lit(0.0))))
 
 
 def _mean_histogram(rows: DataFrame, histogram: Column, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ window's words alone. Equal windows share it, so the number of documents in whic
 gram is the smallest of some window is at least the number of documents with the window.
 First pass: each task counts its documents' smallest grams in a count-min sketch whose
 counters stop at two; the tasks' sketches are merged. Second pass: only windows whose
-estimate is two are shuffled, as 128-bit hashes of their words, and grouped exactly. The
+estimate is two are shuffled, as 95 bits of hashes of their words, and grouped exactly. The
 estimate is never too low, so no repeat is lost; a sketch too small for a corpus lets
 more windows through and changes nothing else.
 
@@ -26,11 +26,10 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import cut_lineage
 from .common import HASH, ID, TEXT, held_rows, let, released, row_hash, words
 from .sketches import mix, repeated, seen_twice
 
-WINDOW, GRAM = 50, 8
+WINDOW, GRAM = 50, 32
 SKETCH_BITS, SKETCH_ROWS = 26, 2
 _POWERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 BLOCK = 1 << 20  # positions worked on at once
@@ -76,7 +75,8 @@ def _texts(batch: pa.RecordBatch, column: int):
 
 
 def repeated_windows(rows: DataFrame, window: int, gram: int) -> DataFrame:
-    """``(id, hash of the text, first words)`` of windows that an earlier document holds."""
+    """``(id, 32 bits of the text's hash, first word)`` of windows that an earlier document
+    holds. Windows are told apart by 95 bits of two hashes."""
     hashed = rows.select(ID, row_hash().alias(HASH), F.transform(words(F.col(TEXT)), lambda w: F.xxhash64(w)).alias("h"))
 
     def read(batch):
@@ -86,7 +86,7 @@ def repeated_windows(rows: DataFrame, window: int, gram: int) -> DataFrame:
     twice = rows.sparkSession.sparkContext.broadcast(seen_twice(hashed.select("h"), SKETCH_BITS, SKETCH_ROWS, read))
 
     def windows(batches):
-        names = ["a", "b", ID, HASH, "at"]
+        names = ["a", "b", ID, "place"]
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for row, h in _texts(batch, 2):
@@ -97,14 +97,16 @@ def repeated_windows(rows: DataFrame, window: int, gram: int) -> DataFrame:
                 hit = np.repeat(repeated(twice.value, SKETCH_BITS, least[change]), np.diff(np.r_[change, len(least)]))
                 at = np.flatnonzero(hit)
                 if len(at):
-                    a, b = (mix(_rolled(h, window, p), 2)[at].view(np.int64) for p in _POWERS)
-                    columns = [a, b, np.full(len(at), ids[row]), np.full(len(at), texts[row]), at.astype(np.int32)]
+                    a, b = (mix(_rolled(h, window, p), 2)[at] for p in _POWERS)
+                    place = (at << 32) | (int(texts[row]) & 0xFFFFFFFF)
+                    columns = [a.view(np.int64), (b >> np.uint64(33)).astype(np.int32), np.full(len(at), ids[row]), place]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
-    schema = f"a bigint, b bigint, {ID} bigint, {HASH} bigint, at int"
-    found = cut_lineage(hashed.mapInArrow(windows, schema))
-    first = found.groupBy("a", "b").agg(F.min(ID).alias("first"), F.max(ID).alias("last")).filter(F.col("first") < F.col("last"))
-    return found.join(first.drop("last"), ["a", "b"]).filter(F.col(ID) > F.col("first")).select(ID, HASH, "at")
+    # made twice rather than written: the rows outweigh the work
+    found = hashed.mapInArrow(windows, f"a bigint, b int, {ID} bigint, place bigint")
+    first = found.groupBy("a", "b").agg(F.min(ID).alias("first"))
+    later = found.join(first, ["a", "b"]).filter(F.col(ID) > F.col("first"))
+    return later.select(ID, F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias(HASH), F.shiftright("place", 32).cast("int").alias("at"))
 
 
 def _kept(starts: Column, size: Column, window: int) -> Column:
@@ -120,7 +122,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
     ``n_removed``."""
     rows = held_rows(docs, id_col, text_col)
     starts = repeated_windows(rows, window, gram).groupBy(ID, HASH).agg(F.sort_array(F.collect_set("at")).alias("starts"))
-    joined = rows.withColumn(HASH, row_hash()).join(starts, [ID, HASH], "left")
+    joined = rows.withColumn(HASH, row_hash().bitwiseAND(F.lit(0xFFFFFFFF))).join(starts, [ID, HASH], "left")
     none = F.array().cast("array<int>")
     # the first start has no stretch before it unless it is above 0: its left bound is -window
     cut = let(words(F.col(TEXT)), lambda ws: let(_kept(F.coalesce("starts", none), F.size(ws), window), lambda gs: F.struct(

@@ -26,13 +26,12 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labels, does not reject."""
-    scored = quality_model.classify(docs, read(spark, sf_dir, "labels"))
-    return scored.filter("predicted = 1").select(*docs.columns)
+    return quality_model.keep_good(docs, read(spark, sf_dir, "labels"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that many documents share; the largest id keeps them."""
-    return with_size(line_dedup.line_dedup(docs), docs.columns)
+    return with_size(line_dedup.line_dedup(docs, counts=False), docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
