@@ -38,9 +38,11 @@ def checksum_sum(data: Column) -> Column:
 
 
 def wide_hex(number: Column) -> Column:
-    """Lower-case hexadecimal of a decimal(38,0) without leading zeros."""
+    """Lower-case hexadecimal of a decimal(38,0) of at most 110 bits without leading zeros."""
     base = F.lit(2**48).cast("decimal(38,0)")
-    high = F.floor(number / base).cast("bigint")
-    low = (number - high.cast("decimal(38,0)") * base).cast("bigint")
+    # the remainder is exact, and so is the division of what it leaves
+    low = F.pmod(number, base)
+    high = ((number - low) / base).cast("bigint")
+    low = low.cast("bigint")
     text = F.when(high > 0, F.concat(F.hex(high), F.lpad(F.hex(low), 12, "0"))).otherwise(F.hex(low))
     return F.lower(text)

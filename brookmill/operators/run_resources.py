@@ -30,14 +30,16 @@ def without_hosts(samples: DataFrame, pattern: str = "master") -> DataFrame:
 
 def usage(samples: DataFrame, intervals: DataFrame, ids: list[str], measures: list[str]) -> DataFrame:
     """Cluster value of each measure per interval: node mean (cpu, load) or node sum
-    (disk, network) first, then the mean over nodes. Nodes without a valid sample do not
-    count; with no such node the value is null.
+    (disk, network) first, then the mean over nodes. A sample with a figure that is not a
+    number is left out with both its figures. Nodes without a valid sample do not count;
+    with no such node the value is null.
 
     ``intervals`` has ``start`` and ``end`` in milliseconds. All measures share one pass.
     """
     wanted = {m: MEASURES[m] for m in measures}
     metrics = sorted({metric for metric, _ in wanted.values()})
-    points = without_hosts(samples).filter(F.col("metric").isin(metrics)).select(
+    whole_lines = ~F.isnan("v1") & ~F.isnan("v2")
+    points = without_hosts(samples).filter(F.col("metric").isin(metrics) & whole_lines).select(
         "host", "ts", *[F.when(F.col("metric") == metric, F.col(v)).alias(m) for m, (metric, v) in wanted.items()]
     )
     spans = intervals.select(*ids, ms_to_s(F.col("start")).alias("_from"), ms_to_s(F.col("end")).alias("_to"))

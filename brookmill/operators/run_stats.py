@@ -109,6 +109,15 @@ def trimmed_runs(run_table: DataFrame, group: list[str], percent: int = 10) -> D
     return trim_ranks(run_table, group, ["runtime", "run"], percent)
 
 
+def selected_runs(
+    runs: DataFrame, stages: DataFrame, keep: Column | None = None, percent: int = 10, group: tuple[str, ...] = ("workload", "variant")
+) -> DataFrame:
+    """The runs that reports are made of: start and end from the stages of real jobs (or
+    those that ``keep`` holds), extremes of each group dropped unless ``percent`` is 0."""
+    valid = run_table(runs, stages, real_jobs() if keep is None else keep)
+    return trimmed_runs(valid, list(group), percent) if percent else valid
+
+
 def stage_intervals(stages: DataFrame) -> DataFrame:
     return stages.filter(has_tasks()).select("run", "stage", "attempt", "start", F.col("completion").alias("end"))
 

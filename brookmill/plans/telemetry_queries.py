@@ -15,7 +15,7 @@ from ..operators import intervals, run_compare, run_resources, run_stats
 from ..session import cut_lineage, scratch_path
 from ..sources import eventlog, reports, samples as sample_files
 from ..sources.sinks import formatted, write_statistics
-from .registry import query, table
+from .registry import ORACLES, query, table
 
 TASKS = """tasks AS (
   SELECT l_suppkey AS run, l_linenumber AS stage, 0 AS attempt,
@@ -37,20 +37,29 @@ stages AS (
   SELECT run, stage, attempt, concat('stage-', stage) AS name, stage % 3 AS job, CAST(count(*) AS INTEGER) AS task_count,
     min(start) AS start, max("end") AS completion, bool_or(s_acctbal < 0 AND stage = 1) AS failed
   FROM tasks JOIN supplier ON run = s_suppkey GROUP BY run, stage, attempt)"""
-RUNS = STAGES + """,
+def _runs_sql(cond: str) -> str:
+    return STAGES + f""",
 runs AS (SELECT s_suppkey AS run, r_name AS workload, s_suppkey % 2 = 0 AS variant FROM supplier
   JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 run_table AS (
   SELECT r.run, workload, variant, min(start) AS start, max(completion) AS "end", max(completion) - min(start) AS runtime
   FROM runs r JOIN stages s ON r.run = s.run
-  WHERE task_count > 0 AND r.run NOT IN (SELECT run FROM stages WHERE failed) GROUP BY r.run, workload, variant)"""
-TRIMMED = RUNS + """,
+  WHERE {cond} AND r.run NOT IN (SELECT run FROM stages WHERE failed) GROUP BY r.run, workload, variant)"""
+
+
+def _trimmed_sql(runs_sql: str) -> str:
+    return runs_sql + """,
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY workload, variant ORDER BY runtime, run) - 1 AS rank,
     count(*) OVER (PARTITION BY workload, variant) AS n FROM run_table),
 trimmed AS (SELECT run, workload, variant, start, "end", runtime FROM ranked WHERE rank BETWEEN n * 10 // 100 AND n * 90 // 100)"""
 
 
+# all stages with tasks, and those of real jobs, which the reports are made of
+RUNS, REAL_RUNS = _runs_sql("task_count > 0"), _runs_sql("task_count > 0 AND job > 0")
+TRIMMED, REAL_TRIMMED = _trimmed_sql(RUNS), _trimmed_sql(REAL_RUNS)
+
+
 def whole_number(col: Column) -> Column:
     return F.floor(col).cast("bigint")
 
@@ -106,6 +115,13 @@ def stages_and_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return stage_table, run_table(spark, sf_dir, stage_table)
 
 
+def selected(spark: SparkSession, sf_dir: str, percent: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Stages of real jobs in the runs a report is made of, and these runs."""
+    stage_table = stages(spark, sf_dir)
+    run_rows = cut_lineage(run_stats.selected_runs(runs(spark, sf_dir), stage_table, percent=percent))
+    return cut_lineage(valid(stage_table.filter(run_stats.real_jobs()), run_rows)), run_rows
+
+
 def valid(df: DataFrame, run_rows: DataFrame) -> DataFrame:
     """Tasks or stages of valid runs only."""
     return df.join(run_rows.select("run"), "run", "left_semi")
@@ -218,20 +234,18 @@ def job_end_markers(spark, sf_dir):
 
 @query(
     "average_timeline",
-    f"""WITH {RUNS} SELECT s.job, s.stage, CAST(sum(s.start - r.start) // count(*) AS BIGINT) AS start,
+    f"""WITH {REAL_TRIMMED} SELECT s.job, s.stage, CAST(sum(s.start - r.start) // count(*) AS BIGINT) AS start,
   CAST(sum(s.completion - r.start) // count(*) AS BIGINT) AS completion, CAST(count(*) AS BIGINT) AS runs
-FROM stages s JOIN run_table r ON s.run = r.run WHERE task_count > 0 GROUP BY s.job, s.stage""",
+FROM stages s JOIN trimmed r ON s.run = r.run WHERE task_count > 0 AND job > 0 GROUP BY s.job, s.stage""",
 )
 def average_timeline(spark, sf_dir):
-    return run_stats.average_timeline(*stages_and_runs(spark, sf_dir))
-
-
+    return run_stats.average_timeline(*selected(spark, sf_dir))
 
 
 @query(
     "runtime_stats",
-    f"""WITH {RUNS}, s AS (SELECT workload, variant, list_sort(list(runtime)) AS xs, count(*) AS n, avg(runtime) AS mean, stddev_samp(runtime) AS std
-  FROM run_table GROUP BY workload, variant),
+    f"""WITH {REAL_TRIMMED}, s AS (SELECT workload, variant, list_sort(list(runtime)) AS xs, count(*) AS n, avg(runtime) AS mean, stddev_samp(runtime) AS std
+  FROM trimmed GROUP BY workload, variant),
 p AS (SELECT *, 0.5::DOUBLE * n + 0.5::DOUBLE AS m, 0.9::DOUBLE * n + 0.9::DOUBLE AS q FROM s)
 SELECT workload, variant, CAST(n AS BIGINT) AS n, round(mean, 2) AS mean, round(std, 2) AS std,
   round(CASE WHEN m < 1 THEN xs[1] WHEN m >= n THEN xs[n] ELSE xs[CAST(floor(m) AS INTEGER)] + (m - floor(m)) * (xs[CAST(floor(m) AS INTEGER) + 1] - xs[CAST(floor(m) AS INTEGER)]) END, 2) AS median,
@@ -239,12 +253,12 @@ SELECT workload, variant, CAST(n AS BIGINT) AS n, round(mean, 2) AS mean, round(
 FROM p""",
 )
 def runtime_stats(spark, sf_dir):
-    rows, by = run_table(spark, sf_dir), ["workload", "variant"]
+    rows, by = selected(spark, sf_dir)[1], ["workload", "variant"]
     out = run_compare.runtime_moments(rows, by).join(run_compare.runtime_percentiles(rows, by), by)
     return out.select(*by, "n", *[F.round(c, 2).alias(c) for c in ("mean", "std", "median", "p90")])
 
 
-COMPARED = TRIMMED + """,
+COMPARED = REAL_TRIMMED + """,
 side AS (SELECT workload, variant, count(*)::DOUBLE AS n, avg(runtime) AS mean, var_samp(runtime) AS var FROM trimmed GROUP BY workload, variant),
 pair AS (SELECT a.workload, a.n AS n1, b.n AS n2, a.mean AS m1, b.mean AS m2, a.var AS v1, b.var AS v2
   FROM side a JOIN side b ON a.workload = b.workload AND a.variant AND NOT b.variant),
@@ -259,8 +273,7 @@ df AS (SELECT *, (v1 / n1 + v2 / n2) * (v1 / n1 + v2 / n2) / (v1 * v1 / (n1 * n1
   round(100 * (m1 - m2) / m1, 6) AS speedup FROM df""",
 )
 def runtime_compare(spark, sf_dir):
-    trimmed = run_stats.trimmed_runs(run_table(spark, sf_dir), ["workload", "variant"])
-    out = run_compare.compare_runtimes(trimmed)
+    out = run_compare.compare_runtimes(selected(spark, sf_dir)[1])
     return out.select(
         "workload", "on_n", "off_n", *[F.round(c, 2).alias(c) for c in ("on_mean", "off_mean", "diff")],
         F.round("freedom", 6).alias("freedom"), F.round("t", 6).alias("t"), F.round(F.col("error") / 1e6, 6).alias("error_ks"),
@@ -270,16 +283,31 @@ def runtime_compare(spark, sf_dir):
 
 @query("runtime_compare_report")
 def runtime_compare_report(spark, sf_dir):
-    """The fifteen-column report; its t quantiles have no SQL form."""
-    trimmed = run_stats.trimmed_runs(run_table(spark, sf_dir), ["workload", "variant"])
-    report = run_compare.compare_report(trimmed)
+    """The fifteen-column report, formatted."""
+    report = run_compare.compare_report(selected(spark, sf_dir)[1])
     numbers = [c for c, t in report.dtypes if t in ("double", "bigint")]
     return formatted(report, {c: run_resources.RUNTIME_PATTERN for c in numbers})
 
 
-@query("mean_intervals")
+def _quantile_sql(source: str) -> str:
+    """CTE ``quantile`` (v, x): Student t at 0.975 for the degrees of freedom ``v`` of
+    ``source``, by Newton steps on a Simpson integral of the density."""
+    density = "exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi())"
+    slices = "list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(1 + pow(i * x / 2000, 2) / v, -(v + 1) / 2)))"
+    return f"""newton AS (SELECT DISTINCT v, 2.0::DOUBLE AS x, 0 AS k FROM {source} WHERE v > 0
+  UNION ALL SELECT v, x - (0.5 - 0.975 + x / 6000 * {density} * {slices}) / ({density} * pow(1 + x * x / v, -(v + 1) / 2)), k + 1 FROM newton WHERE k < 12),
+quantile AS (SELECT v, x FROM newton WHERE k = 12)"""
+
+
+@query(
+    "mean_intervals",
+    f"""WITH RECURSIVE {REAL_TRIMMED}, s AS (SELECT workload, variant, count(*) AS n, avg(runtime) AS mean, stddev_samp(runtime) AS std,
+    (count(*) - 1)::DOUBLE AS v FROM trimmed GROUP BY workload, variant), {_quantile_sql('s')}
+SELECT workload, variant, CAST(n AS BIGINT) AS n, round(mean, 2) AS mean, round(mean - x * std / sqrt(n), 2) AS lower, round(mean + x * std / sqrt(n), 2) AS upper
+FROM s LEFT JOIN quantile ON s.v = quantile.v""",
+)
 def mean_intervals(spark, sf_dir):
-    moments = run_compare.runtime_moments(run_table(spark, sf_dir), ["workload", "variant"])
+    moments = run_compare.runtime_moments(selected(spark, sf_dir)[1], ["workload", "variant"])
     return run_compare.mean_interval(moments).select("workload", "variant", "n", *[F.round(c, 2).alias(c) for c in ("mean", "lower", "upper")])
 
 
@@ -300,7 +328,7 @@ def execution_compare(spark, sf_dir):
     return run_compare.compare_execution(tasks(spark, sf_dir), run_table(spark, sf_dir))
 
 
-GC = RUNS + """,
+GC = REAL_RUNS + """,
 t AS (SELECT tasks.*, variant FROM tasks JOIN run_table r ON tasks.run = r.run JOIN stages s ON s.run = tasks.run AND s.stage = tasks.stage WHERE s.job > 0),
 sizes AS (SELECT count(*) FILTER (WHERE variant) AS n1, count(*) FILTER (WHERE NOT variant) AS n2 FROM run_table),
 gc AS (SELECT stage, coalesce(CAST(sum(gc) FILTER (WHERE variant) AS BIGINT) // any_value(n1), 0) AS on_gc,
@@ -309,7 +337,7 @@ gc AS (SELECT stage, coalesce(CAST(sum(gc) FILTER (WHERE variant) AS BIGINT) //
 
 @query("gc_compare", f"WITH {GC} SELECT stage, on_gc, off_gc FROM gc")
 def gc_compare(spark, sf_dir):
-    return run_compare.compare_gc(tasks(spark, sf_dir), *stages_and_runs(spark, sf_dir))
+    return run_compare.compare_gc(tasks(spark, sf_dir), *selected(spark, sf_dir, 0))
 
 
 @query(
@@ -322,7 +350,7 @@ UNION ALL SELECT 'Total GC Time', a, b FROM total
 UNION ALL SELECT 'GC Time Percentage', round(100 * total.a / net.a, 8), round(100 * total.b / net.b, 8) FROM total, net""",
 )
 def gc_report(spark, sf_dir):
-    out = run_compare.gc_report(tasks(spark, sf_dir), *stages_and_runs(spark, sf_dir))
+    out = run_compare.gc_report(tasks(spark, sf_dir), *selected(spark, sf_dir, 0))
     return out.select("item", F.round("on", 8).alias("on"), F.round("off", 8).alias("off"))
 
 
@@ -330,7 +358,7 @@ def gc_report(spark, sf_dir):
 def gc_statistics_file(spark, sf_dir):
     """A statistics file with header and number patterns, read back as text."""
     path = scratch_path(spark, "statistics")
-    rows = run_compare.compare_gc(tasks(spark, sf_dir), *stages_and_runs(spark, sf_dir)).select(
+    rows = run_compare.compare_gc(tasks(spark, sf_dir), *selected(spark, sf_dir, 0)).select(
         F.col("stage").alias("StageId"), (F.col("on_gc") * 1000).alias("Barrier"), (F.col("off_gc") * 1000).alias("NoBarrier")
     )
     write_statistics(rows, path, {"Barrier": "#,### MB", "NoBarrier": run_resources.USAGE_PATTERN}, ["StageId"])
@@ -374,7 +402,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _usage_sql(name: str, spans: str, ids: str, measures: dict[str, tuple[str, str, str]]) -> str:
     """CTEs ``<name>``: node value first, then the mean over nodes, per interval."""
-    per = [f"{agg}({v}) FILTER (WHERE metric = '{metric}' AND NOT isnan({v})) AS {m}" for m, (metric, v, agg) in measures.items()]
+    per = [f"{agg}({v}) FILTER (WHERE metric = '{metric}' AND NOT isnan(v1) AND NOT isnan(v2)) AS {m}" for m, (metric, v, agg) in measures.items()]
     return f"""{name}_node AS (SELECT {ids}, host, {', '.join(per)} FROM {spans} i
   JOIN good s ON s.ts BETWEEN i.start // 1000 AND i."end" // 1000 GROUP BY {ids}, host),
 {name} AS (SELECT {ids}, {', '.join(f'avg({m}) AS {m}' for m in measures)} FROM {name}_node GROUP BY {ids})"""
@@ -382,6 +410,7 @@ def _usage_sql(name: str, spans: str, ids: str, measures: dict[str, tuple[str, s
 
 _ALL = {"idle": ("cpu", "v1", "avg"), "load": ("load", "v1", "avg"), "download": ("network", "v1", "sum"), "upload": ("network", "v2", "sum")}
 _SPANS = RUNS + ', spans AS (SELECT run, stage, start, completion AS "end" FROM stages WHERE task_count > 0), ' + SAMPLES
+_REAL_SPANS = REAL_TRIMMED + ', spans AS (SELECT run, stage, start, completion AS "end" FROM stages WHERE task_count > 0 AND job > 0), ' + SAMPLES
 
 
 @query(
@@ -395,9 +424,9 @@ def stage_usage(spark, sf_dir):
 
 
 def _report_sql(first: str, second: str, measures: dict[str, tuple[str, str, str]]) -> str:
-    return f"""WITH {_SPANS}, valid_spans AS (SELECT spans.* FROM spans JOIN run_table USING (run)),
+    return f"""WITH {_REAL_SPANS}, valid_spans AS (SELECT spans.* FROM spans JOIN trimmed USING (run)),
 {_usage_sql('used', 'valid_spans', 'run, stage', measures)},
-{_usage_sql('whole', 'run_table', 'run', measures)}
+{_usage_sql('whole', 'trimmed', 'run', measures)}
 SELECT stage, concat('stage-', stage) AS name, round(avg({first}), 7) AS {first}, round(avg({second}), 7) AS {second} FROM used
 WHERE {first} IS NOT NULL AND {second} IS NOT NULL GROUP BY stage
 UNION ALL SELECT -1, 'App', round(avg({first}), 7), round(avg({second}), 7) FROM whole WHERE {first} IS NOT NULL AND {second} IS NOT NULL"""
@@ -409,15 +438,13 @@ _NET = {"download": ("network", "v1", "sum"), "upload": ("network", "v2", "sum")
 
 @query("disk_report", _report_sql("disk_read", "disk_write", _DISK))
 def disk_report(spark, sf_dir):
-    stage_rows, run_rows = stages_and_runs(spark, sf_dir)
-    out = run_resources.disk_report(samples(spark, sf_dir), valid(stage_rows, run_rows), run_rows)
+    out = run_resources.disk_report(samples(spark, sf_dir), *selected(spark, sf_dir))
     return out.select("stage", "name", *[F.round(c, 7).alias(c) for c in _DISK])
 
 
 @query("network_report", _report_sql("download", "upload", _NET))
 def network_report(spark, sf_dir):
-    stage_rows, run_rows = stages_and_runs(spark, sf_dir)
-    out = run_resources.network_report(samples(spark, sf_dir), valid(stage_rows, run_rows), run_rows)
+    out = run_resources.network_report(samples(spark, sf_dir), *selected(spark, sf_dir))
     return out.select("stage", "name", *[F.round(c, 7).alias(c) for c in _NET])
 
 
@@ -454,7 +481,7 @@ _SUMMARY_STATS = ", ".join(
 
 @query(
     "stage_summary",
-    f"""WITH {_SPANS}, valid_spans AS (SELECT spans.* FROM spans JOIN run_table USING (run)),
+    f"""WITH {_REAL_SPANS}, valid_spans AS (SELECT spans.* FROM spans JOIN run_table USING (run)),
 {_usage_sql('used', 'valid_spans', 'run, stage', _ALL)},
 d AS (SELECT run, stage, "end" - start AS duration FROM tasks),
 s AS (SELECT run, stage, count(*) AS n, CAST(sum(duration) AS BIGINT) AS total, min(duration) AS shortest, max(duration) AS longest,
@@ -479,24 +506,28 @@ def stage_summary(spark, sf_dir):
 
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stage_rows, run_rows = stages_and_runs(spark, sf_dir)
-    kept = cut_lineage(valid(stage_rows, run_rows))
-    work = tasks(spark, sf_dir)  # joined with the kept stages in the end
+    kept, _ = selected(spark, sf_dir, 0)
+    # tasks of runs and stages that are left out are not worked on
+    work = tasks(spark, sf_dir).join(kept.select(*run_stats.KEY), run_stats.KEY, "left_semi")
     used = run_resources.stage_usage(samples(spark, sf_dir), kept, list(_ALL))
     return run_resources.stage_summary(kept, run_stats.stage_stats(work, kept), run_stats.stage_io(work), used)
 
 
+_SUMMARY_SQL = ORACLES["stage_summary"]
+_MB = ", ".join(f"format('{{:,}} MB', {c}_mb) AS \"{h}\"" for c, h in (("memory", "MemoryInput"), ("hadoop", "HadoopInput"), ("network", "NetworkInput"), ("disk", "DiskInput")))
+
+
 @query(
     "stage_summary_file",
-    f"""WITH {RUNS}, x AS (SELECT run, stage, {_IO}, CAST(sum("end" - start) AS BIGINT) AS total FROM tasks GROUP BY run, stage)
-SELECT stage AS "StageId", CAST(sum(total) AS BIGINT) // count(*) // 1000 AS "TotalTaskRuntime",
-  {', '.join(f"format('{{:,}} MB', CAST(sum({c}_bytes) AS BIGINT) // count(*) // 1000000) AS {h}" for c, h in (('memory', '"MemoryInput"'), ('hadoop', '"HadoopInput"'), ('network', '"NetworkInput"'), ('disk', '"DiskInput"')))}
-FROM x JOIN run_table USING (run) GROUP BY stage""",
+    f"""WITH summary AS ({_SUMMARY_SQL}) SELECT CAST(stage AS VARCHAR) AS "StageId", name AS "Name", CAST(task_count AS VARCHAR) AS "TaskCount",
+  {', '.join(f'CAST({c} AS VARCHAR) AS "{h}"' for h, c in list(run_resources.STAGE_SUMMARY_HEADER.items())[3:9])}, {_MB} FROM summary""",
 )
 def stage_summary_file(spark, sf_dir):
-    """The formatted file; every stage of this data has all four resource measures."""
-    rows = formatted(run_resources.stage_summary_file(summary(spark, sf_dir)), run_resources.STAGE_SUMMARY_PATTERNS)
-    return rows.select("StageId", "TotalTaskRuntime", "MemoryInput", "HadoopInput", "NetworkInput", "DiskInput")
+    """The file of thirteen columns, written with its number patterns and read back as text."""
+    path = scratch_path(spark, "summary")
+    write_statistics(run_resources.stage_summary_file(summary(spark, sf_dir)), path, run_resources.STAGE_SUMMARY_PATTERNS, ["StageId"])
+    schema = ", ".join(f"{c} string" for c in run_resources.STAGE_SUMMARY_HEADER)
+    return spark.read.schema(schema).option("header", True).csv(path)
 
 
 _DAYS = """days AS (SELECT event_type AS stage, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day,

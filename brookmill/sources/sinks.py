@@ -32,9 +32,9 @@ def formatted(df: DataFrame, patterns: dict[str, str]) -> DataFrame:
 def write_statistics(df: DataFrame, path: str, patterns: dict[str, str] | None = None, order: list[str] | None = None) -> None:
     """One CSV file with a header. For grouped statistics: rows per stage or workload."""
     rows = formatted(df, patterns or {})
-    if order:
-        rows = rows.orderBy(*order)
-    rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    # an exchange of finished rows, so that one task does not do what led to them
+    rows = rows.orderBy(*order).coalesce(1) if order else rows.repartition(1)
+    rows.write.mode("overwrite").option("header", True).csv(path)
 
 
 def append_report(df: DataFrame, path: str) -> None:

@@ -91,3 +91,10 @@ def test_prefix_partition_is_clamped(spark):
     assert got == [0, 4, 7] or got == [0, 3, 7]
     assert df.select(F.max(prefix_number(F.col("key")))).first()[0] == 2**56 - 1
     assert df.select(unsigned_bytes(F.col("key"), 2)).collect()[1][0] == "127 255"
+
+
+def test_wide_hex_is_exact_near_multiples_of_its_base(spark):
+    from brookmill.functions.binary import wide_hex
+
+    for n in (0, 1, 2**48 - 1, 2**48, 5 * 2**48 - 1, 5 * 2**48 - 10**8, 2**56 + 5, 2**100 + 7):
+        assert spark.range(1).select(wide_hex(F.lit(str(n)).cast("decimal(38,0)"))).first()[0] == f"{n:x}"

@@ -173,3 +173,20 @@ def test_own_event_log(spark, event_log_dir):
     both = stages.join(per, ["run", "stage", "attempt"]).filter("NOT failed").select("task_count", "n").collect()
     assert both and all(r["task_count"] == r["n"] for r in both)
     assert run_stats.stage_stats(tasks, stages).count() > 0
+
+
+def test_selected_runs_leave_out_job_zero_and_extremes(spark):
+    runs = spark.createDataFrame([(f"r{k:02d}", "w", True, 0, 0) for k in range(10)], "run string, workload string, variant boolean, start bigint, end bigint")
+    rows = [(f"r{k:02d}", s, 0, "n", s, 1, 1_000 * s, 1_000 * s + 10 + k if s else 9_000, False) for k in range(10) for s in (0, 1, 2)]
+    stages = spark.createDataFrame(rows, "run string, stage int, attempt int, name string, job int, task_count int, start bigint, completion bigint, failed boolean")
+    got = {r["run"]: (r["start"], r["end"], r["runtime"]) for r in run_stats.selected_runs(runs, stages).collect()}
+    assert got == {f"r{k:02d}": (1_000, 2_010 + k, 1_010 + k) for k in range(1, 10)}
+    assert run_stats.selected_runs(runs, stages, percent=0).count() == 10
+    assert {r["runtime"] for r in run_stats.run_table(runs, stages).collect()} == {9_000}
+
+
+def test_usage_leaves_out_whole_lines_that_are_not_numbers(spark):
+    samples = spark.createDataFrame([("h", "network", "a", 5, float("nan"), 7.0), ("h", "network", "a", 6, 2.0, 3.0)], "host string, metric string, instance string, ts bigint, v1 double, v2 double")
+    spans = spark.createDataFrame([("x", 5_000, 6_000)], "run string, start bigint, end bigint")
+    row = run_resources.usage(samples, spans, ["run"], ["download", "upload"]).first()
+    assert (row["download"], row["upload"]) == (2.0, 3.0)
