@@ -18,7 +18,7 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     out = d
-    for m in range(1, 400):
+    for m in range(1, 10_000):  # about sqrt(max(a, b)) terms are needed
         for num in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
@@ -28,9 +28,9 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = 1.0 + num / c
             c = c if abs(c) > tiny else tiny
             out *= d * c
-        if abs(d * c - 1.0) < 1e-15:
-            break
-    return out
+        if abs(d * c - 1.0) < 1e-14:
+            return out
+    raise ArithmeticError(f"the continued fraction of the beta function does not settle for {a}, {b}, {x}")
 
 
 def _beta_ratio(a: float, b: float, x: float) -> float:

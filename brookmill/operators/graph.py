@@ -37,11 +37,12 @@ class _Links:
     moves ranks and contributions only. A hub's edges are salted over many tasks.
     """
 
-    def __init__(self, weighted: DataFrame):
+    def __init__(self, weighted: DataFrame, heavy_rows: int | None):
         weighted = cut_lineage(weighted)
         out = cut_lineage(weighted.groupBy("src").agg(F.sum("w").alias("out"), F.count(F.lit(1)).alias("n")))
-        self.heavy = heavy_keys(out, "src", "n")
-        links = weighted.join(out.drop("n"), "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share"))
+        self.heavy = heavy_keys(out, "src", "n", heavy_rows)
+        # a hub's edges are spread before they meet its weight
+        links = skew_join(weighted, out.drop("n"), "src", self.heavy, [F.col("dst")]).select("src", "dst", (F.col("w") / F.col("out")).alias("share"))
         place = ["src"]
         if self.heavy is not None:
             links = salt_many(links, self.heavy, "src", [F.col("dst")])
@@ -59,13 +60,13 @@ class _Links:
         )
 
 
-def pagerank_simple(edges: DataFrame, iters: int = 10, cut_every: int = 5) -> DataFrame:
+def pagerank_simple(edges: DataFrame, iters: int = 10, cut_every: int = 5, heavy_rows: int | None = None) -> DataFrame:
     """Rank over de-duplicated edges where only vertices with a rank contribute.
 
     Sources start at 1.0. A vertex without incoming edges has no rank after the first
     round and stops contributing; targets without outgoing edges keep their rank.
     """
-    links = _Links(edges.distinct().withColumn("w", F.lit(1)))
+    links = _Links(edges.distinct().withColumn("w", F.lit(1)), heavy_rows)
 
     def step(ranks: DataFrame, _: int) -> DataFrame:
         return links.contributions(ranks).groupBy("id").agg((0.15 + 0.85 * F.sum("c")).alias("rank"))
@@ -74,10 +75,12 @@ def pagerank_simple(edges: DataFrame, iters: int = 10, cut_every: int = 5) -> Da
     return iterate(start, step, iters, cut_every)
 
 
-def pagerank(edges: DataFrame, iters: int = 10, reset: float = 0.15, cut_every: int = 5) -> DataFrame:
+def pagerank(
+    edges: DataFrame, iters: int = 10, reset: float = 0.15, cut_every: int = 5, heavy_rows: int | None = None
+) -> DataFrame:
     """Static rank of every vertex; parallel edges count, ranks are not normalised and
     the mass of vertices without outgoing edges is not redistributed."""
-    links = _Links(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w")))
+    links = _Links(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w")), heavy_rows)
     vertices = cut_lineage(vertices_of(edges))
     floor = vertices.withColumn("c", F.lit(0.0))
 
@@ -93,7 +96,7 @@ def rank_total(ranks: DataFrame) -> DataFrame:
     return ranks.agg(F.sum("rank").alias("total"))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 100, heavy_rows: int | None = None) -> DataFrame:
     """``(id, component)``: every vertex with the lowest id it can reach.
 
     Edges are rewired towards smaller ids in alternating steps until each component is
@@ -101,6 +104,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     chains. Minima are map-side combined; no neighbour list is ever collected.
     """
     vertices = vertices_of(edges)
+    limit = HEAVY_ROWS if heavy_rows is None else heavy_rows
     # hi > lo on every edge throughout
     e = cut_lineage(canonical(edges).select(F.col("dst").alias("hi"), F.col("src").alias("lo")))
     size = e.count()  # never grows beyond twice itself within a round
@@ -111,9 +115,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         )
         low = around.groupBy("lo").agg(F.min("to").alias("m"), F.sum("one").alias("n"))
         crowded = None
-        if size > HEAVY_ROWS:  # else no vertex can be heavy
+        if size > limit:  # else no vertex can be heavy
             low = cut_lineage(low)
-            crowded = heavy_keys(low, "lo", "n")
+            crowded = heavy_keys(low, "lo", "n", limit)
         moved = skew_join(e, low.select("lo", "m"), "lo", crowded, [F.col("hi")])
         e = cut_lineage(moved.select("hi", F.col("m").alias("lo")).distinct())
         # the smaller neighbours of a vertex, and the vertex itself, move to their minimum
@@ -122,7 +126,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         size = 2 * (seen["edges"] or 0)
         if (seen["top"] or 0) <= 1 and e.join(e.select(F.col("lo").alias("hi")), "hi", "left_semi").isEmpty():
             return vertices.join(e, F.col("id") == F.col("hi"), "left").select("id", F.coalesce("lo", "id").alias("component"))
-        crowded = heavy_keys(low, "hi", "n") if size > HEAVY_ROWS else None
+        crowded = heavy_keys(low, "hi", "n", limit) if size > limit else None
         low = low.select("hi", "m")
         moved = skew_join(e, low, "hi", crowded, [F.col("lo")]).filter(F.col("lo") != F.col("m"))
         e = cut_lineage(
@@ -136,7 +140,7 @@ def component_count(components: DataFrame) -> DataFrame:
     return components.agg(F.countDistinct("component").alias("components"))
 
 
-def triangle_count(edges: DataFrame) -> DataFrame:
+def triangle_count(edges: DataFrame, heavy_rows: int | None = None) -> DataFrame:
     """``(id, triangles)`` of the undirected simple graph; vertices without any stay.
 
     Edges point from the smaller to the larger (degree, id), so no vertex has more
@@ -146,7 +150,7 @@ def triangle_count(edges: DataFrame) -> DataFrame:
     simple = cut_lineage(canonical(edges))
     degree = simple.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("deg"))
     degree = cut_lineage(degree)
-    busy = heavy_keys(degree, "id", "deg")
+    busy = heavy_keys(degree, "id", "deg", heavy_rows)
     ends = skew_join(
         simple.withColumnRenamed("src", "id"), degree, "id", busy, [F.col("dst")]
     ).select(F.col("id").alias("a"), F.col("deg").alias("da"), F.col("dst").alias("id"))
@@ -156,7 +160,7 @@ def triangle_count(edges: DataFrame) -> DataFrame:
         ends.select(F.when(forward, F.col("a")).otherwise(F.col("b")).alias("u"),
                     F.when(forward, F.col("b")).otherwise(F.col("a")).alias("v"))
     )
-    fan_in = heavy_keys(cut_lineage(arcs.groupBy("v").agg(F.count(F.lit(1)).alias("n"))), "v", "n")
+    fan_in = heavy_keys(cut_lineage(arcs.groupBy("v").agg(F.count(F.lit(1)).alias("n"))), "v", "n", heavy_rows)
     onward = arcs.select(F.col("u").alias("v"), F.col("v").alias("w"))
     paths = skew_join(arcs, onward, "v", fan_in, [F.col("u")])
     closing = arcs.select("u", F.col("v").alias("w"))

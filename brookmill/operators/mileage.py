@@ -18,27 +18,29 @@ def mileage_flat(passengers: DataFrame, scores: DataFrame) -> DataFrame:
     return legs(passengers).join(scores, "flight").groupBy("passenger").agg(F.sum("score").alias("miles"))
 
 
-def mileage_loop(passengers: DataFrame, scores: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def mileage_loop(passengers: DataFrame, scores: DataFrame, fold_every: int = 8) -> DataFrame:
     """Walk all itineraries one flight per round until none is active.
 
     An itinerary that meets an unknown flight is lost as a whole. The state columns ride
     through the score join, so a passenger with several itineraries is not multiplied;
-    the itineraries are added up at the end.
+    the itineraries are added up at the end. Rounds are bounded by the longest itinerary,
+    and finished ones are folded every few rounds, so the plan does not grow with it.
     """
     active = passengers.filter(F.size("flights") > 0).withColumn("miles", F.lit(0).cast("bigint"))
-    finished = None
-    for i in range(max_rounds):
+    finished = active.select("passenger", "miles").limit(0)
+    for i in range(longest_itinerary(passengers)):
         moved = cut_lineage(
             active.withColumn("flight", F.get("flights", F.lit(i))).join(scores, "flight").select(
                 "passenger", "flights", (F.size("flights") - (i + 1)).alias("left"), (F.col("miles") + F.col("score")).alias("miles")
             )
         )
-        done = moved.filter("left = 0").select("passenger", "miles")
-        finished = done if finished is None else finished.unionByName(done)
+        finished = finished.unionByName(moved.filter("left = 0").select("passenger", "miles"))
+        if (i + 1) % fold_every == 0:
+            finished = cut_lineage(finished.groupBy("passenger").agg(F.sum("miles").alias("miles")))
         active = moved.filter("left > 0")
-        if active.count() == 0:  # reads the one small column
-            return finished.groupBy("passenger").agg(F.sum("miles").alias("miles"))
-    raise RuntimeError(f"itineraries still active after {max_rounds} rounds")
+        if active.isEmpty():  # the rest met unknown flights
+            break
+    return finished.groupBy("passenger").agg(F.sum("miles").alias("miles"))
 
 
 def longest_itinerary(passengers: DataFrame) -> int:

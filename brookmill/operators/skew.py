@@ -6,38 +6,40 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# a key is heavy when it holds more than 1/HEAVY_SHARE of the rows, so there can never
-# be more than HEAVY_SHARE heavy keys: that is the size bound of the broadcasts below
-HEAVY_SHARE = 256
-# a key with fewer rows than this fits one task whatever its share
+# a key with fewer rows than this fits one task, whatever its share of the table
 HEAVY_ROWS = 200_000
 # a split of a heavy key is cut down to about this many rows
 ROWS_PER_SALT = 2_000_000
+# up to so many heavy keys (a few MB) are broadcast; beyond, joins with them are planned
+# like any other, and adaptive skew joins split the keys
+BROADCAST_KEYS = 65_536
 
 
 def row_total(counts: DataFrame, weight: str) -> int:
     return counts.agg(F.sum(weight).alias("n")).first()["n"] or 0
 
 
-def heavy_keys(counts: DataFrame, key: str, weight: str) -> DataFrame | None:
-    """``(key, salts)`` for the at most ``HEAVY_SHARE`` keys that need splitting, or None.
+def heavy_keys(counts: DataFrame, key: str, weight: str, rows: int | None = None) -> DataFrame | None:
+    """``(key, salts)`` for all keys above ``rows`` rows, or None if there are none.
 
     ``counts`` (one row per key) should be materialised: it is read twice when heavy
     keys exist and once when not. Two numbers reach the driver.
     """
-    seen = counts.agg(F.sum(weight).alias("total"), F.max(weight).alias("top")).first()
-    floor = max((seen["total"] or 0) // HEAVY_SHARE, HEAVY_ROWS)
-    if (seen["top"] or 0) <= floor:
+    limit = HEAVY_ROWS if rows is None else rows
+    many = F.col(weight) > limit
+    found = counts.agg(F.count(F.when(many, 1)).alias("n")).first()["n"]
+    if not found:
         return None
-    return counts.filter(F.col(weight) > floor).select(
-        key, F.greatest(F.ceil(F.col(weight) / min(floor, ROWS_PER_SALT)), F.lit(2)).cast("int").alias("salts")
+    heavy = counts.filter(many).select(
+        key, F.greatest(F.ceil(F.col(weight) / min(limit, ROWS_PER_SALT)), F.lit(2)).cast("int").alias("salts")
     )
+    return F.broadcast(heavy) if found <= BROADCAST_KEYS else heavy
 
 
 def salt_many(big: DataFrame, heavy: DataFrame, key: str, spread: Sequence[Column]) -> DataFrame:
     """Add ``_salt`` to the many side: 0 for light keys, 0..salts-1 for heavy ones."""
     return (
-        big.join(F.broadcast(heavy), key, "left")
+        big.join(heavy, key, "left")
         .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("salts")).cast("int"), F.lit(0)))
         .drop("salts")
     )
@@ -46,7 +48,7 @@ def salt_many(big: DataFrame, heavy: DataFrame, key: str, spread: Sequence[Colum
 def salt_one(small: DataFrame, heavy: DataFrame, key: str) -> DataFrame:
     """Repeat each row of the other side once per salt of its key."""
     return (
-        small.join(F.broadcast(heavy), key, "left")
+        small.join(heavy, key, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1)))
         .drop("salts")
     )

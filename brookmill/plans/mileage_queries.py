@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import mileage
-from ..session import scratch_path
+from ..session import scratch_path, shuffle_partitions
 from ..sources import text_formats as tf
 from ..sources.sinks import write_text
 from .registry import query, table
@@ -70,21 +70,21 @@ def mileage_total(spark, sf_dir):
 def passenger_file_scan(spark, sf_dir):
     path = scratch_path(spark, "passengers")
     write_text(inputs(spark, sf_dir)[0], tf.passenger_line(), path)
-    return mileage.legs(tf.read_passengers(spark, path, partitions=8)).groupBy("passenger", "flight").agg(F.count(F.lit(1)).alias("n"))
+    return mileage.legs(tf.read_passengers(spark, path, partitions=shuffle_partitions(spark))).groupBy("passenger", "flight").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("flight_file_scan", "SELECT p_partkey AS flight, CAST(p_size AS BIGINT) AS score FROM part")
 def flight_file_scan(spark, sf_dir):
     path = scratch_path(spark, "flights")
     write_text(inputs(spark, sf_dir)[1], tf.flight_line(), path)
-    return tf.read_flights(spark, path, partitions=8)
+    return tf.read_flights(spark, path, partitions=shuffle_partitions(spark))
 
 
 @query("mileage_partitioned_file", f"WITH {LEGS} SELECT passenger, miles FROM flat")
 def mileage_partitioned_file(spark, sf_dir):
     """Hash-partitioned by passenger, sorted inside partitions, written and read back."""
     path = scratch_path(spark, "miles")
-    result = mileage.partitioned_result(mileage.mileage_flat(*inputs(spark, sf_dir)), 8)
+    result = mileage.partitioned_result(mileage.mileage_flat(*inputs(spark, sf_dir)), shuffle_partitions(spark))
     write_text(result, F.concat_ws(" ", "passenger", "miles"), path)
     part = F.split("value", " ")
-    return tf.read_lines(spark, path, at_most=4).select(part[0].cast("bigint").alias("passenger"), part[1].cast("bigint").alias("miles"))
+    return tf.read_lines(spark, path, at_most=shuffle_partitions(spark)).select(part[0].cast("bigint").alias("passenger"), part[1].cast("bigint").alias("miles"))

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import binary
 from ..operators import records as ops
-from ..session import cut_lineage, scratch_path
+from ..session import cut_lineage, scratch_path, shuffle_partitions
 from ..sources import fixedwidth, records_gen
 from .registry import query, table
 
-PARTITIONS = 8
+PARTITIONS = 64  # of the prefix-partitioned sort, in query and SQL alike
 ID_SQL = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
 KEYS = f"k AS (SELECT substr(md5({ID_SQL}), 1, 20) AS key, l_orderkey FROM lineitem)"
 # CRC-32 bit by bit, the polynomial in reflected form; keys are 10 bytes
@@ -55,7 +55,7 @@ def record_sort_validate(spark, sf_dir):
     """Write unsorted records, scan, sort, write, scan again and validate."""
     raw, ordered = scratch_path(spark, "records"), scratch_path(spark, "sorted")
     fixedwidth.write_records(records(spark, sf_dir), raw)
-    fixedwidth.write_records(ops.sort_records(fixedwidth.read_records(spark, raw), PARTITIONS), ordered)
+    fixedwidth.write_records(ops.sort_records(fixedwidth.read_records(spark, raw), shuffle_partitions(spark)), ordered)
     return ops.validate_records(fixedwidth.read_records(spark, ordered))
 
 
@@ -117,7 +117,7 @@ def record_generate_validate(spark, sf_dir):
     """One generated record per order, numbered by its key, sorted and validated."""
     numbers = table(spark, sf_dir, "orders").select("o_orderkey")
     path = scratch_path(spark, "generated")
-    fixedwidth.write_records(ops.sort_records(records_gen.records_for(numbers), PARTITIONS), path)
+    fixedwidth.write_records(ops.sort_records(records_gen.records_for(numbers), shuffle_partitions(spark)), path)
     return ops.validate_records(fixedwidth.read_records(spark, path))
 
 

@@ -8,7 +8,7 @@ from ..functions.text import sorted_characters
 from ..operators import text_ops
 from ..operators.sampling import split_by_id
 from ..functions.noise import uniform_sql
-from ..session import scratch_path
+from ..session import scratch_path, shuffle_partitions
 from ..sources import text_formats
 from ..sources.sinks import write_text
 from .registry import query, table
@@ -94,7 +94,7 @@ def lines_round_trip(spark, sf_dir):
     """Text sink, then text scan with a rebalance."""
     path = scratch_path(spark, "lines")
     write_text(document_lines(spark, sf_dir), F.col("value"), path)
-    back = text_formats.read_lines(spark, path, partitions=8, line_end="\n")
+    back = text_formats.read_lines(spark, path, partitions=shuffle_partitions(spark), line_end="\n")
     return back.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -29,6 +29,11 @@ def local_session(app: str = "brookmill", cpus: str | int = 8, **conf) -> SparkS
     return builder.getOrCreate()
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions, which follows the cluster and the data."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor can reach.
 
@@ -42,7 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
-    if not sc.master.startswith("local"):
+    if not re.match(r"local(\[|$)", sc.master):  # local-cluster has executors of its own
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="brookmill-"))
     return sc.getCheckpointDir()

@@ -39,11 +39,13 @@ def text_lines(parts: DataFrame, vocabulary: DataFrame, bytes_per_part: int, see
     a part passes ``bytes_per_part``.
 
     ``vocabulary`` is ``(slot, word)`` with slots 0..n-1. With ``identical`` all parts
-    use the same draws. A line has at most 41 words and a part a fixed number of lines,
+    use the same draws. A line has at most 81 words and a part a fixed number of lines,
     so the running sums below stay within small groups.
     """
-    size = vocabulary.count()
-    slots, lines = LINE_BYTES // 2 + 1, bytes_per_part // (LINE_BYTES + 1) + 1
+    words = vocabulary.agg(F.count(F.lit(1)).alias("n"), F.min(F.octet_length("word")).alias("shortest")).first()
+    # as many draws as fill a line with the shortest word, which may be empty
+    size, slots = words["n"], LINE_BYTES // ((words["shortest"] or 0) + 1) + 1
+    lines = bytes_per_part // (LINE_BYTES + 1) + 1
     part = F.lit(0) if identical else F.col("part")
     draws = (
         _spread(parts.select(F.col(parts.columns[0]).alias("part")))
