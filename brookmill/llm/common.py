@@ -34,11 +34,13 @@ def ascii_lower(text: Column) -> Column:
 
 def held_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Whole rows as one column, so that no name of theirs can clash with a working
-    column, beside an id and a text without nulls."""
+    column, beside an id and a text without nulls. The text is held once: in its place the
+    row only tells whether it was null."""
+    own = lambda c: F.col(f"`{c}`").isNull().alias(c) if c == text_col else F.col(f"`{c}`")
     return docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW),
-        F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias(ID),
-        F.coalesce(F.col(text_col), F.lit("")).alias(TEXT),
+        F.struct(*map(own, docs.columns)).alias(ROW),
+        F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(NO_ID)).alias(ID),
+        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(TEXT),
     )
 
 
@@ -47,10 +49,17 @@ def row_hash() -> Column:
     return F.xxhash64(TEXT)
 
 
-def released(rows: DataFrame, columns: list[str], **added: Column) -> DataFrame:
+def released(rows: DataFrame, columns: list[str], text_col: str = "text", /, **added: Column) -> DataFrame:
     """The held rows' own columns with ``added`` ones, which replace those of the same name."""
-    own = [added.pop(c).alias(c) if c in added else F.col(f"{ROW}.`{c}`").alias(c) for c in columns]
-    return rows.select(*own, *[value.alias(name) for name, value in added.items()])
+
+    def own(c: str) -> Column:
+        if c in added:
+            return added.pop(c)
+        held = F.col(f"{ROW}.`{c}`")
+        return F.when(~held, F.col(TEXT)) if c == text_col else held
+
+    first = [own(c).alias(c) for c in columns]
+    return rows.select(*first, *[value.alias(name) for name, value in added.items()])
 
 
 def with_size(docs: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:

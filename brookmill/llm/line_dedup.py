@@ -88,4 +88,4 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
         F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("gone")), lambda i: F.get(ls, i)), "\n"))
     text = F.when(F.col("gone").isNull(), F.col(TEXT)).otherwise(stay)
     numbers = {"n_lines": F.size(lines).cast("bigint"), "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("bigint")}
-    return released(joined, docs.columns, **{text_col: text}, **(numbers if counts else {}))
+    return released(joined, docs.columns, text_col, **{text_col: text}, **(numbers if counts else {}))

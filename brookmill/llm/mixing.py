@@ -133,7 +133,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float
     """All rows with ``size`` (words), ``source_size``, ``target`` (both of the source),
     ``rate`` and ``taken`` (words the mix takes, repeats counted)."""
     own = _joined(docs, weights, share, most, id_col, text_col, source_col)
-    return released(own, docs.columns, **{c: F.col(c) for c in MADE})
+    return released(own, docs.columns, text_col, **{c: F.col(c) for c in MADE})
 
 
 def _joined(docs, weights, share, most, id_col, text_col, source_col) -> DataFrame:
@@ -154,7 +154,7 @@ def copies(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHA
     rows = rows.select(ROW, TEXT, F.explode(takes).alias("_words"))
     with_blanks = F.regexp_extract_all(TEXT, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
     head = F.array_join(F.slice(with_blanks, F.lit(1), F.col("_words").cast("int")), "")
-    return released(rows, docs.columns, **{text_col: F.when(F.col("_words").isNull(), F.col(TEXT)).otherwise(head)})
+    return released(rows, docs.columns, text_col, **{text_col: F.when(F.col("_words").isNull(), F.col(TEXT)).otherwise(head)})
 
 
 def mixed(rows: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:

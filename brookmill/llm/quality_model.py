@@ -221,7 +221,7 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sam
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows with ``held_out``, ``score`` and ``predicted`` (1: good)."""
     return released(
-        _scored(docs, labels, label_col, sample, id_col, text_col), docs.columns,
+        _scored(docs, labels, label_col, sample, id_col, text_col), docs.columns, text_col,
         held_out=is_held_out(F.col(f"{ROW}.`{id_col}`")), score=F.col("_score"),
         predicted=F.when(F.col("_score") >= threshold, 1).otherwise(0),
     )
@@ -230,4 +230,4 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sam
 def keep_good(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE, threshold: float = THRESHOLD,
               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that are predicted to be good, with their own columns."""
-    return released(_scored(docs, labels, label_col, sample, id_col, text_col).filter(F.col("_score") >= threshold), docs.columns)
+    return released(_scored(docs, labels, label_col, sample, id_col, text_col).filter(F.col("_score") >= threshold), docs.columns, text_col)

@@ -130,7 +130,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
         F.flatten(F.transform(gs, lambda g: F.slice(ws, g["from"] + 1, g["length"]))).alias("kept"))))
     joined = joined.withColumn("_cut", cut)
     return released(
-        joined, docs.columns,
+        joined, docs.columns, text_col,
         **{text_col: F.array_join("_cut.kept", " ")},
         n_words=F.col("_cut.n"),
         n_removed=(F.col("_cut.n") - F.size("_cut.kept")).cast("bigint"),
