@@ -25,7 +25,7 @@ from ..session import cut_lineage
 from .common import HASH, ID, TEXT, ascii_lower, held_rows, let, released, row_hash, strip
 from .sketches import repeated, seen_twice
 
-FILTER_BITS, FILTER_HASHES = 27, 2
+FILTER_BITS, FILTER_HASHES = 26, 2  # bits per hash: 16 MB a filter, 32 MB in a task
 
 
 def line_key(line: Column) -> Column:

@@ -52,10 +52,12 @@ class SeenTwice:
             np.bitwise_or.at(self.once[r], byte, bit)
 
     def pieces(self) -> Iterator[tuple[int, bytes]]:
-        both = np.stack([self.once.reshape(-1), self.twice.reshape(-1)])
-        for k, piece in enumerate(np.split(both, PIECES, axis=1)):
-            if piece.any():
-                yield k, zlib.compress(piece.tobytes(), 1)
+        once, twice = self.once.reshape(-1), self.twice.reshape(-1)
+        width = len(once) // PIECES
+        for k in range(PIECES):  # piece by piece, so that no second copy of the whole is made
+            part = slice(k * width, (k + 1) * width)
+            if once[part].any():
+                yield k, zlib.compress(np.stack([once[part], twice[part]]).tobytes(), 1)
 
 
 def merge_twice(a: np.ndarray, b: np.ndarray) -> np.ndarray:
