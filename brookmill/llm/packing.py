@@ -37,7 +37,8 @@ from .common import BLANKS, ID, TEXT, held_rows
 
 CAPACITY, END_ID = 4096, 1
 MEMO_WORDS = 200_000  # words a worker remembers the ids of
-SLICE_BYTES = 8 << 20  # of text tokenised at once
+SLICE_BYTES = 4 << 20  # of text tokenised at once
+ENCODED_AT_ONCE = 4_096  # words whose encodings are held
 BUCKET_ROWS = 65_536
 
 
@@ -68,7 +69,10 @@ def _encode(state, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     known = pc.index_in(words, value_set=state.words).to_numpy(zero_copy_only=False) if len(state.words) else np.full(len(words), np.nan)
     new = np.flatnonzero(np.isnan(known.astype(float)))
     fresh = words.take(pa.array(new))
-    lists = [e.ids for e in state.tokenizer.encode_batch_fast(fresh.to_pylist(), add_special_tokens=False)] if len(new) else []
+    lists = [
+        e.ids for at in range(0, len(fresh), ENCODED_AT_ONCE)
+        for e in state.tokenizer.encode_batch_fast(fresh.slice(at, ENCODED_AT_ONCE).to_pylist(), add_special_tokens=False)
+    ]
     fresh_ids = np.fromiter((i for ids in lists for i in ids), np.int32)
     fresh_ends = np.r_[0, np.cumsum([len(ids) for ids in lists], dtype=np.int64)].astype(np.int64)
     ids, ends = np.concatenate([state.ids, fresh_ids]), np.concatenate([state.ends, state.ends[-1] + fresh_ends[1:]])
