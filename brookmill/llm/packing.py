@@ -36,8 +36,8 @@ from ..session import cut_lineage
 from .common import BLANKS, ID, TEXT, held_rows
 
 CAPACITY, END_ID = 4096, 1
-MEMO_WORDS = 200_000  # words a worker remembers the ids of
-SLICE_BYTES = 4 << 20  # of text tokenised at once
+MEMO_WORDS = 300_000  # words a worker remembers the ids of
+SLICE_BYTES = 12 << 20  # of text tokenised at once
 ENCODED_AT_ONCE = 4_096  # words whose encodings are held
 BUCKET_ROWS = 65_536
 
