@@ -164,6 +164,23 @@ def test_draws_agree_as_often_as_weighted_sets():
     assert abs(agree - near_dedup.weighted_jaccard(a, b)) < 0.12
 
 
+@pytest.mark.parametrize("n", [20_000, 200_000])
+def test_draws_of_long_texts_with_repeated_lines(n):
+    """Texts that share their body and differ in lines repeated 20 times: draws agree as
+    often as the texts are alike, so bands do not miss the pair."""
+    rng = np.random.default_rng(n)
+    hashes = lambda k: np.unique(rng.integers(0, 2**63, k).astype(np.uint64))
+    body, sampler = hashes(n), near_dedup.Sampler(300)
+    sides = []
+    for own in (hashes(n // 200), hashes(n // 200)):
+        found, w = np.concatenate([body, own]), np.concatenate([np.ones(len(body)), np.full(len(own), 20)]).astype(np.float32)
+        sides.append((np.sort(found), w[np.argsort(found)]))
+    alike = near_dedup.weighted_jaccard(*sides)
+    agree = (sampler(*sides[0]) == sampler(*sides[1])).mean()
+    assert 0.8 < alike < 0.85 and abs(agree - alike) < 0.08
+    assert (1 - agree**near_dedup.BAND_ROWS) ** near_dedup.BANDS < 0.01
+
+
 @pytest.mark.parametrize("run", [line_dedup.line_dedup, substring_dedup.substring_dedup, near_dedup.near_dedup])
 def test_empty_table(empty, run):
     assert run(empty).count() == 0
