@@ -2,7 +2,10 @@
 
 Each page's containers are scored by the text of the blocks in them (all of it for the
 block's container, half for the one around that; link text counts nothing, parts marked
-as menus, adverts and the like are left out). A container is named by its generalised
+as menus, adverts and the like are left out). A part is marked by its element, or by a
+whole class name or id of a fixed list; html, body, main and article never are, ids of
+headings, paragraphs and sections do not count, and a marked part that holds most of the
+page's unlinked text stays (one marked as comments only where there is no other text). A container is named by its generalised
 path of tags and classes, without digits. Every page votes for the path of its best
 container; Spark counts the votes per host; then each page is read again and gives the
 blocks inside the elements at its host's winning path. A page that has none of these, or
@@ -35,37 +38,73 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 AROUND = set("""ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation
 menu breadcrumb breadcrumbs sidebar widget footer header masthead topbar cookie cookies consent notice notices gdpr comment
 comments reply replies respond disqus share sharing social related recommended newsletter subscribe signup login popup modal
-pagination pager toolbar""".split())
+pagination pager toolbar cookie-notice cookie-banner cookie-consent ad-banner ad-container ad-slot ad-wrapper ad-unit main-nav
+main-menu nav-menu nav-bar site-header site-footer site-nav page-footer sidebar-left sidebar-right comment-list comments-area
+comment-form comments-section reply-form share-buttons social-links social-share related-posts related-articles related-links
+newsletter-signup""".split())
+COMMENTS = set("comment comments reply replies respond disqus comment-list comments-area comment-form comments-section reply-form".split())
+NEVER = set("html body main article".split())
+NO_IDS = set("h1 h2 h3 h4 h5 h6 section p li dt dd td th blockquote figure pre".split())
 PREFERRED = ("article", "main")
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
-_NAMES = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
 
-def _is_around(tag: str, attributes: str, in_article: bool) -> bool:
+def _names(attributes: str) -> tuple[list[str], list[str]]:
+    """The class names and the id of an element, in lower case."""
+    found: dict[str, list[str]] = {}
+    if attributes:
+        for m in _ATTRIBUTE.finditer(attributes):
+            if (name := m[1].lower()) in ("class", "id"):
+                found.setdefault(name, (m[2] or m[3] or m[4] or "").lower().split())
+    return found.get("class", []), found.get("id", [])
+
+
+def _is_around(tag: str, attributes: str, in_article: bool) -> str:
+    """``hard`` for a part that is left out, ``soft`` for one that is unless it holds most
+    of the page's text, ``comments`` for one that stays only in place of nothing."""
     if tag in ASIDE or tag == "header" and not in_article:
-        return True
-    if not attributes:
-        return False
-    names = {w for m in _NAMES.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())}
-    return bool(names & (AROUND - {"header"} if in_article else AROUND))
+        return "soft" if tag == "form" else "hard"
+    if not attributes or tag in NEVER:
+        return ""
+    classes, ids = _names(attributes)
+    names = {re.sub(r"[-_]*\d+$", "", c) for c in classes}
+    if tag not in NO_IDS and "section" not in classes:
+        names.update(ids)
+    names &= AROUND - {"header"} if in_article else AROUND
+    return "comments" if names & COMMENTS else "soft" if names else ""
 
 
 def _step(tag: str, attributes: str) -> str:
-    found = _CLASS.search(attributes) if attributes else None
-    classes = sorted(re.sub(r"\d+", "", (found[1] or found[2] or found[3] or "")).lower().split()) if found else []
+    classes = sorted(c for c in (re.sub(r"\d+", "", c) for c in _names(attributes)[0]) if c)
     return ".".join([tag, *classes])
 
 
 def blocks(page: str) -> list[tuple[str, int, tuple[str, ...]]]:
     """(text, characters outside of links, paths of the containers around it, outermost
     first) of each block that is not part of a menu, an advert and the like."""
+    found, weights, total = _read(page, frozenset(), False)
+    kept = frozenset(k for k, n in weights.items() if 2 * n > total)
+    found = _read(page, kept, False)[0] if kept else found
+    if not any(plain for _, plain, _ in found):
+        _, weights, total = _read(page, frozenset(), True)
+        kept = frozenset(k for k, n in weights.items() if 2 * n > total)
+        found = _read(page, kept, True)[0] if kept else found
+    return found
+
+
+def _read(page: str, kept: frozenset[int], comments: bool) -> tuple[list, dict[int, int], int]:
+    """The blocks outside of marked parts that are not ``kept``; the unlinked characters in
+    each part that may stay (with ``comments``, those marked as such may), and in all of the
+    page but for the parts that may not."""
     out: list = []
     stack: list[tuple[str, int]] = []  # tag, and the number of paths before it was opened
     paths: list[str] = []
     text: list[str] = []
-    skip, linked, in_article, at = 0, 0, 0, 0  # skip: depth of the stack at which a left-out part began
+    parts: list[tuple[int, int, bool]] = []  # open marked parts: depth of the stack, number, whether it may stay
+    weights: dict[int, int] = {}
+    skip, hard, linked, in_article, at, number, total = 0, 0, 0, 0, 0, 0, 0  # skip, hard: how many open parts are left out, may not stay
     state = {"plain": 0}
 
     def flush():
@@ -77,7 +116,7 @@ def blocks(page: str) -> list[tuple[str, int, tuple[str, ...]]]:
         state["plain"] = 0
 
     def close(depth: int):
-        nonlocal skip, linked, in_article
+        nonlocal skip, hard, linked, in_article
         while len(stack) > depth:
             tag, n = stack.pop()
             if tag in BLOCKS and not skip:
@@ -85,10 +124,20 @@ def blocks(page: str) -> list[tuple[str, int, tuple[str, ...]]]:
             del paths[n:]
             linked -= tag == "a"
             in_article -= tag == "article"
-            if skip and len(stack) < skip:
-                skip = 0
+            if parts and len(stack) < parts[-1][0]:
+                _, part, may_stay = parts.pop()
+                skip -= part not in kept
+                hard -= not may_stay
+                if may_stay and parts and not hard:
+                    weights[parts[-1][1]] += weights[part]
 
     def add(piece: str):
+        nonlocal total
+        if piece and not hard and not linked:
+            n = len("".join(piece.split()))
+            total += n
+            if parts:
+                weights[parts[-1][1]] += n
         if piece and not skip:
             piece = html.unescape(piece) if "&" in piece else piece
             text.append(piece)
@@ -128,17 +177,23 @@ def blocks(page: str) -> list[tuple[str, int, tuple[str, ...]]]:
         if tag in VOID:
             continue
         before = len(paths)
-        if not skip and _is_around(tag, m[3], in_article > 0):
-            skip = len(stack) + 1
+        kind = _is_around(tag, m[3], in_article > 0)
+        if kind:
+            number += 1
+            weights[number] = 0
+            may_stay = kind == "soft" or comments and kind == "comments"
+            parts.append((len(stack) + 1, number, may_stay))
+            skip += number not in kept
+            hard += not may_stay
         if tag in CONTAINERS:
             paths.append((paths[-1] + ">" if paths else "") + _step(tag, m[3]))
         stack.append((tag, before))
         linked += tag == "a"
         in_article += tag == "article"
-    skip = 0 if not skip else skip
     if not skip:
         flush()
-    return out
+    close(0)
+    return out, weights, total
 
 
 def best_path(found: list[tuple[str, int, tuple[str, ...]]]) -> str:

@@ -119,6 +119,23 @@ def test_blocks_of_a_page():
     assert path.endswith("div.story-") and html_extract.text_at(found, path) == TEXT
 
 
+STORY = "A story of some length, with enough words to be the main text of its page."
+
+
+@pytest.mark.parametrize("open_", [
+    "<body class='single has-sidebar'>", "<body class='no-sidebar'>", "<article class='post comments-open'>", "<article class='social'>",
+    "<div class='content ad-free'>", "<div data-id='ad' data-class='menu'>", "<div class='widget'>", "<form id=aspnetForm>", "<div class='comments'>"])
+def test_names_that_do_not_leave_out_the_page(open_):
+    inner = f"<p>{STORY}<section id='related-work'><h2 id='navigation-api'>Related</h2><p id='notice-2'>Noted.</section><div class=ad>Buy</div>"
+    found = html_extract.blocks(f"<nav>Home</nav>{open_}{inner}</{open_[1:].split()[0]}><footer>Us</footer>")
+    assert [t for t, _, _ in found] == [STORY, "Related", "Noted."]
+
+
+def test_long_comments_do_not_replace_the_story():
+    found = html_extract.blocks(f"<div class=story><p>{STORY}</div><div id=comments><p>{STORY * 9}</div><div class='cookie-notice'>Cookies</div>")
+    assert [t for t, _, _ in found] == [STORY]
+
+
 def test_host_consensus(spark):
     thin = PAGE.replace("First", "F").replace("Second", "S").replace('<aside>', '<div class="other"><p>' + "loud " * 60 + '</div><aside>')
     rows = [(k, f"https://a.example/{k}?q", PAGE.replace("story-7", f"story-{k}")) for k in range(5)] + [
