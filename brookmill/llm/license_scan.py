@@ -3,10 +3,11 @@
 Texts and templates are sequences of words, reduced to lower-case letters and digits.
 Templates are fingerprinted by winnowing (of the hashes of four-word grams, the smallest
 of every two neighbours), kept in an inverted index from gram to places. A text's own
-winnowed grams look up candidates: templates with hits near one diagonal. Each candidate
-is aligned with its stretch of the text inside a band around that diagonal; reported are
-the share of template words that align with equal words, and the span of characters from
-the first to the last of them.
+winnowed grams look up hits, which are chained in the order of both, also across up to
+``GAP`` words that only the text has and any number that only the template has. Between
+the hits of a chain, and before and after it, the words near them are aligned; reported
+are the share of template words that align with equal words, and the span of characters
+from the first to the last of them (inserted words included).
 
 The index grows with the templates only and travels with the tasks; a text needs no
 other text, so nothing is shuffled.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import ID, TEXT, held_rows
 from .sketches import mix
 
-GRAM, WINNOW, BAND, MIN_COVERAGE = 4, 2, 8, 0.75
+GRAM, WINNOW, BAND, GAP, MIN_COVERAGE = 4, 2, 8, 200, 0.75
 
 # fixed values: notices of common licenses
 TEMPLATES = {
@@ -100,8 +101,8 @@ class Index:
                 self.places[int(grams[p])].append((t, int(p)))
         self.keys = np.array(sorted(self.places), np.uint64)
 
-    def candidates(self, ids: np.ndarray) -> list[tuple[int, int]]:
-        """(template, diagonal): hits whose diagonals lie within a band of each other are one."""
+    def candidates(self, ids: np.ndarray) -> list[tuple[int, list[tuple[int, int]]]]:
+        """(template, chain): hits as (place in the text, place in the template)."""
         grams = _grams(ids)
         if not len(grams) or not len(self.keys):
             return []
@@ -112,15 +113,74 @@ class Index:
         by_template = defaultdict(list)
         for p in chosen[self.keys[near[chosen]] == grams[chosen]]:
             for t, q in self.places[int(grams[p])]:
-                by_template[t].append(int(p) - q)
-        out = []
-        for t, diagonals in sorted(by_template.items()):
-            last = None
-            for d in sorted(diagonals):
-                if last is None or d - last > BAND:
-                    out.append((t, d))
-                    last = d
-        return out
+                by_template[t].append((int(p), q))
+        return [(t, chain) for t, hits in sorted(by_template.items()) for chain in chains(hits, len(self.words[t]))]
+
+
+def chains(hits: list[tuple[int, int]], length: int) -> list[list[tuple[int, int]]]:
+    """Hits in chains that ascend in text and template, those of most words first; each hit
+    is in one of them."""
+    hits = sorted(hits)
+    p, q = np.array(hits, np.int64).T
+    score, before = np.full(len(hits), float(GRAM)), np.full(len(hits), -1)
+    low = np.searchsorted(p, p - length - GAP)
+    for k in range(1, len(hits)):
+        at = slice(low[k], k)
+        dp, dq = p[k] - p[at], q[k] - q[at]
+        apart = np.abs(dp - dq)
+        fits = (dp > 0) & (dq > 0) & (dp - dq <= GAP) & ((apart == 0) | (np.minimum(dp, dq) >= GRAM))
+        if fits.any():
+            gain = np.where(fits, score[at] + np.minimum(np.minimum(dp, dq), GRAM) - np.where(apart > 0, 0.5 + apart * 1e-3, 0), -np.inf)
+            best = int(gain.argmax())
+            if gain[best] > score[k]:
+                score[k], before[k] = gain[best], low[k] + best
+    out, used = [], np.zeros(len(hits), bool)
+    for end in np.argsort(-score, kind="stable"):
+        chain, k = [], int(end)
+        while k >= 0 and not used[k]:
+            used[k] = True
+            chain.append(hits[k])
+            k = int(before[k])
+        if chain:
+            out.append(chain[::-1])
+    return out
+
+
+def common(template: np.ndarray, text: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (place in the template, place in the text) of a longest common subsequence."""
+    if not len(template) or not len(text):
+        return []
+    table = np.zeros((len(template) + 1, len(text) + 1), np.int32)
+    for i, word in enumerate(template):
+        table[i + 1, 1:] = np.maximum.accumulate(np.maximum(table[i, 1:], table[i, :-1] + (text == word)))
+    out, i, j = [], len(template), len(text)
+    while i and j:
+        if template[i - 1] == text[j - 1] and table[i, j] == table[i - 1, j - 1] + 1:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif table[i - 1, j] >= table[i, j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
+
+
+def align_chain(template: np.ndarray, text: np.ndarray, chain: list[tuple[int, int]]) -> np.ndarray:
+    """The places in the text of the equal words along a chain and near it, in order."""
+    equal: dict[int, int] = {}  # place in the template: in the text
+    for p, q in chain:
+        for k in range(GRAM):
+            if text[p + k] == template[q + k]:
+                equal.setdefault(q + k, p + k)
+    known = [(-1, -1), *sorted(equal.items()), (len(template), len(text))]
+    for (q, p), (q_next, p_next) in zip(known, known[1:]):
+        if q_next - q > 1:
+            reach = q_next - q - 1 + BAND
+            after = np.arange(p + 1, min(p + 1 + reach, p_next)) if q >= 0 else np.zeros(0, np.int64)
+            ahead = np.arange(max(p_next - reach, p + 1), p_next) if q_next < len(template) else np.zeros(0, np.int64)
+            places = np.union1d(after, ahead)
+            equal.update((q + 1 + i, int(places[j])) for i, j in common(template[q + 1:q_next], text[places]))
+    return np.sort(np.fromiter(equal.values(), np.int64, len(equal)))
 
 
 def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
@@ -169,13 +229,17 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, min_
                 real = np.flatnonzero(words != -2)  # signs alone are no words
                 found = index.candidates(words[real])
                 spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", texts[row].as_py())] if found else []
-                seen = set()
-                for t, diagonal in found:
-                    n, first, last = align(index.words[t], words[real], diagonal)
-                    coverage = n / len(index.words[t])
-                    if coverage >= min_coverage and (t, first, last) not in seen:
-                        seen.add((t, first, last))
-                        out.append((ids[row].as_py(), index.names[t], coverage, n, spans[real[first]][0], spans[real[last]][1]))
+                last_t, left = -1, words[real]
+                for t, chain in found:
+                    if t != last_t:  # words told for one match of a template count for no other of it
+                        last_t, left = t, words[real].copy()
+                    if all((left[p:p + GRAM] < 0).all() for p, _ in chain):
+                        continue
+                    equal = align_chain(index.words[t], left, chain)
+                    coverage = len(equal) / len(index.words[t])
+                    if len(equal) and coverage >= min_coverage:
+                        left[equal] = -1
+                        out.append((ids[row].as_py(), index.names[t], coverage, len(equal), spans[real[equal[0]]][0], spans[real[equal[-1]]][1]))
             columns = list(zip(*out)) or [()] * 6
             kinds = (pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [ID, "template", "coverage", "n_matched", "start_char", "end_char"])

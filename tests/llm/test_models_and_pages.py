@@ -83,6 +83,19 @@ def test_license_spans(spark):
     assert {texts[4][r["start_char"]:r["end_char"]] for r in by[4]} == {mit} and by[4][0]["start_char"] != by[4][1]["start_char"]
 
 
+@pytest.mark.parametrize("n", [10, 25, 50])
+def test_words_inserted_in_or_missing_from_the_middle(spark, n):
+    rng, ws = random.Random(n), license_scan.TEMPLATES["MIT"].split()
+    foreign = " ".join(f"foreign{k}" for k in range(n))
+    texts = [f"{sentence(rng, 40)} {' '.join(ws[:at])} {foreign} {' '.join(ws[at:])} {foreign}" for at in (50, 83, 110)]
+    few = min(n, len(ws) // 5)
+    texts += [" ".join([foreign, *ws[:60], *ws[60 + few:], foreign])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["_id"]: r for r in license_scan.scan_licenses(df, {"MIT": license_scan.TEMPLATES["MIT"]}).collect()}
+    assert [got[k]["n_matched"] for k in range(4)] == [len(ws)] * 3 + [len(ws) - few]
+    assert texts[0][got[0]["start_char"]:got[0]["end_char"]] == f"{' '.join(ws[:50])} {foreign} {' '.join(ws[50:])}"
+
+
 def test_alignment_against_full_table():
     """Inside a wide band the alignment equals the longest common subsequence."""
     rng = random.Random(9)
