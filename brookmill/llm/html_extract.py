@@ -5,7 +5,9 @@ block's container, half for the one around that; link text counts nothing, parts
 as menus, adverts and the like are left out). A part is marked by its element, or by a
 whole class name or id of a fixed list; html, body, main and article never are, ids of
 headings, paragraphs and sections do not count, and a marked part that holds most of the
-page's unlinked text stays (one marked as comments only where there is no other text). A container is named by its generalised
+page's unlinked text stays (one marked as comments only where there is no other text).
+Buttons, select lists, templates and drawings are such parts; one without its closing tag
+ends with the element around it. A container is named by its generalised
 path of tags and classes, without digits. Every page votes for the path of its best
 container; Spark counts the votes per host; then each page is read again and gives the
 blocks inside the elements at its host's winning path. A page that has none of these, or
@@ -28,8 +30,9 @@ from pyspark.sql import DataFrame, functions as F
 
 # fixed values: element names as HTML defines them
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style title textarea noscript iframe template svg math object select button".split())
-ASIDE = set("nav footer aside form dialog".split())
+RAW = set("script style title textarea iframe".split())
+ASIDE = set("nav footer aside form dialog template svg select button".split())
+ENDED = set("svg select".split())  # by any block that begins in them
 BLOCKS = set("""address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure
 footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
 CONTAINERS = set("article body blockquote div main section td".split())
@@ -164,7 +167,15 @@ def _read(page: str, kept: frozenset[int], comments: bool) -> tuple[list, dict[i
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
+        if tag in ("svg", "math") and m[3].endswith("/"):
+            continue
         if tag in BLOCKS:
+            for depth in range(len(stack) - 1, -1, -1):
+                if stack[depth][0] in ENDED:
+                    close(depth)
+                    break
+                if stack[depth][0] in BLOCKS:
+                    break
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == "p" or stack[depth][0] in CLOSES.get(tag, ()):
                     close(depth)

@@ -144,6 +144,17 @@ def test_names_that_do_not_leave_out_the_page(open_):
     assert [t for t, _, _ in found] == [STORY, "Related", "Noted."]
 
 
+@pytest.mark.parametrize("tag", "noscript template svg math object select button".split())
+def test_unclosed_elements_keep_what_comes_after(tag):
+    found = html_extract.blocks(f"<body><div><{tag}>x</div><div class=story><p>{STORY}</div>")
+    assert [t for t, _, _ in found][-1] == STORY
+
+
+def test_nested_objects_and_fallbacks_stay():
+    page = f"<div><p>{STORY}<p>a <object>b <object>c</object> d</object> <math>e</math> <noscript>f</noscript> <button>g</button> <svg/> h</div>"
+    assert html_extract.blocks(page)[1][0] == "a b c d e f h"
+
+
 def test_long_comments_do_not_replace_the_story():
     found = html_extract.blocks(f"<div class=story><p>{STORY}</div><div id=comments><p>{STORY * 9}</div><div class='cookie-notice'>Cookies</div>")
     assert [t for t, _, _ in found] == [STORY]
