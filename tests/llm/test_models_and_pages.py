@@ -96,6 +96,11 @@ def test_words_inserted_in_or_missing_from_the_middle(spark, n):
     assert texts[0][got[0]["start_char"]:got[0]["end_char"]] == f"{' '.join(ws[:50])} {foreign} {' '.join(ws[50:])}"
 
 
+def test_notices_are_whole():
+    assert license_scan.TEMPLATES["ISC"].endswith("USE OR PERFORMANCE OF THIS SOFTWARE.")
+    assert license_scan.TEMPLATES["GPL-3.0"].endswith("If not, see <https://www.gnu.org/licenses/>.")
+
+
 def test_alignment_against_full_table():
     """Inside a wide band the alignment equals the longest common subsequence."""
     rng = random.Random(9)
