@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import html_extract, license_scan, line_dedup, mixing, near_dedup, order_minhash, packing, quality_model, quality_rules, substring_dedup
+from . import html_extract, importance_resampling, license_scan, line_dedup, mixing, near_dedup, order_minhash, packing, quality_model, quality_rules, spelling_variants, substring_dedup
 from .common import ID, NO_ID
 
 VOCABULARY = "word_bpe_49k.json"
@@ -137,3 +137,14 @@ FROM texts t LEFT JOIN gone g ON t.doc_id = g.doc_id
 def op10(spark, sf_dir):
     out = substring_dedup.substring_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", digest(F.col("text")).alias("kept_sha256"))
+
+
+@register("op11_spelling_variants")
+def op11(spark, sf_dir):
+    return spelling_variants.spelling_variants(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register("op12_importance_resampling")
+def op12(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance_resampling.resample(docs, read(spark, sf_dir, "benchmark"), texts=False)
