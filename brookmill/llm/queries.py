@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import html_extract, importance_resampling, license_scan, line_dedup, mixing, near_dedup, order_minhash, packing, quality_model, quality_rules, spelling_variants, substring_dedup
+from . import html_extract, importance_resampling, license_scan, line_dedup, mixing, near_dedup, order_minhash, packing, quality_model, quality_rules, spelling_variants, substring_dedup, suffix_dedup
 from .common import ID, NO_ID
 
 VOCABULARY = "word_bpe_49k.json"
@@ -148,3 +148,32 @@ def op11(spark, sf_dir):
 def op12(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return importance_resampling.resample(docs, read(spark, sf_dir, "benchmark"), texts=False)
+
+
+OP13_SQL = r"""
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (
+  SELECT doc_id, s, md5_number(substr(h, 2 * s + 1, 400)) AS w
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199)) AS s FROM texts WHERE length(h) >= 400)),
+hits AS (
+  SELECT doc_id, s FROM windows WHERE w IN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1)),
+marked AS (
+  SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 200 THEN 0 ELSE 1 END AS new FROM hits),
+numbered AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS run FROM marked),
+runs AS (SELECT doc_id, run, min(s) AS a, max(s) + 200 AS z FROM numbered GROUP BY doc_id, run),
+edges AS (
+  SELECT doc_id, lag(z, 1, 0) OVER w AS a, a AS z, 0 AS gone, 0 AS n FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY run)
+  UNION ALL SELECT doc_id, max(z), NULL, sum(z - a), count(*) FROM runs GROUP BY doc_id),
+kept AS (
+  SELECT t.doc_id, any_value(length(h) // 2) AS n_bytes, coalesce(sum(gone), 0) AS n_removed, coalesce(sum(n), 0) AS n_spans,
+         string_agg(substr(h, 2 * coalesce(a, 0) + 1, 2 * (coalesce(z, length(h) // 2) - coalesce(a, 0))), '' ORDER BY a) AS k
+  FROM texts t LEFT JOIN edges e ON t.doc_id = e.doc_id GROUP BY t.doc_id)
+SELECT doc_id, n_bytes::BIGINT AS n_bytes, n_removed::BIGINT AS n_removed, n_spans::BIGINT AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256
+FROM kept
+"""
+
+
+@register("op13_suffix_array_dedup", OP13_SQL)
+def op13(spark, sf_dir):
+    out = suffix_dedup.suffix_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
