@@ -208,11 +208,12 @@ def _scored(docs: DataFrame, labels: DataFrame, label_col: str, sample: int, id_
     """Held rows with ``_score``."""
     model = train(docs, labels, label_col, sample, id_col, text_col)
     rows = held_rows(docs, id_col, text_col)
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    # plain values: a broadcast names the classes in it, which workers may not have
+    shared = rows.sparkSession.sparkContext.broadcast((model.intercept, model.edges, model.tables, model.pair_edges, model.pairs))
 
     @F.pandas_udf("double")
     def score(m: pd.DataFrame) -> pd.Series:
-        return pd.Series(shared.value.score(m[NAMES].to_numpy(float)))
+        return pd.Series(Model(*shared.value).score(m[NAMES].to_numpy(float)))
 
     return rows.withColumn("_score", score(measures(F.col(TEXT))))
 
