@@ -12,8 +12,8 @@ are verified letter by letter. The trie is shared out by its upper levels: a wor
 under the one upper path that is its own, and asks under the few that its budget reaches
 (once for each surplus, each deficit and each of both). Upper levels are as many as it
 takes for a path to hold few words; where one path still holds more than a task's share,
-its askers are split, and the words below it are read in slices, so no task holds an
-unbounded group.
+its words are dealt to slices that every asker visits. Askers are read in pieces, so no
+task holds an unbounded group.
 
 A word's form is its near word with the most occurrences (ties: the smallest by code
 points), if that has at least ``factor`` times its own. Forms lead to ever more frequent
