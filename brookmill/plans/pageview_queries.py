@@ -12,7 +12,7 @@ from ..functions.units import instant
 from ..session import scratch_path
 from ..sources.sinks import write_text
 from ..sources.text_formats import page_view_line
-from ..streaming import pageviews as pv
+from ..streaming import endless, pageviews as pv
 from .registry import query, table
 
 VIEWS = """views AS (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, ts, event_type AS url,
@@ -47,6 +47,33 @@ def view_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_views(spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet"))
 
 
+PARTS = 4
+
+
+def view_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """The views as a stream that comes in several batches, and the lateness that covers
+    one of them: each batch holds a part of the time, in no order."""
+    events = table(spark, sf_dir, "events")
+    ends = events.agg(F.min(F.unix_micros(instant(F.col("ts")))).alias("a"), F.max(F.unix_micros(instant(F.col("ts")))).alias("z")).first()
+    span = ((ends["z"] or 0) - (ends["a"] or 0)) // PARTS + 1
+    part = F.coalesce(F.floor((F.unix_micros(instant(F.col("ts"))) - F.lit(ends["a"] or 0)) / span), F.lit(0))
+    folder = scratch_path(spark, "view-files")
+    for k in range(PARTS):  # files are read in the order in which they were written
+        events.filter(part == k).write.parquet(f"{folder}/part={k}")
+    files = max(1, events.rdd.getNumPartitions())
+    live = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/*")
+    return as_views(live), f"{span // 1_000_000 + 1} seconds"
+
+
+def latest(spark: SparkSession, sf_dir: str, metric, keys: list[str]) -> DataFrame:
+    """A windowed metric of the stream in update mode: the newest version of each row."""
+    live, delay = view_files(spark, sf_dir)
+    folder = scratch_path(spark, "versions")
+    result = metric(pv.with_lateness(live, delay))
+    endless.write_updates(result, folder, scratch_path(spark, "stream-state")).awaitTermination()
+    return endless.read_latest(spark, folder, ["window_start", "window_end", *keys], result.columns)
+
+
 def flat(df: DataFrame) -> DataFrame:
     return df.select(*pv.window_seconds(), *[c for c in df.columns if c != "window"])
 
@@ -124,30 +151,29 @@ def parse_page_views(spark, sf_dir):
 
 @query("stream_page_counts", PAGE_COUNTS)
 def stream_page_counts(spark, sf_dir):
-    return finish(flat(pv.page_counts(view_stream(spark, sf_dir), "1 hour")), pv.write_latest)
+    return latest(spark, sf_dir, lambda v: flat(pv.page_counts(v, "1 hour")), ["url"])
 
 
 @query("stream_sliding_page_counts", SLIDING)
 def stream_sliding_page_counts(spark, sf_dir):
-    return finish(flat(pv.sliding_page_counts(view_stream(spark, sf_dir), "10 hours", "2 hours")), pv.write_latest)
+    return latest(spark, sf_dir, lambda v: flat(pv.sliding_page_counts(v, "10 hours", "2 hours")), ["url"])
 
 
 @query("stream_error_rate", ERRORS)
 def stream_error_rate(spark, sf_dir):
-    return finish(_errors(view_stream(spark, sf_dir)), pv.write_latest)
+    return latest(spark, sf_dir, _errors, ["zip_code"])
 
 
-@query(
-    "stream_active_users",
-    f"""WITH {spread(2 * HOUR, 15 * HOUR)}, last AS (SELECT max(epoch_us(ts)) // 1000 AS ms FROM events)
-SELECT window_start, window_end, CAST(count(DISTINCT user_id) AS BIGINT) AS users FROM w, last
-GROUP BY window_start, window_end, ms HAVING window_end * 1000 <= ms""",
-)
+@query("stream_active_users", ACTIVE)
 def stream_active_users(spark, sf_dir):
-    """Append mode: windows appear once the watermark has passed their end."""
-    late = pv.with_lateness(view_stream(spark, sf_dir), "0 seconds")
-    out = finish(flat(pv.active_users(late, "15 hours", "2 hours")), pv.write_batches)
-    return out.select("window_start", "window_end", "users")
+    """Append mode: windows appear once the watermark has passed their end; a closing row
+    lets the last ones come out."""
+    live, delay = view_files(spark, sf_dir)
+    folder, state = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
+    with endless.keyed_state(spark):
+        endless.run_and_close(
+            live, lambda v: endless.active_users_live(v, "15 hours", "2 hours"), lambda r: pv.write_batches(r, folder, state), delay, "15 hours")
+    return spark.read.parquet(folder).select("window_start", "window_end", "users")
 
 
 @query(

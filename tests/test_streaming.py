@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from brookmill.streaming import pageviews as pv
+from brookmill.streaming import endless, pageviews as pv
 
 VIEWS = "ts timestamp, url string, status int, zip_code int, user_id int"
 
@@ -120,3 +120,62 @@ def test_text_stream_source(spark, tmp_path):
     parsed = pv.parse_page_views(pv.read_page_view_lines(spark, str(tmp_path / "in")))
     run(pv.write_latest(parsed.groupBy("url").count(), str(tmp_path / "out"), str(tmp_path / "state")))
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("u", 2)]
+
+
+def files(spark, folder, parts):
+    for rows in parts:
+        views(spark, rows).coalesce(1).write.mode("append").parquet(str(folder))
+
+
+def test_live_active_users_emit_every_window_once(spark, tmp_path):
+    """Several batches, users that come back, a view too late, and a closing row."""
+    parts = [SOME[:3], [(3.2, "a", 200, 1, 1), (2, "late but in time", 200, 1, 9)], [(60, "a", 200, 1, 1), (61, "b", 200, 1, 2)],
+             [(1, "too late", 200, 1, 77), (63, "a", 200, 1, 1)]]
+    files(spark, tmp_path / "in", parts)
+    live = stream(spark, tmp_path / "in", maxFilesPerTrigger=1)
+    start = lambda r: pv.write_batches(r, str(tmp_path / "out"), str(tmp_path / "state"))
+    with endless.keyed_state(spark):
+        endless.run_and_close(live, endless.active_users_live, start, "5 seconds", "15 seconds")
+    got = sorted((r["window_start"], r["window_end"], r["users"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    counted = [r for part in parts for r in part if r[1] != "too late"]
+    want = pv.active_users(views(spark, counted)).select(*pv.window_seconds(), "users").collect()
+    assert got == sorted(map(tuple, want)) and len({g[0] for g in got}) == len(got)
+    assert spark.conf.get(endless.PROVIDER, None) != endless.ROCKS
+
+
+def test_live_active_users_of_an_empty_stream(spark, tmp_path):
+    views(spark, []).write.parquet(str(tmp_path / "in"))
+    start = lambda r: pv.write_batches(r, str(tmp_path / "out"), str(tmp_path / "state"))
+    with endless.keyed_state(spark):
+        endless.run_and_close(stream(spark, tmp_path / "in"), endless.active_users_live, start, "0 seconds", "15 seconds")
+
+
+def test_updates_answer_with_the_newest_version(spark, tmp_path):
+    source, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    keys = ["window", "url"]
+
+    def go():
+        late = pv.with_lateness(stream(spark, source, maxFilesPerTrigger=1), "5 seconds")
+        query = endless.write_updates(pv.page_counts(late, "10 seconds"), out, state)
+        query.awaitTermination()
+        return query
+
+    parts = [[(t + k, u, 200, 1, 1) for k in range(3) for u in "ab"] for t in (0, 4, 8, 40, 80)]
+    files(spark, source, parts)
+    query = go()
+    every = [r for part in parts for r in part]
+    want = starts(pv.page_counts(views(spark, every), "10 seconds"), "url", "views")
+    assert starts(endless.read_latest(spark, out, keys), "url", "views") == want
+    changed = spark.read.parquet(out).groupBy(*keys).count()
+    assert changed.agg(F.max("count")).first()[0] > 1  # several versions of a row were written
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert held[-1] < len(want)  # closed windows have left the state
+    assert endless.compact(spark, out, keys) >= 4 and endless.compact(spark, out, keys) >= 4
+    assert starts(endless.read_latest(spark, out, keys), "url", "views") == want
+    more = [(85, "a", 200, 1, 1), (86, "c", 200, 1, 1), (2, "dropped", 200, 1, 1)]
+    files(spark, source, [more])
+    go()
+    want = starts(pv.page_counts(views(spark, every + more[:2]), "10 seconds"), "url", "views")
+    assert starts(endless.read_latest(spark, out, keys), "url", "views") == want
+    endless.compact(spark, out, keys)
+    assert starts(endless.read_latest(spark, out, keys), "url", "views") == want
