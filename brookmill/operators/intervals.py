@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
+
+from ..session import cut_lineage
 
 
 def interval_join(
@@ -34,6 +36,26 @@ def interval_join(
     )
 
 
+def prefix_sums(df: DataFrame, by: Sequence[str], at: str, values: Sequence[str]) -> DataFrame:
+    """``df`` with each of ``values`` replaced by its running sum within ``by``, in the
+    order of ``at``, rows of the same ``at`` included. Nulls add nothing.
+
+    Rows are range-partitioned once. Every partition sums its own stretch of each group,
+    and a table of (partitions x groups) totals tells what lies before it, so a group that
+    holds most of the table is summed by many tasks.
+    """
+    by = list(by)
+    # written, so that both uses below refer to the same placement
+    placed = cut_lineage(df.repartitionByRange(*by, at).withColumn("_pid", F.spark_partition_id()))
+    group = W.partitionBy(*by).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
+    before = placed.groupBy("_pid", *by).agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    before = before.select("_pid", *by, *[F.coalesce(F.sum(f"_{v}").over(group), F.lit(0)).alias(f"_{v}") for v in values])
+    own = W.partitionBy("_pid", *by).orderBy(at).rangeBetween(W.unboundedPreceding, W.currentRow)
+    inside = placed.select(*[c for c in placed.columns if c not in values], *[F.coalesce(F.sum(v).over(own), F.lit(0)).alias(v) for v in values])
+    joined = inside.join(before, ["_pid", *by])
+    return joined.select(*[(F.col(c) + F.col(f"_{c}")).alias(c) if c in values else F.col(c) for c in df.columns])
+
+
 def interval_totals(
     points: DataFrame,
     intervals: DataFrame,
@@ -43,60 +65,38 @@ def interval_totals(
     by: Sequence[str],
     values: Sequence[str],
     interval_id: Sequence[str],
-    bits: int = 4,
+    scale: int = 9,
 ) -> DataFrame:
     """Sum and count of ``values`` of the points in each interval, per ``by`` group.
 
-    Time is cut into aligned blocks of ``2^(bits * level)`` units. Points are summed once
-    per block and level, and an interval is the union of a few blocks on each level
-    (below ``2^(bits + 1)``). The join is then an equi-join on (level, block): its size
-    follows intervals x log(length), not the number of matching points, so long
-    overlapping intervals over dense samples do not multiply. Result columns:
-    ``interval_id``, ``by``, ``<value>_sum`` and ``<value>_n`` (null and NaN left out).
+    An interval is the difference of two running sums: up to its end and up to just before
+    its start. Both ends of every interval are asked of every group; askers and points are
+    sorted together, so the answer is the running sum at the asker's own place. The cost
+    per (interval, group), which is the size of the answer, is two rows whatever the
+    interval's length, and no block of time is shared by many. ``at`` and the ends are whole
+    numbers. Fractions are summed exactly, to ``scale`` decimal places, so that long running
+    sums lose nothing. Result columns: ``interval_id``, ``by``, ``<value>_sum`` and
+    ``<value>_n`` (null and NaN left out), for groups with a point in the interval.
     """
     by, ids = list(by), list(interval_id)
-    longest = intervals.agg(F.max(F.col(end) - F.col(start) + 1).alias("n")).first()["n"] or 1
-    levels = int(longest).bit_length() // bits
+    kinds = dict(points.select(*values).dtypes)
+    whole = {v: kinds[v] in ("tinyint", "smallint", "int", "bigint") for v in values}
 
     def total(v: str):
         ok = F.col(v).isNotNull() & ~F.isnan(F.col(v).cast("double"))
-        return [
-            F.sum(F.when(ok, F.col(v))).alias(f"{v}_sum"),
-            F.count(F.when(ok, F.lit(1))).alias(f"{v}_n"),
-        ]
+        exact = F.col(v).cast("bigint" if whole[v] else f"decimal(28,{scale})")
+        return [F.sum(F.when(ok, exact)).cast("bigint" if whole[v] else f"decimal(38,{scale})").alias(f"{v}_sum"),
+                F.count(F.when(ok, F.lit(1))).alias(f"{v}_n")]
 
-    moments = points.groupBy(*by, at).agg(*[c for v in values for c in total(v)])
-    again = [F.sum(f"{v}_{k}").alias(f"{v}_{k}") for v in values for k in ("sum", "n")]
-    blocks = (
-        moments.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
-        .withColumn("_block", F.expr(f"shiftright(`{at}`, {bits} * _level)"))
-        .groupBy(*by, "_level", "_block")
-        .agg(*again)
-    )
-
-    def fit(level: str):
-        """First and one-past-last aligned block inside the interval."""
-        shift = f"{bits} * ({level})"
-        return f"shiftright(_s + shiftleft(1L, {shift}) - 1, {shift})", f"shiftright(_e, {shift})"
-
-    (first, last), (upper_first, upper_last) = fit("_level"), fit("_level + 1")
-    pieces = (
-        intervals.filter(F.col(start) <= F.col(end))
-        .select(*ids, F.col(start).cast("bigint").alias("_s"), (F.col(end) + 1).cast("bigint").alias("_e"))
-        .withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
-        .withColumns({"_a": F.expr(first), "_z": F.expr(last)})
-        .withColumns({"_a2": F.expr(f"shiftleft({upper_first}, {bits})"), "_z2": F.expr(f"shiftleft({upper_last}, {bits})")})
-        .filter("_a < _z")
-        .withColumn(
-            "_block",
-            F.explode(
-                F.expr(
-                    f"""CASE WHEN _level = {levels} OR _a2 >= _z2 THEN sequence(_a, _z - 1)
-                        ELSE concat(IF(_a < _a2, sequence(_a, _a2 - 1), array()),
-                                    IF(_z2 < _z, sequence(_z2, _z - 1), array())) END"""
-                )
-            ),
-        )
-        .select(*ids, "_level", "_block")
-    )
-    return pieces.join(blocks, ["_level", "_block"]).groupBy(*ids, *by).agg(*again)
+    moments = points.groupBy(*by, F.col(at).cast("bigint").alias("_at")).agg(F.count(F.lit(1)).alias("_rows"), *[c for v in values for c in total(v)])
+    moments = cut_lineage(moments)  # summed, and asked for its groups
+    summed = [c for c in moments.columns if c not in (*by, "_at")]
+    ends = intervals.filter(F.col(start) <= F.col(end)).select(
+        *ids, F.explode(F.array(F.struct((F.col(start) - 1).cast("bigint").alias("at"), F.lit(-1).alias("sign")),
+                                F.struct(F.col(end).cast("bigint").alias("at"), F.lit(1).alias("sign")))).alias("_e"))
+    asked = ends.select(*ids, F.col("_e.at").alias("_at"), F.col("_e.sign").alias("_sign")).crossJoin(moments.select(*by).distinct())
+    sums = prefix_sums(moments.unionByName(asked, allowMissingColumns=True), by, "_at", summed)
+    answers = sums.filter(F.col("_sign").isNotNull()).groupBy(*ids, *by).agg(*[F.sum(F.col("_sign") * F.col(c)).alias(c) for c in summed])
+    back = lambda v: F.when(F.col(f"{v}_n") > 0, F.col(f"{v}_sum").cast("bigint" if whole[v] else "double"))
+    return answers.filter(F.col("_rows") > 0).select(
+        *ids, *by, *[c for v in values for c in (back(v).alias(f"{v}_sum"), F.col(f"{v}_n").cast("bigint").alias(f"{v}_n"))])

@@ -49,9 +49,12 @@ def usage(samples: DataFrame, intervals: DataFrame, ids: list[str], measures: li
     return intervals.select(*ids).join(found, ids, "left")
 
 
+def _stage_spans(stages: DataFrame) -> DataFrame:
+    return stages.filter(has_tasks()).select(*KEY, "start", F.col("completion").alias("end"))
+
+
 def stage_usage(samples: DataFrame, stages: DataFrame, measures: list[str]) -> DataFrame:
-    spans = stages.filter(has_tasks()).select(*KEY, "start", F.col("completion").alias("end"))
-    return usage(samples, spans, KEY, measures)
+    return usage(samples, _stage_spans(stages), KEY, measures)
 
 
 def run_usage(samples: DataFrame, run_table: DataFrame, measures: list[str]) -> DataFrame:
@@ -61,15 +64,17 @@ def run_usage(samples: DataFrame, run_table: DataFrame, measures: list[str]) ->
 def usage_report(samples: DataFrame, stages: DataFrame, run_table: DataFrame, first: str, second: str) -> DataFrame:
     """Mean over runs of two measures per stage id, and an ``App`` row with stage id -1.
 
-    Rows in which either measure is missing are left out before averaging.
+    Stages and whole runs are intervals of one pass over the samples. Rows in which either measure is missing are left out before averaging.
     """
-    both = F.col(first).isNotNull() & F.col(second).isNotNull()
-    mean = [F.avg(first).alias(first), F.avg(second).alias(second)]
-    names = stages.groupBy("stage").agg(F.min("name").alias("name"))
-    per_stage = stage_usage(samples, stages, [first, second]).filter(both).groupBy("stage").agg(*mean).join(names, "stage")
-    app = run_usage(samples, run_table, [first, second]).filter(both).agg(*mean)
-    app = app.select(F.lit(-1).alias("stage"), F.lit("App").alias("name"), first, second)
-    return per_stage.select("stage", "name", first, second).unionByName(app)
+    whole_runs = run_table.select("run", F.lit(-1).alias("stage"), F.lit(-1).alias("attempt"), "start", "end")
+    spans = _stage_spans(stages).unionByName(whole_runs)
+    used = usage(samples, spans, KEY, [first, second]).filter(F.col(first).isNotNull() & F.col(second).isNotNull())
+    names = stages.groupBy("stage").agg(F.min("name").alias("name")).unionByName(
+        stages.sparkSession.createDataFrame([(-1, "App")], "stage int, name string"))
+    # a report without any run still has its row
+    mean = used.groupBy("stage").agg(F.avg(first).alias(first), F.avg(second).alias(second))
+    rows = names.join(mean, "stage", "left").filter((F.col("stage") == -1) | F.col(first).isNotNull())
+    return rows.select("stage", "name", first, second)
 
 
 def disk_report(samples: DataFrame, stages: DataFrame, run_table: DataFrame) -> DataFrame:

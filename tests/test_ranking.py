@@ -1,7 +1,7 @@
 import math
 import random
 
-from brookmill.operators.intervals import interval_join, interval_totals
+from brookmill.operators.intervals import interval_join, interval_totals, prefix_sums
 from brookmill.operators.ranking import index_pick, interpolated_percentiles, order_statistics, rank_rows, trim_ranks
 from brookmill.operators.sampling import sample_with_replacement, split_by_id
 
@@ -54,9 +54,9 @@ def test_interval_join_and_totals_against_brute_force(spark):
     joined = interval_join(p, s, "at", "start", "end", 100).select("i", "host", "at").collect()
     expected = sorted((i, h, at) for h, at, _ in points for i, a, z in spans if a <= at <= z)
     assert sorted(tuple(r) for r in joined) == expected
-    for bits in (1, 4):
+    for scale in (1, 9):
         got = {(r["i"], r["host"]): (r["v_sum"], r["v_n"]) for r in
-               interval_totals(p, s, "at", "start", "end", ["host"], ["v"], ["i"], bits=bits).collect()}
+               interval_totals(p, s, "at", "start", "end", ["host"], ["v"], ["i"], scale=scale).collect()}
         for i, a, z in spans:
             for h in "ab":
                 inside = [v for host, at, v in points if host == h and a <= at <= z]
@@ -67,6 +67,22 @@ def test_interval_join_and_totals_against_brute_force(spark):
                     assert (i, h) not in got
 
 
+def test_prefix_sums_of_a_dominant_group_with_ties(spark):
+    rng = random.Random(16)
+    rows = [(0 if rng.random() < 0.8 else rng.randrange(1, 4), rng.randrange(300), rng.choice([None, rng.randrange(-50, 50)]), i) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "g int, at bigint, v bigint, id int").repartition(5)
+    got = {r["id"]: r["v"] for r in prefix_sums(df, ["g"], "at", ["v"]).collect()}
+    assert got == {i: sum(x or 0 for h, t, x, _ in rows if h == g and t <= at) for g, at, _, i in rows}
+
+
+def test_interval_totals_are_exact_behind_a_long_history(spark):
+    points = [("a", k, 1e15 if k < 50 else 0.1) for k in range(100)]
+    p = spark.createDataFrame(points, "host string, at bigint, v double")
+    s = spark.createDataFrame([(0, 60, 69), (1, 200, 300)], "i int, start bigint, end bigint")
+    got = interval_totals(p, s, "at", "start", "end", ["host"], ["v"], ["i"]).collect()
+    assert [tuple(r) for r in got] == [(0, "a", 1.0, 10)]
+
+
 def test_split_does_not_depend_on_partitioning(spark):
     df = spark.range(500)
     a = {r["id"] for r in split_by_id(df.repartition(7), "id", 0.6, 1)[0].collect()}
