@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.units import whole
 from ..session import cut_lineage, with_input_position
 
+# order statistics: a range of so many rows is sorted; a larger one is cut into cells
+ROWS_AT_ONCE, CELLS = 100_000, 1024
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
@@ -46,39 +48,60 @@ def rank_rows(
 
 
 def order_statistics(
-    df: DataFrame, keys: Sequence[str], value: str, picks: dict[str, Callable[[Column], Column]]
+    df: DataFrame, keys: Sequence[str], value: str, picks: dict[str, Callable[[Column], Column]],
+    limit: int = ROWS_AT_ONCE, cells: int = CELLS,
 ) -> DataFrame:
     """Exact values at sorted positions of each group: keys and one column per pick.
 
     A pick maps the group's row count to a 0-based position. First only counts per
     logarithmic value bucket are shuffled (at most a few thousand per group, map-side
-    combined); they tell which bucket holds each position. Then only the rows of those
-    buckets are folded to distinct values and counted through. One huge group is thus
-    shared out by value, and most rows are never moved.
+    combined); they tell which bucket holds each position. A bucket of more than ``limit``
+    rows is narrowed: its range is cut into ``cells`` equal ones, which are counted, and
+    the one that holds the position takes its place, until it is small or holds one value
+    only. So rounds follow the logarithm of the values' spread, every round shuffles counts,
+    and only ``limit`` rows of a group and pick are ever brought together and sorted.
     """
     keys = list(keys)
     number = F.col(value).cast("double")
     bucket = F.floor(F.signum(number) * F.log2(F.abs(number) + 1.0) * 32).cast("int")
     rows = df.filter(F.col(value).isNotNull()).select(*keys, value, bucket.alias("_b"))
     group = W.partitionBy(*keys)
+    counted = [F.count(F.lit(1)).alias("_n"), F.min(value).alias("_low"), F.max(value).alias("_high")]
+    before = lambda of: F.coalesce(F.sum("_n").over(of.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sizes = (
-        rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_base", F.coalesce(F.sum("_n").over(group.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        rows.groupBy(*keys, "_b").agg(*counted)
+        .withColumn("_base", before(group.orderBy("_b")))
         .withColumn("_total", F.sum("_n").over(group))
     )
     spots = F.array(*[F.struct(F.lit(n).alias("name"), pick(F.col("_total")).cast("bigint").alias("at")) for n, pick in picks.items()])
+    inside = lambda at: (at >= F.col("_base")) & (at < F.col("_base") + F.col("_n"))
     wanted = (
-        sizes.withColumn("_spot", F.explode(spots))
-        .filter((F.col("_spot.at") >= F.col("_base")) & (F.col("_spot.at") < F.col("_base") + F.col("_n")))
-        .select(*keys, "_b", F.col("_spot.name").alias("_name"), (F.col("_spot.at") - F.col("_base")).alias("_at"))
+        sizes.withColumn("_spot", F.explode(spots)).filter(inside(F.col("_spot.at")))
+        .select(*keys, "_b", F.col("_spot.name").alias("_name"), (F.col("_spot.at") - F.col("_base")).alias("_at"), "_low", "_high", "_n")
     )
-    wanted = cut_lineage(wanted)  # one row per group and pick, used twice
-    near = rows.join(wanted.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi")
-    folded = near.groupBy(*keys, "_b", value).agg(F.count(F.lit(1)).alias("_copies"))
-    inside = W.partitionBy(*keys, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    counted = folded.withColumn("_before", F.coalesce(F.sum("_copies").over(inside), F.lit(0)))
-    hit = (F.col("_at") >= F.col("_before")) & (F.col("_at") < F.col("_before") + F.col("_copies"))
-    found = counted.join(wanted, [*keys, "_b"]).filter(hit)
+    wanted = cut_lineage(wanted)  # one row per group and pick
+    where = [*keys, "_b", "_low", "_high"]
+    large = (F.col("_n") > limit) & (F.col("_low") < F.col("_high"))
+
+    def held(ranges: DataFrame) -> DataFrame:
+        """The rows of some ranges, a range being part of a bucket."""
+        return rows.join(ranges.select(*where).distinct(), [*keys, "_b"]).filter(F.col(value).between(F.col("_low"), F.col("_high")))
+
+    while not wanted.filter(large).isEmpty():
+        share = (F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low"))
+        cell = F.least(F.floor(share * cells), F.lit(cells - 1)).cast("int")
+        parts = held(wanted.filter(large)).groupBy(*where, cell.alias("_cell")).agg(
+            F.count(F.lit(1)).alias("_n"), F.min(value).alias("_first"), F.max(value).alias("_last"))
+        parts = parts.withColumn("_base", before(W.partitionBy(*where).orderBy("_cell")))
+        narrowed = wanted.filter(large).drop("_n").join(parts, where).filter(inside(F.col("_at"))).select(
+            *keys, "_b", "_name", (F.col("_at") - F.col("_base")).alias("_at"), F.col("_first").alias("_low"), F.col("_last").alias("_high"), "_n")
+        wanted = cut_lineage(wanted.filter(~large).unionByName(narrowed))
+
+    single = F.col("_low") == F.col("_high")
+    folded = held(wanted.filter(~single)).groupBy(*where, value).agg(F.count(F.lit(1)).alias("_n"))
+    folded = folded.withColumn("_base", before(W.partitionBy(*where).orderBy(value)))
+    found = folded.join(wanted.filter(~single).drop("_n"), where).filter(inside(F.col("_at"))).select(*keys, "_name", value)
+    found = found.unionByName(wanted.filter(single).select(*keys, "_name", F.col("_low").alias(value)))
     return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, F.col(value))).alias(n) for n in picks])
 
 

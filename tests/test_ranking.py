@@ -1,6 +1,8 @@
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from brookmill.operators.intervals import interval_join, interval_totals, prefix_sums
 from brookmill.operators.ranking import index_pick, interpolated_percentiles, order_statistics, rank_rows, trim_ranks
 from brookmill.operators.sampling import sample_with_replacement, split_by_id
@@ -34,6 +36,28 @@ def test_order_statistics_with_ties_and_negative_values(spark):
         assert [r[f"q{i}"] for i in range(10)] == [values[math.floor(len(values) * i / 10)] for i in range(10)]
 
 
+def test_order_statistics_of_a_million_values_in_one_bucket(spark):
+    """All values fall into one logarithmic bucket; no task may sort more than the limit."""
+    n, base = 1_000_000, 2**40
+    df = spark.range(n).select(F.lit("a").alias("k"), (F.col("id") * 7919 % n + base).alias("v"), ((F.col("id") * 7919 % n) / 1000 + 1e9).alias("d"))
+    picks = {f"q{i}": index_pick(i / 7) for i in range(7)}
+    row = order_statistics(df, ["k"], "v", picks, limit=5_000).first()
+    assert [row[f"q{i}"] for i in range(7)] == [base + math.floor(n * (i / 7)) for i in range(7)]
+    row = order_statistics(df, ["k"], "d", picks, limit=50, cells=64).first()
+    assert [row[f"q{i}"] for i in range(7)] == [math.floor(n * (i / 7)) / 1000 + 1e9 for i in range(7)]
+
+
+def test_order_statistics_of_repeated_values_and_small_limits(spark):
+    rng = random.Random(15)
+    rows = [(k, rng.choice([7, 7, 7, 7, -3, 2**62, -(2**62), rng.randrange(100, 140)])) for k in "ab" for _ in range(700)]
+    df = spark.createDataFrame(rows, "k string, v bigint")
+    picks = {f"q{i}": index_pick(i / 10) for i in range(10)}
+    for limit, cells in ((1, 2), (10, 3), (10**6, 1024)):
+        for r in order_statistics(df, ["k"], "v", picks, limit, cells).collect():
+            values = sorted(v for k, v in rows if k == r["k"])
+            assert [r[f"q{i}"] for i in range(10)] == [values[math.floor(len(values) * i / 10)] for i in range(10)]
+
+
 def test_interpolated_percentiles(spark):
     df = spark.createDataFrame([("a", v) for v in (10, 20, 30, 40)] + [("b", 5)], "k string, v bigint")
     got = {r["k"]: (r["m"], r["q"]) for r in interpolated_percentiles(df, ["k"], "v", {"m": 0.5, "q": 0.9}).collect()}
