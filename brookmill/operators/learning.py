@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .sampling import sample_with_replacement
 
+SVM_PENALTY = 0.01
+
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """A list column of equal lengths as an (n, d) float64 matrix."""
@@ -208,16 +210,35 @@ def _labelled(df: DataFrame, features: str, label: str) -> DataFrame:
     return df.select(F.col(label).cast("double").alias("label"), array_to_vector(F.col(features).cast("array<double>")).alias("features"))
 
 
+def logistic_model(train: DataFrame, features: str, label: str, max_iter: int = 100):
+    """Library logistic regression without intercept or penalty."""
+    return LogisticRegression(regParam=0.0, fitIntercept=False, maxIter=max_iter).fit(_labelled(train, features, label))
+
+
+def svm_model(train: DataFrame, features: str, label: str, max_iter: int = 100, reg: float = SVM_PENALTY):
+    """Library linear SVM without intercept; features keep their scale."""
+    return LinearSVC(regParam=reg, fitIntercept=False, standardization=False, maxIter=max_iter).fit(_labelled(train, features, label))
+
+
+def predictions(model, test: DataFrame, features: str, label: str, keep: Sequence[str] = ()) -> DataFrame:
+    """``(label, prediction)`` of each row of ``test``, after the columns ``keep``."""
+    vectors = array_to_vector(F.col(features).cast("array<double>"))
+    rows = test.select(*keep, F.col(label).cast("double").alias("label"), vectors.alias("features"))
+    return model.transform(rows).select(*keep, "label", "prediction")
+
+
 def logistic_regression(train: DataFrame, test: DataFrame, features: str, label: str, max_iter: int = 100) -> DataFrame:
     """Fit without intercept or penalty on ``train``; ``(prediction, label)`` of ``test``."""
-    model = LogisticRegression(regParam=0.0, fitIntercept=False, maxIter=max_iter).fit(_labelled(train, features, label))
-    return model.transform(_labelled(test, features, label)).select("prediction", "label")
+    return predictions(logistic_model(train, features, label, max_iter), test, features, label).select("prediction", "label")
 
 
 def linear_svm(train: DataFrame, test: DataFrame, features: str, label: str, max_iter: int = 100) -> DataFrame:
     """Linear SVM without intercept; ``(label, prediction)`` of ``test``."""
-    model = LinearSVC(regParam=0.01, fitIntercept=False, maxIter=max_iter).fit(_labelled(train, features, label))
-    return model.transform(_labelled(test, features, label)).select("label", "prediction")
+    return predictions(svm_model(train, features, label, max_iter), test, features, label)
+
+
+def als_model(ratings: DataFrame, rank: int, iters: int, reg: float = 0.01, seed: int = 3):
+    return ALS(rank=rank, maxIter=iters, regParam=reg, seed=seed, userCol="user", itemCol="product", ratingCol="rating").fit(ratings)
 
 
 def factorise(ratings: DataFrame, rank: int, iters: int, reg: float = 0.01, seed: int = 3) -> DataFrame:
@@ -226,8 +247,8 @@ def factorise(ratings: DataFrame, rank: int, iters: int, reg: float = 0.01, seed
     The model scores each row in place, so a repeated (user, product) pair gets one
     prediction per row and does not multiply.
     """
-    als = ALS(rank=rank, maxIter=iters, regParam=reg, seed=seed, userCol="user", itemCol="product", ratingCol="rating")
-    return als.fit(ratings).transform(ratings).withColumn("prediction", F.col("prediction").cast("double"))
+    model = als_model(ratings, rank, iters, reg, seed)
+    return model.transform(ratings).withColumn("prediction", F.col("prediction").cast("double"))
 
 
 def join_predictions(actual: DataFrame, predicted: DataFrame) -> DataFrame:

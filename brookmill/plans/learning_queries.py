@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import vectors
-from ..operators import learning
+from ..functions.noise import uniform_sql
+from ..operators import certificates, learning
 from ..operators.sampling import split_by_id
 from ..session import scratch_path
 from ..sources import text_formats as tf
@@ -76,10 +78,18 @@ def nearest_start_centre(spark, sf_dir):
     return df.select("vec_id", best.alias("b")).select("vec_id", F.col("b.idx").alias("cluster"), F.round("b.dist", 6).alias("dist"))
 
 
-@query("kmeans_library")
+@query("kmeans_library", "SELECT vec_id, true AS nearest, true AS settled FROM embeddings")
 def kmeans_library(spark, sf_dir):
-    model, cost = learning.kmeans_library(points(spark, sf_dir), "features", K, 10)
-    return spark.createDataFrame([(K, float(cost))], "k int, cost double")
+    """Every point with its cluster's checks: no other centre is nearer, and a further step
+    of assigning and averaging wins nothing that counts."""
+    df = points(spark, sf_dir)
+    model, cost = learning.kmeans_library(df, "features", K, 100)
+    centres = np.array(model.clusterCenters())
+    told, after = certificates.lloyd_costs(df, "features", centres)
+    settled = after >= told * (1 - 1e-3) and abs(told - cost) <= 1e-6 * told
+    said = model.transform(df.withColumn("vector", array_to_vector("features")).select("vec_id", F.col("features").alias("x"), F.col("vector").alias("features")))
+    both = learning.assign_clusters(said.select("vec_id", "x", "prediction"), "x", centres)
+    return both.select("vec_id", (F.col("prediction") == F.col("cluster")).alias("nearest"), F.lit(bool(settled)).alias("settled"))
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,16 +159,35 @@ def class_metrics(spark, sf_dir):
     return out.select("class", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
-@query("logistic_library")
+# what the split leaves for testing, and what holds of every row if the model is right
+_TEST_ROWS = f"""SELECT vec_id, CAST(label >= 5 AS DOUBLE) AS label, true AS consistent, true AS optimal FROM embeddings
+WHERE {uniform_sql('vec_id', seed=13290)} >= 0.6"""
+
+
+def _tested(model, test: DataFrame, optimal: bool) -> DataFrame:
+    """Rows of a linear model's predictions: the side of the plane that its weights tell,
+    and whether these weights are where the training rows have their optimum."""
+    weights = model.coefficients.toArray()
+    out = learning.predictions(model, learning.linear_scores(test, "features", weights), "features", "label", ["vec_id", "margin"])
+    side = (F.col("margin") > 0).cast("double")
+    return out.select("vec_id", "label", (F.col("prediction") == side).alias("consistent"), F.lit(bool(optimal)).alias("optimal"))
+
+
+@query("logistic_library", _TEST_ROWS)
 def logistic_library(spark, sf_dir):
     train, test = split_by_id(labelled(spark, sf_dir), "vec_id", 0.6, seed=13290)
-    return learning.accuracy(learning.logistic_regression(train, test, "features", "label"))
+    model = learning.logistic_model(train, "features", "label")
+    slope = certificates.logistic_gradient(train, "features", "label", model.coefficients.toArray())
+    return _tested(model, test, np.abs(slope).max() < 1e-5)
 
 
-@query("svm_library")
+@query("svm_library", _TEST_ROWS)
 def svm_library(spark, sf_dir):
     train, test = split_by_id(labelled(spark, sf_dir), "vec_id", 0.6, seed=13290)
-    return learning.accuracy(learning.linear_svm(train, test, "features", "label", 20))
+    model = learning.svm_model(train, "features", "label", 100)
+    weights = model.coefficients.toArray()
+    gains = certificates.hinge_gains(train, "features", "label", weights, learning.SVM_PENALTY, 0.1 * np.abs(weights).mean())
+    return _tested(model, test, gains.max() < 1e-5)
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,10 +196,22 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("als_mse")
+ALS_PENALTY = 0.05
+
+
+@query(
+    "als_mse",
+    """SELECT CAST(l_suppkey AS INTEGER) AS "user", CAST(count(*) AS BIGINT) AS n, true AS solved, true AS better FROM lineitem GROUP BY 1""",
+)
 def als_mse(spark, sf_dir):
-    scored_rows = learning.factorise(ratings(spark, sf_dir), rank=8, iters=5, reg=0.05)
-    return learning.squared_error(scored_rows)
+    """Every user with the checks of the factors: they solve the user's normal equations,
+    and the squared error is below that of telling the mean rating."""
+    rows = ratings(spark, sf_dir)
+    model = learning.als_model(rows, rank=8, iters=5, reg=ALS_PENALTY)
+    mse = learning.squared_error(model.transform(rows)).first()["mse"]
+    spread = rows.agg(F.var_pop("rating").alias("v")).first()["v"]
+    found = certificates.als_residuals(rows, model.userFactors, model.itemFactors, ALS_PENALTY)
+    return found.select("user", "n", (F.col("residual") < 1e-4).alias("solved"), F.lit(bool(mse < spread)).alias("better"))
 
 
 MEANS = """m AS (SELECT l_suppkey AS u, l_partkey AS p, avg(l_quantity) AS prediction FROM lineitem GROUP BY 1, 2)"""

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brookmill.functions import vectors
-from brookmill.operators import learning
+from brookmill.operators import certificates, learning
 from brookmill.sources import generators as gen
 
 
@@ -94,3 +94,57 @@ def test_prediction_join_does_not_multiply(spark):
     actual = spark.createDataFrame([(1, 1, 4.0), (1, 1, 2.0)], "user int, product int, rating double")
     predicted = spark.createDataFrame([(1, 1, 3.0), (1, 1, 3.0)], "user int, product int, prediction double")
     assert learning.join_predictions(actual, predicted).count() == 2
+
+
+def separated(spark, n=400, d=4, seed=4):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, d))
+    y = (x @ np.arange(1, d + 1) + rng.normal(scale=2, size=n) > 0).astype(float)
+    return spark.createDataFrame([(i, list(map(float, r)), float(t)) for i, (r, t) in enumerate(zip(x, y))], "id int, features array<double>, label double"), x, y
+
+
+def test_gradient_certificate_tells_the_optimum_from_other_weights(spark):
+    df, x, y = separated(spark)
+    model = learning.logistic_model(df, "features", "label")
+    w = model.coefficients.toArray()
+    slope = certificates.logistic_gradient(df, "features", "label", w)
+    assert np.abs(slope).max() < 1e-5
+    other = certificates.logistic_gradient(df, "features", "label", w * 1.2)
+    assert np.abs(other).max() > 1e-3
+    assert np.allclose(other, x.T @ (1 / (1 + np.exp(-(x @ (w * 1.2)))) - y) / len(y))
+
+
+def test_hinge_certificate(spark):
+    df, x, y = separated(spark)
+    w = learning.svm_model(df, "features", "label", 200).coefficients.toArray()
+    step = 0.1 * np.abs(w).mean()
+    assert certificates.hinge_gains(df, "features", "label", w, learning.SVM_PENALTY, step).max() < 1e-5
+    moved = w + np.array([0.5, 0, 0, 0])
+    gains = certificates.hinge_gains(df, "features", "label", moved, learning.SVM_PENALTY, step)
+    cost = lambda v: np.maximum(0, 1 - (2 * y - 1) * (x @ v)).mean() + learning.SVM_PENALTY / 2 * v @ v
+    assert gains.argmax() in (0, 4) and gains.max() > 1e-3
+    assert gains[1] == pytest.approx(cost(moved) - min(cost(moved + [0, step, 0, 0]), cost(moved - [0, step, 0, 0])))
+
+
+def test_lloyd_certificate(spark):
+    df = spark.createDataFrame([([float(v)],) for v in (0, 1, 2, 10, 11, 12)], "features array<double>")
+    assert certificates.lloyd_costs(df, "features", [[1.0], [11.0]]) == (4.0, 4.0)
+    told, after = certificates.lloyd_costs(df, "features", [[0.0], [11.0]])
+    assert after < told
+
+
+def test_als_certificate(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(rng.integers(0, 12)), int(rng.integers(0, 9)), float(rng.normal() + 3)) for _ in range(300)] + [(3, 3, 1.0)] * 5
+    df = spark.createDataFrame(rows, "user int, product int, rating double")
+    model = learning.als_model(df, rank=3, iters=3, reg=0.1)
+    p = {r["id"]: np.array(r["features"]) for r in model.userFactors.collect()}
+    q = {r["id"]: np.array(r["features"]) for r in model.itemFactors.collect()}
+    got = {r["user"]: (r["n"], r["residual"]) for r in certificates.als_residuals(df, model.userFactors, model.itemFactors, 0.1).collect()}
+    for u in p:
+        mine = [(i, r) for v, i, r in rows if v == u]
+        left = sum((r - q[i] @ p[u]) * q[i] for i, r in mine) - 0.1 * len(mine) * p[u]
+        assert got[u][0] == len(mine) and got[u][1] == pytest.approx(np.linalg.norm(left) / np.linalg.norm(sum(r * q[i] for i, r in mine)), abs=1e-6)
+    assert max(r for _, r in got.values()) < 1e-4
+    moved = model.userFactors.withColumn("features", F.transform("features", lambda v: v * 1.1))
+    assert certificates.als_residuals(df, moved, model.itemFactors, 0.1).agg(F.min("residual")).first()[0] > 1e-3
