@@ -100,7 +100,6 @@ def kmeans_naive(
     features: str,
     k: int,
     iters: int,
-    order: str,
     init: Sequence[Sequence[float]] | None = None,
     seed: int = 11,
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +109,7 @@ def kmeans_naive(
     points disappears, so fewer than k centres may come back.
     """
     if init is None:
-        drawn = sample_with_replacement(points, [order], k, seed).orderBy("draw").select(features).collect()
+        drawn = sample_with_replacement(points, k, seed).orderBy("draw").select(features).collect()
         init = [row[0] for row in drawn]
     start = np.asarray(init, dtype=float)
     centres = start

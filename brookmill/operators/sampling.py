@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.noise import uniform
-from .ranking import rank_rows
+from ..session import with_input_position
+
+POSITION_BITS = 33  # of an input position: the row's place in its split
 
 
 def random_split(df: DataFrame, weights: list[float], seed: int) -> list[DataFrame]:
@@ -19,12 +23,28 @@ def split_by_id(df: DataFrame, row_id: str, share: float, seed: int) -> tuple[Da
     return df.filter(draw < share), df.filter(draw >= share)
 
 
-def sample_with_replacement(df: DataFrame, order: list[str], k: int, seed: int) -> DataFrame:
-    """Exactly ``k`` draws, each a uniform row number joined back (``draw`` = 0..k-1)."""
-    numbered = rank_rows(df, [], order, "_row")
-    n = numbered.count()
-    draws = df.sparkSession.range(k).select(
-        F.col("id").alias("draw"),
-        (F.floor(uniform(F.col("id"), seed=seed) * n) + 1).alias("_row"),
-    )
-    return draws.join(numbered, "_row").drop("_row")
+def sample_with_replacement(df: DataFrame, k: int, seed: int) -> DataFrame:
+    """Exactly ``k`` draws (``draw`` = 0..k-1), each the row at a uniform input position.
+
+    One pass counts the rows of every split, so a draw's position tells its split and its
+    place in there, which is the number that a scan gives to the row without any sort.
+    The rows are then read once more and meet the draws by that number. Few draws are sent
+    to the rows, which stay where they are; many are joined like any other table. A table
+    behind a shuffle is written first, since its rows have no places before.
+    """
+    numbered = with_input_position(df, "_at")
+    sizes = numbered.groupBy(F.shiftright("_at", POSITION_BITS).alias("split")).agg(F.count(F.lit(1)).alias("n")).orderBy("split").collect()
+    splits = np.array([r["split"] for r in sizes], np.int64)
+    ends = np.cumsum([r["n"] for r in sizes]).astype(np.int64)
+    drawn = df.sparkSession.range(k).select(F.col("id").alias("draw"), uniform(F.col("id"), seed=seed).alias("u"))
+
+    def place(batches):
+        for batch in batches:
+            position = np.floor(batch.column(1).to_numpy() * ends[-1]).astype(np.int64)
+            split = np.searchsorted(ends, position, "right")
+            at = (splits[split] << POSITION_BITS) + position - np.r_[0, ends[:-1]][split]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at)], ["draw", "_at"])
+
+    if not len(ends):
+        return df.select(F.lit(0).cast("bigint").alias("draw"), "*").limit(0)
+    return drawn.mapInArrow(place, "draw bigint, _at bigint").join(numbered, "_at").drop("_at")

@@ -59,12 +59,22 @@ def sort_positions(lines: DataFrame) -> DataFrame:
 
 def shuffle_rounds(lines: DataFrame, rounds: int = 5, partitions: int | None = None, seed: int = 17) -> DataFrame:
     """Spread the lines evenly, then permute the characters of each line and rebalance,
-    ``rounds`` times over."""
+    ``rounds`` times over.
+
+    A line carries a number, and number and round tell its place, so a retried task sends
+    its lines where they went before; dealing them out in turn would need a sort before
+    every exchange for that. Every round deals the lines of a partition to all others.
+    """
     n = partitions or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lines = lines.repartition(n)
+    # the number's low part counts the lines of a split: dealt in turn, starting elsewhere for each split
+    placed = lambda df, place: df.repartitionById(n, F.pmod(place, F.lit(n)).cast("int"))
+    lines = with_input_position(lines, "_line")
+    number = F.col("_line").bitwiseAND(F.lit((1 << 33) - 1)) + F.shiftright("_line", 33)
+    lines = placed(lines, number)
     for i in range(rounds):
-        lines = lines.select(permute_characters(F.col("value"), seed + i).alias("value")).repartition(n)
-    return lines
+        moved = lines.select(permute_characters(F.col("value"), seed + i).alias("value"), "_line")
+        lines = placed(moved, F.xxhash64("_line", F.lit(i)))
+    return lines.drop("_line")
 
 
 def hash_sorted_partitions(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:

@@ -152,7 +152,7 @@ SELECT draw, vec_id FROM d JOIN r USING (row)""",
 )
 def sample_rows(spark, sf_dir):
     """Twenty-five draws (the size of the sample is the operator's parameter) from all rows."""
-    return sample_with_replacement(table(spark, sf_dir, "embeddings").select("vec_id"), ["vec_id"], 25, seed=61)
+    return sample_with_replacement(table(spark, sf_dir, "embeddings").select("vec_id"), 25, seed=61)
 
 
 _UNIT = "CASE WHEN o_orderkey % 3 = 0 THEN 'k' WHEN o_orderkey % 3 = 1 THEN 'M' ELSE '' END"

@@ -43,7 +43,7 @@ def _kmeans_sql() -> str:
 @query("kmeans_centres", f"{_kmeans_sql()} SELECT cluster, CAST(d - 1 AS INTEGER) AS dim, round(c, 6) AS value FROM c{ROUNDS}")
 def kmeans_centres(spark, sf_dir):
     df = points(spark, sf_dir)
-    _, centres = learning.kmeans_naive(df, "features", K, ROUNDS, "vec_id", init=start_centres(df))
+    _, centres = learning.kmeans_naive(df, "features", K, ROUNDS, init=start_centres(df))
     rows = [(c, d, float(v)) for c, centre in enumerate(centres) for d, v in enumerate(centre)]
     return spark.createDataFrame(rows, "cluster int, dim int, value double").withColumn("value", F.round("value", 6))
 
@@ -51,7 +51,7 @@ def kmeans_centres(spark, sf_dir):
 @query("kmeans_assign", f"{_kmeans_sql()} SELECT vec_id, cluster, round(dist, 6) AS dist FROM a{ROUNDS}")
 def kmeans_assign(spark, sf_dir):
     df = points(spark, sf_dir)
-    _, centres = learning.kmeans_naive(df, "features", K, ROUNDS, "vec_id", init=start_centres(df))
+    _, centres = learning.kmeans_naive(df, "features", K, ROUNDS, init=start_centres(df))
     return learning.assign_clusters(df, "features", centres).select("vec_id", "cluster", F.round("dist", 6).alias("dist"))
 
 
@@ -62,7 +62,7 @@ UNION ALL SELECT 'after', round(sum(dist), 4) FROM a{ROUNDS}""",
 )
 def kmeans_wcss(spark, sf_dir):
     df = points(spark, sf_dir)
-    start, centres = learning.kmeans_naive(df, "features", K, ROUNDS, "vec_id", init=start_centres(df))
+    start, centres = learning.kmeans_naive(df, "features", K, ROUNDS, init=start_centres(df))
     rows = [("before", learning.wcss(df, "features", start)), ("after", learning.wcss(df, "features", centres))]
     return spark.createDataFrame(rows, "moment string, wcss double").withColumn("wcss", F.round("wcss", 4))
 

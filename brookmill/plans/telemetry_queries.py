@@ -281,14 +281,6 @@ def runtime_compare(spark, sf_dir):
     )
 
 
-@query("runtime_compare_report")
-def runtime_compare_report(spark, sf_dir):
-    """The fifteen-column report, formatted."""
-    report = run_compare.compare_report(selected(spark, sf_dir)[1])
-    numbers = [c for c, t in report.dtypes if t in ("double", "bigint")]
-    return formatted(report, {c: run_resources.RUNTIME_PATTERN for c in numbers})
-
-
 def _quantile_sql(source: str) -> str:
     """CTE ``quantile`` (v, x): Student t at 0.975 for the degrees of freedom ``v`` of
     ``source``, by Newton steps on a Simpson integral of the density."""
@@ -299,6 +291,33 @@ def _quantile_sql(source: str) -> str:
 quantile AS (SELECT v, x FROM newton WHERE k = 12)"""
 
 
+def _decimals_sql(x: str) -> str:
+    """A number with at most two decimal places, without zeros that say nothing."""
+    return f"regexp_replace(CAST(round({x}, 2) AS VARCHAR), '\\.0$', '')"
+
+
+_REPORT = {
+    "Barrier": "m1", "BarrierLower": "m1 - h1", "BarrierUpper": "m1 + h1", "BarrierStdDev": "sqrt(v1)", "BarrierSample": "n1",
+    "NoBarrier": "m2", "NoBarrierLower": "m2 - h2", "NoBarrierUpper": "m2 + h2", "NoBarrierStdDev": "sqrt(v2)", "NoBarrierSample": "n2",
+    "SpeedUp": "100 * (m1 - m2) / m1", "SpeedUpLower": "100 * (m1 - m2 - reach) / m1", "SpeedUpUpper": "100 * (m1 - m2 + reach) / m1",
+}
+
+
+@query(
+    "runtime_compare_report",
+    f"""WITH RECURSIVE {COMPARED}, sizes AS (SELECT n1 - 1 AS v FROM df UNION SELECT n2 - 1 FROM df UNION SELECT freedom FROM df), {_quantile_sql('sizes')},
+r AS (SELECT df.*, a.x * sqrt(v1 / n1) AS h1, b.x * sqrt(v2 / n2) AS h2, abs((m2 - m1) / sqrt(v1 / n1 + v2 / n2)) > c.x AS differ,
+  c.x * sqrt(2 * ((v1 * (n1 - 1) + v2 * (n2 - 1)) / freedom) / (2 * n1 * n2 / (n1 + n2))) AS reach
+  FROM df JOIN quantile a ON a.v = n1 - 1 JOIN quantile b ON b.v = n2 - 1 JOIN quantile c ON c.v = freedom)
+SELECT workload AS "Name", differ AS "SignificantDifferent", {', '.join(f'{_decimals_sql(x)} AS "{c}"' for c, x in _REPORT.items())} FROM r""",
+)
+def runtime_compare_report(spark, sf_dir):
+    """The fifteen-column report, formatted."""
+    report = run_compare.compare_report(selected(spark, sf_dir)[1])
+    numbers = [c for c, t in report.dtypes if t in ("double", "bigint")]
+    return formatted(report, {c: run_resources.RUNTIME_PATTERN for c in numbers})
+
+
 @query(
     "mean_intervals",
     f"""WITH RECURSIVE {REAL_TRIMMED}, s AS (SELECT workload, variant, count(*) AS n, avg(runtime) AS mean, stddev_samp(runtime) AS std,

@@ -153,10 +153,12 @@ def write_batches(result: DataFrame, folder: str, checkpoint: str, mode: str = "
     return _start(result.writeStream.outputMode(mode).foreachBatch(write), checkpoint, live)
 
 
-def write_first_rows(result: DataFrame, folder: str, checkpoint: str, limit: int = 10, live: str | None = None) -> StreamingQuery:
-    """At most ``limit`` rows of each batch, with the time of the batch."""
+def write_first_rows(result: DataFrame, folder: str, checkpoint: str, limit: int = 10, live: str | None = None, order: list[str] | None = None) -> StreamingQuery:
+    """At most ``limit`` rows of each batch, with the time of the batch: the first in
+    ``order``, or any without it."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.limit(limit).withColumn("batch_time", F.current_timestamp()).write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
+        first = (batch.orderBy(*order) if order else batch).limit(limit)
+        first.withColumn("batch_time", F.current_timestamp()).write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
 
     return _start(result.writeStream.outputMode("append").foreachBatch(write), checkpoint, live)
 

@@ -15,7 +15,7 @@ def points(spark):
 def test_wcss_never_rises(points):
     costs, centres = [], None
     for rounds in range(1, 5):
-        start, centres = learning.kmeans_naive(points, "features", 3, rounds, "id", seed=5)
+        start, centres = learning.kmeans_naive(points, "features", 3, rounds, seed=5)
         costs.append(learning.wcss(points, "features", centres))
     assert all(a >= b - 1e-9 for a, b in zip([learning.wcss(points, "features", start), *costs], costs))
 
@@ -23,7 +23,7 @@ def test_wcss_never_rises(points):
 def test_rounds_match_numpy_with_ties_and_vanishing_clusters(spark):
     rows = [(i, [float(x), 0.0]) for i, x in enumerate([0, 1, 2, 10, 11, 12])]
     df = spark.createDataFrame(rows, "id int, features array<double>")
-    _, centres = learning.kmeans_naive(df, "features", 3, 2, "id", init=[[0, 0], [0, 0], [11, 0]])
+    _, centres = learning.kmeans_naive(df, "features", 3, 2, init=[[0, 0], [0, 0], [11, 0]])
     assert centres.tolist() == [[1.0, 0.0], [11.0, 0.0]]
 
 

@@ -115,5 +115,17 @@ def test_split_does_not_depend_on_partitioning(spark):
 
 
 def test_sample_has_exactly_k_draws(spark):
-    got = sample_with_replacement(spark.range(5), ["id"], 40, 9).collect()
+    got = sample_with_replacement(spark.range(5), 40, 9).collect()
     assert len(got) == 40 and len({r["id"] for r in got}) == 5
+    assert sorted(r["draw"] for r in got) == list(range(40))
+
+
+def test_sample_draws_uniform_positions_of_uneven_splits(spark):
+    """Splits of very different sizes, empty ones too, and a table behind a shuffle."""
+    df = spark.range(1_000).filter("id < 900 OR id % 10 = 0").repartition(3).unionByName(spark.range(10_000, 10_010, numPartitions=5))
+    got = sample_with_replacement(df, 4_000, 3).collect()
+    assert len(got) == 4_000 and {r["id"] for r in got} <= {r["id"] for r in df.collect()}
+    late = sum(r["id"] >= 10_000 for r in got) / 4_000
+    assert abs(late - 10 / 920) < 0.006 and len({r["id"] for r in got}) > 850
+    assert sorted(sample_with_replacement(spark.range(50), 9, 1).collect()) == sorted(sample_with_replacement(spark.range(50), 9, 1).collect())
+    assert sample_with_replacement(spark.range(0), 4, 1).isEmpty() and sample_with_replacement(spark.range(4), 0, 1).isEmpty()
