@@ -69,14 +69,17 @@ def record_checksum(spark, sf_dir):
 
 @query(
     "record_file_scan",
-    f"WITH {KEYS} SELECT key, CAST(count(*) AS BIGINT) AS n, CAST(count(*) * 90 AS BIGINT) AS value_bytes FROM k GROUP BY key",
+    f"""WITH v AS (SELECT substr(md5({ID_SQL}), 1, 20) AS key, rpad(concat_ws('|', l_orderkey, l_shipdate, l_extendedprice), 90, '.') AS value FROM lineitem)
+SELECT key, CAST(count(*) AS BIGINT) AS n, CAST(sum(strlen(value)) AS BIGINT) AS value_bytes, min(md5(value)) AS first_digest, max(md5(value)) AS last_digest
+FROM v GROUP BY key""",
 )
 def record_file_scan(spark, sf_dir):
     path = scratch_path(spark, "records")
     fixedwidth.write_records(records(spark, sf_dir), path)
     back = fixedwidth.read_records(spark, path, splitBytes=1_000_000)
     return back.groupBy(binary.key_hex(F.col("key")).alias("key")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value")).cast("bigint").alias("value_bytes")
+        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value")).cast("bigint").alias("value_bytes"),
+        F.min(F.md5("value")).alias("first_digest"), F.max(F.md5("value")).alias("last_digest"),
     )
 
 

@@ -3,15 +3,26 @@
 ``spark.read.format("fixedwidth").load(folder)`` gives ``key binary, value binary, path
 string, record bigint`` (``record`` is the 0-based record number in its file). Files are
 split at record boundaries and each split is one input partition, in path order. Rows
-travel as Arrow batches. ``df.write.format("fixedwidth").save(folder)`` appends key and
-value bytes of each row; part files are numbered by partition and appear on commit.
+travel as Arrow batches. ``df.write.format("fixedwidth").save(folder)`` writes key and
+value bytes of each row in part files numbered by partition.
+
+What a folder holds is told by its newest manifest, ``_manifest/<number>.json``: the list
+of its files with their sizes. Tasks write files of final, job-unique names; a commit is one
+manifest, written aside and renamed, so it costs one rename however many files there are,
+readers see all of a job or nothing, and files of attempts that failed are never read. An
+append lists the older files too, an overwrite removes them once its manifest counts. Of two
+jobs that commit at the same time, the later one fails. A folder without a manifest is
+read as it is.
 
 Options: ``keyBytes`` (10), ``recordBytes`` (100), ``splitBytes`` (128 MB), ``sync``
-(false: flush to stable storage before closing).
+(false; true flushes every file to stable storage before it is committed, and is refused
+where that cannot be asked for). :func:`read_records` and :func:`write_records` resolve a
+path without scheme on the session's default file system.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from dataclasses import dataclass
@@ -54,9 +65,33 @@ class _Split(InputPartition):
 
 @dataclass
 class _Written(WriterCommitMessage):
-    temporary: str
-    final: str
-    records: int
+    name: str
+    size: int
+
+
+MANIFESTS = "_manifest"
+
+
+def _manifest(fs: pafs.FileSystem, root: str) -> tuple[int, list[dict]]:
+    """Number and file list of the newest manifest; -1 if the folder has none."""
+    found = fs.get_file_info(pafs.FileSelector(f"{root}/{MANIFESTS}", allow_not_found=True))
+    numbers = [int(f.base_name[:-5]) for f in found if f.is_file and f.base_name.endswith(".json")]
+    if not numbers:
+        return -1, []
+    with fs.open_input_stream(f"{root}/{MANIFESTS}/{max(numbers)}.json") as handle:
+        return max(numbers), json.loads(handle.read())["files"]
+
+
+def _data_files(fs: pafs.FileSystem, root: str) -> list[tuple[str, int]]:
+    """Paths and sizes of the data files, in path order."""
+    info = fs.get_file_info(root)
+    if info.is_file:
+        return [(info.path, info.size)]
+    number, listed = _manifest(fs, root)
+    if number >= 0:
+        return sorted((f"{root}/{f['name']}", f["size"]) for f in listed)
+    found = fs.get_file_info(pafs.FileSelector(root, recursive=True))
+    return sorted((f.path, f.size) for f in found if f.is_file and f.base_name[0] not in "._")
 
 
 class FixedWidthSource(DataSource):
@@ -90,15 +125,12 @@ class _Reader(DataSourceReader):
         self.per_split = max(split_bytes // record_bytes, 1)
 
     def partitions(self):
-        fs, root = _open(self.folder)
-        info = fs.get_file_info(root)
-        found = [info] if info.is_file else fs.get_file_info(pafs.FileSelector(root, recursive=True))
         splits = []
-        for f in sorted((f for f in found if f.is_file and f.base_name[0] not in "._"), key=lambda f: f.path):
-            if f.size % self.record_bytes:
-                raise ValueError(f"{f.path}: {f.size} bytes is not a whole number of {self.record_bytes}-byte records")
-            total = f.size // self.record_bytes
-            splits += [_Split(f.path, at, min(self.per_split, total - at)) for at in range(0, total, self.per_split)]
+        for path, size in _data_files(*_open(self.folder)):
+            if size % self.record_bytes:
+                raise ValueError(f"{path}: {size} bytes is not a whole number of {self.record_bytes}-byte records")
+            total = size // self.record_bytes
+            splits += [_Split(path, at, min(self.per_split, total - at)) for at in range(0, total, self.per_split)]
         return splits or [_Split("", 0, 0)]
 
     def read(self, split: _Split):
@@ -131,46 +163,65 @@ class _Writer(DataSourceArrowWriter):
         self.folder, self.key_bytes, self.record_bytes = folder, key_bytes, record_bytes
         self.key_at, self.value_at, self.overwrite, self.sync = key_at, value_at, overwrite, sync
         self.job = uuid.uuid4().hex
+        fs, root = _open(folder)
+        if sync and not isinstance(fs, pafs.LocalFileSystem):
+            raise ValueError(f"sync cannot be asked for on a {fs.type_name} file system")
+        self.before = _manifest(fs, root)[0]
 
     def write(self, iterator):
         fs, root = _open(self.folder)
         context = TaskContext.get()
-        name = f"part-{context.partitionId():06d}-{self.job[:8]}"
-        staging = f"{root}/_staging-{self.job}"
-        fs.create_dir(staging, recursive=True)
-        temporary = f"{staging}/{name}-{context.taskAttemptId()}"
-        records = 0
-        with fs.open_output_stream(temporary) as out:
+        # an attempt has a name of its own; only the one that commits is listed
+        name = f"part-{context.partitionId():06d}-{self.job[:8]}-{context.taskAttemptId()}"
+        size, out = 0, None
+        try:
             for batch in iterator:
+                if not batch.num_rows:
+                    continue
+                if out is None:
+                    fs.create_dir(root, recursive=True)
+                    out = open(f"{root}/{name}", "wb") if self.sync else fs.open_output_stream(f"{root}/{name}")
                 block = np.hstack([_bytes_of(batch.column(self.key_at), self.key_bytes),
                                    _bytes_of(batch.column(self.value_at), self.record_bytes - self.key_bytes)])
                 out.write(block.tobytes())
-                records += len(block)
-            out.flush()
-        if self.sync and isinstance(fs, pafs.LocalFileSystem):
-            with open(temporary, "rb") as handle:
-                os.fsync(handle.fileno())
-        return _Written(temporary, f"{root}/{name}", records)
+                size += block.size
+            if out is not None and self.sync:
+                out.flush()
+                os.fsync(out.fileno())
+        finally:
+            if out is not None:
+                out.close()
+        return _Written(name, size)
 
     def commit(self, messages):
         fs, root = _open(self.folder)
-        fs.create_dir(root, recursive=True)
+        number, held = _manifest(fs, root)
+        if number != self.before:
+            raise RuntimeError(f"{root} was written by another job meanwhile")
+        older = held if number >= 0 else self._loose(fs, root)
+        new = [{"name": m.name, "size": m.size} for m in messages if m is not None and m.size]
+        listed = new if self.overwrite else [*older, *new]
+        fs.create_dir(f"{root}/{MANIFESTS}", recursive=True)
+        aside = f"{root}/{MANIFESTS}/_{self.job}"
+        with fs.open_output_stream(aside) as out:
+            out.write(json.dumps({"files": listed}).encode())
+        fs.move(aside, f"{root}/{MANIFESTS}/{number + 1}.json")
         if self.overwrite:
-            for old in fs.get_file_info(pafs.FileSelector(root)):
-                if old.is_file and old.base_name.startswith("part-"):
-                    fs.delete_file(old.path)
-        for m in messages:
-            if m is not None and m.records:
-                fs.move(m.temporary, m.final)
-        self._clear(fs, root)
+            for f in older:
+                fs.delete_file(f"{root}/{f['name']}")
 
-    def abort(self, messages):
-        self._clear(*_open(self.folder))
+    def _loose(self, fs, root):
+        """Data files of a folder that had no manifest so far, without those of this job."""
+        found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+        return [{"name": f.base_name, "size": f.size} for f in found
+                if f.is_file and f.base_name[0] not in "._" and f"-{self.job[:8]}-" not in f.base_name]
 
-    def _clear(self, fs, root):
-        staging = f"{root}/_staging-{self.job}"
-        if fs.get_file_info(staging).type != pafs.FileType.NotFound:
-            fs.delete_dir(staging)
+    def abort(self, messages):
+        fs, root = _open(self.folder)
+        found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+        for f in found:
+            if f.is_file and f"-{self.job[:8]}-" in f.base_name:
+                fs.delete_file(f.path)
 
 
 def _bytes_of(column: pa.Array, width: int) -> np.ndarray:
@@ -190,13 +241,22 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FixedWidthSource)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme of the session's default file system, unless it has one:
+    on a cluster, a bare path is not each machine's own disk."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return whole if "://" in whole else whole.replace(":/", ":///", 1)
+
+
 def read_records(spark: SparkSession, folder: str, **options) -> DataFrame:
     register(spark)
-    return spark.read.format("fixedwidth").options(**options).load(folder)
+    return spark.read.format("fixedwidth").options(**options).load(qualified(spark, folder))
 
 
 def write_records(records: DataFrame, folder: str, mode: str = "overwrite", **options) -> None:
     if not folder:
         raise ValueError("an output folder must be set")
-    register(records.sparkSession)
-    records.select("key", "value").write.format("fixedwidth").options(**options).mode(mode).save(folder)
+    spark = records.sparkSession
+    register(spark)
+    records.select("key", "value").write.format("fixedwidth").options(**options).mode(mode).save(qualified(spark, folder))

@@ -73,6 +73,50 @@ def test_append_keeps_and_overwrite_replaces(spark, tmp_path):
     assert fixedwidth.read_records(spark, folder).count() == 10
 
 
+def files_of(folder):
+    return sorted(f.name for f in folder.iterdir() if f.is_file())
+
+
+def test_only_what_a_manifest_lists_is_read(spark, tmp_path):
+    folder, some = tmp_path / "r", records_gen.generate_records(spark, 3000, 3)
+    fixedwidth.write_records(some, str(folder))
+    assert len(files_of(folder)) == 3
+    (folder / "part-000000-lost-17").write_bytes(b"x" * 100)  # left by an attempt that failed
+    assert fixedwidth.read_records(spark, str(folder)).count() == 30
+    fixedwidth.write_records(some, f"file://{folder}", mode="append", sync="true")
+    assert fixedwidth.read_records(spark, f"file:{folder}").count() == 60
+    fixedwidth.write_records(some.limit(0), str(folder))
+    assert fixedwidth.read_records(spark, str(folder)).count() == 0 and files_of(folder) == ["part-000000-lost-17"]
+
+
+def test_a_failed_job_leaves_the_folder_as_it_was(spark, tmp_path):
+    folder, some = tmp_path / "r", records_gen.generate_records(spark, 3000, 3)
+    fixedwidth.write_records(some, str(folder))
+    before = files_of(folder)
+    bad = some.unionByName(spark.createDataFrame([(b"short", b"d" * 90)], "key binary, value binary").withColumn("value", F.col("value")), allowMissingColumns=True)
+    for mode in ("append", "overwrite"):
+        with pytest.raises(Exception, match="expected 10 bytes"):
+            fixedwidth.write_records(bad, str(folder), mode=mode)
+    assert files_of(folder) == before and fixedwidth.read_records(spark, str(folder)).count() == 30
+
+
+def test_files_without_a_manifest_are_read_and_kept_by_an_append(spark, tmp_path):
+    folder, some = tmp_path / "r", records_gen.generate_records(spark, 1000, 1)
+    folder.mkdir()
+    (folder / "old.bin").write_bytes(b"k" * 200)
+    assert fixedwidth.read_records(spark, str(folder)).count() == 2
+    fixedwidth.write_records(some, str(folder), mode="append")
+    assert fixedwidth.read_records(spark, str(folder)).count() == 12
+
+
+def test_of_two_jobs_at_once_one_commits(tmp_path):
+    make = lambda: fixedwidth._Writer(str(tmp_path), 10, 100, 0, 1, False, False)
+    first, second = make(), make()
+    first.commit([fixedwidth._Written("part-a", 0)])
+    with pytest.raises(RuntimeError, match="another job"):
+        second.commit([])
+
+
 def test_truncated_file_and_bad_width_raise(spark, tmp_path):
     (tmp_path / "bad").write_bytes(b"x" * 150)
     with pytest.raises(Exception, match="whole number"):
