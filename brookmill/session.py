@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -76,6 +77,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_by_kind(df: DataFrame, kind: str) -> Callable[[str], DataFrame]:
+    """Write rows of several kinds once, split by kind on disk; ask for a kind to read it.
+
+    What made the rows (a parse, say) is not run again for each kind, and a reader of one
+    kind reads that kind's files and the columns that it uses.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "kinds")
+    df.write.partitionBy(kind).parquet(path)
+    schema = df.schema
+    return lambda name: spark.read.schema(schema).parquet(path).filter(F.col(kind) == name).drop(kind)
+
+
 def with_input_position(df: DataFrame, name: str) -> DataFrame:
     """Number the rows so that a retried task gives each row the same number again.
 

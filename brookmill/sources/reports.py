@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import cut_by_kind
+
 # fixed values: field names of the report
 APP_SCHEMA = "name string, id string, attempId string, start bigint, end bigint, barrier boolean"
 WAIT_SCHEMA = "struct<start:bigint,duration:bigint>"
@@ -13,12 +15,14 @@ TASK_SCHEMA = (
     f"startTime:bigint,endTime:bigint,gcTime:bigint,waitForParentPeriods:array<{WAIT_SCHEMA}>>"
 )
 STAGE_SCHEMA = (
-    "stageId int, stageAttemptId int, name string, taskCount int, startTime bigint, completionTime bigint, "
+    "stageId int, stageAttemptId int, taskCount int, startTime bigint, completionTime bigint, "
     f"failed boolean, jobId int, tasks array<{TASK_SCHEMA}>"
 )
 # fixed values: read methods, by ordinal or by name
 READ_METHODS = ["None", "Memory", "Disk", "Hadoop", "Network"]
 
+LINES_PER_FILE = 1_000
+
 TASK_COLUMNS = {
     "id": "task_id", "index": "task_index", "fetchWaitTime": "fetch_wait", "initialReadTime": "initial_read",
     "waitForPartialOutputTime": "partial_wait", "shuffleWriteTime": "shuffle_write", "inputBytesRead": "input_bytes",
@@ -31,25 +35,27 @@ def read_run_reports(spark: SparkSession, folder: str, glob: str = "*.json") ->
     """``runs``, ``stages`` and ``tasks`` of all reports below ``folder``.
 
     Lines carry their own kind (application, count or stage), so files are split and
-    read by many tasks like any text; nothing depends on line order.
+    read by many tasks like any text; nothing depends on line order. Every line is parsed
+    once, into a table that is split by kind on disk. A report is a file, or the files of
+    a folder named ``run_id=...``.
     """
     lines = (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(folder)
-        .select("value", F.col("_metadata.file_path").alias("path"))
-    )
-    is_stage = F.get_json_object("value", "$.stageId").isNotNull()
-    is_count = F.trim("value").try_cast("int").isNotNull()
-    apps = lines.filter(~is_stage & ~is_count & (F.trim("value") != "")).select(
-        "path", F.from_json("value", APP_SCHEMA).alias("a")
+        .select("value", F.col("_metadata.file_path").alias("path")).filter(F.trim("value") != "")
     )
-    counts = lines.filter(is_count).select("path", F.trim("value").cast("int").alias("stage_lines"))
-    runs = apps.join(counts, "path", "left").select(
-        F.col("a.id").alias("run"), F.col("a.name").alias("workload"), F.col("a.attempId").alias("attempt"),
-        F.col("a.start").alias("start"), F.col("a.end").alias("end"), F.col("a.barrier").alias("variant"),
-        "stage_lines", "path",
+    parsed = lines.select(
+        F.coalesce(F.nullif(F.regexp_extract("path", r"^(.*/run_id=[^/]+)/", 1), F.lit("")), F.col("path")).alias("report"),
+        F.trim("value").try_cast("int").alias("stage_lines"), F.from_json("value", f"{APP_SCHEMA}, {STAGE_SCHEMA}").alias("s"),
+    ).select("report", "stage_lines", "s.*")
+    tag = F.when(F.col("stage_lines").isNotNull(), "count").when(F.col("stageId").isNotNull(), "stage").otherwise("app")
+    kind = cut_by_kind(parsed.withColumn("kind", tag), "kind")
+    apps, counts = kind("app"), kind("count").groupBy("report").agg(F.max("stage_lines").alias("stage_lines"))
+    runs = apps.drop("stage_lines").join(counts, "report", "left").select(
+        F.col("id").alias("run"), F.col("name").alias("workload"), F.col("attempId").alias("attempt"),
+        "start", "end", F.col("barrier").alias("variant"), "stage_lines", F.col("report").alias("path"),
     )
-    ids = apps.select("path", F.col("a.id").alias("run"))
-    raw = lines.filter(is_stage).join(ids, "path").select("run", F.from_json("value", STAGE_SCHEMA).alias("s"))
+    # one small row a report, whose size a written table tells: the long lines stay where they are
+    raw = kind("stage").drop("id").join(apps.select("report", F.col("id").alias("run")), "report").select("run", F.struct("*").alias("s"))
     stages = raw.select(
         "run", F.col("s.stageId").alias("stage"), F.col("s.stageAttemptId").alias("attempt"), F.col("s.name").alias("name"),
         F.col("s.taskCount").alias("task_count"), F.col("s.startTime").alias("start"),
@@ -67,7 +73,8 @@ def write_run_reports(runs: DataFrame, stages: DataFrame, tasks: DataFrame, fold
     """One folder per run with the application line, the count line and the stage lines.
 
     A stage with more than ``tasks_per_line`` tasks is written as several lines of the
-    same stage, so no row grows with the size of a stage.
+    same stage, so no row grows with the size of a stage, and a run with many lines as
+    several files: lines are dealt by run and stage line, so no task writes a whole run.
     """
     task = F.struct(
         *[F.col(v).alias(k) for k, v in TASK_COLUMNS.items()],
@@ -80,18 +87,22 @@ def write_run_reports(runs: DataFrame, stages: DataFrame, tasks: DataFrame, fold
         .groupBy(*key, "_chunk").agg(F.collect_list(task).alias("tasks"))
     )
     bodies = stages.join(chunks, key, "left").select(
-        "run", F.lit(2).alias("_line"), F.to_json(F.struct(
+        "run", F.xxhash64("stage", "attempt", "_chunk").alias("_deal"), F.to_json(F.struct(
             F.col("stage").alias("stageId"), F.col("attempt").alias("stageAttemptId"), "name", F.col("task_count").alias("taskCount"),
             F.col("start").alias("startTime"), F.col("completion").alias("completionTime"), "failed", F.col("job").alias("jobId"), "tasks",
         )).alias("value"),
     )
-    heads = runs.select("run", F.lit(0).alias("_line"), F.to_json(F.struct(
+    heads = runs.select("run", F.lit(0).cast("bigint").alias("_deal"), F.to_json(F.struct(
         F.col("workload").alias("name"), F.col("run").cast("string").alias("id"), F.lit("1").alias("attempId"), "start", "end",
         F.col("variant").alias("barrier"),
     )).alias("value"))
-    counts = bodies.groupBy("run").agg(F.count(F.lit(1)).alias("n")).select("run", F.lit(1).alias("_line"), F.col("n").cast("string").alias("value"))
+    counts = bodies.groupBy("run").agg(F.count(F.lit(1)).alias("n")).select("run", F.lit(0).cast("bigint").alias("_deal"), F.col("n").cast("string").alias("value"))
+    # so many files a run as its lines fill; the first file has the head
+    files = counts.select("run", F.ceil(F.col("value").cast("bigint") / LINES_PER_FILE).alias("_files"))
+    lines = heads.unionByName(counts).unionByName(bodies).join(files, "run", "left")
+    part = F.pmod(F.col("_deal"), F.coalesce("_files", F.lit(1)))
     (
-        heads.unionByName(counts).unionByName(bodies).withColumn("run_id", F.col("run"))
-        .repartition("run_id").sortWithinPartitions("run_id", "_line")
+        lines.withColumn("run_id", F.col("run")).withColumn("_part", part)
+        .repartition("run_id", "_part").sortWithinPartitions("run_id", "_deal")
         .select("run_id", "value").write.mode("overwrite").partitionBy("run_id").text(folder)
     )
