@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import vectors
 from ..functions.noise import uniform_sql
-from ..operators import certificates, learning
-from ..operators.sampling import split_by_id
+from ..operators import certificates, learning, nearest
+from ..operators.sampling import sample_with_replacement, split_by_id
 from ..session import scratch_path
 from ..sources import text_formats as tf
 from ..sources.sinks import write_text
@@ -78,6 +78,26 @@ def nearest_start_centre(spark, sf_dir):
     return df.select("vec_id", best.alias("b")).select("vec_id", F.col("b.idx").alias("cluster"), F.round("b.dist", 6).alias("dist"))
 
 
+DRAWN = 150
+
+
+@query(
+    "nearest_of_many",
+    f"""WITH pts AS (SELECT vec_id, d, CAST(embedding[d] AS DOUBLE) AS x FROM embeddings, range(1, 65) t(d)),
+r AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS row FROM embeddings),
+c AS (SELECT CAST(i AS INTEGER) AS cluster, d, x AS c FROM (SELECT count(*) AS n FROM embeddings), range(0, {DRAWN}) t(i)
+  JOIN r ON row = CAST(floor({uniform_sql('i', seed=62)} * n) AS BIGINT) + 1 JOIN pts USING (vec_id)),
+far AS (SELECT vec_id, cluster, sum((x - c) * (x - c)) AS dist FROM pts JOIN c USING (d) GROUP BY vec_id, cluster)
+SELECT vec_id, cluster, round(dist, 6) AS dist FROM far QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, cluster) = 1""",
+)
+def nearest_of_many(spark, sf_dir):
+    """Every vector's nearest among drawn ones; one drawn twice counts by its first draw."""
+    df = points(spark, sf_dir).select("vec_id", "features")
+    drawn = sample_with_replacement(df, DRAWN, seed=62).orderBy("draw").select("features").collect()
+    found = nearest.assign_nearest(df, "features", np.array([r["features"] for r in drawn]), per_block=16)
+    return found.select("vec_id", "cluster", F.round("dist", 6).alias("dist"))
+
+
 @query("kmeans_library", "SELECT vec_id, true AS nearest, true AS settled FROM embeddings")
 def kmeans_library(spark, sf_dir):
     """Every point with its cluster's checks: no other centre is nearer, and a further step

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brookmill.functions import vectors
-from brookmill.operators import certificates, learning
+from brookmill.operators import certificates, learning, nearest
 from brookmill.sources import generators as gen
 
 
@@ -148,3 +148,22 @@ def test_als_certificate(spark):
     assert max(r for _, r in got.values()) < 1e-4
     moved = model.userFactors.withColumn("features", F.transform("features", lambda v: v * 1.1))
     assert certificates.als_residuals(df, moved, model.itemFactors, 0.1).agg(F.min("residual")).first()[0] > 1e-3
+
+
+@pytest.mark.parametrize("k,per_block,spread", [(1, 128, 1.0), (700, 32, 1.0), (700, 32, 1e6), (300, 1, 1e-6)])
+def test_nearest_of_many_centres_is_that_of_all(k, per_block, spread):
+    rng = np.random.default_rng(k)
+    middles = rng.normal(size=(9, 12)) * spread
+    centres = middles[rng.integers(0, 9, k)] + rng.normal(size=(k, 12)) * 0.1
+    centres[k // 2] = centres[0]  # a tie
+    x = np.vstack([middles[rng.integers(0, 9, 800)] + rng.normal(size=(800, 12)) * 0.1, centres[:50]])
+    best, dist = nearest.CentreBlocks(centres, per_block).nearest(x)
+    every = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
+    assert (best == every.argmin(axis=1)).all() and np.array_equal(dist, every[np.arange(len(x)), best])
+
+
+def test_assign_nearest_agrees_with_assign_clusters(spark, points):
+    centres = np.random.default_rng(1).normal(size=(40, 4)) * 4
+    a = {r["id"]: (r["cluster"], r["dist"]) for r in learning.assign_clusters(points, "features", centres).collect()}
+    b = {r["id"]: (r["cluster"], r["dist"]) for r in nearest.assign_nearest(points, "features", centres, 8).collect()}
+    assert a.keys() == b.keys() and all(a[i][0] == b[i][0] and abs(a[i][1] - b[i][1]) < 1e-9 for i in a)
