@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.units import busy_percent, bytes_to_mb, ms_to_s, ns_to_s, whole
-from .intervals import interval_totals
+from .intervals import interval_join, interval_totals
 from .run_stats import KEY, has_tasks
 
 # fixed values: what each sample column measures
@@ -102,6 +102,26 @@ def series(samples: DataFrame, metric: str, values: dict[str, Column], by_instan
     return machines.unionByName(cluster)
 
 
+def run_series(samples: DataFrame, run_table: DataFrame, metric: str, values: dict[str, Column]) -> DataFrame:
+    """``run, host, at`` and the values of a metric over each run, ``at`` being seconds from
+    the run's start, with the average machine ``cluster``.
+
+    A sample is met by time blocks as long as a run usually is, so it is compared with the
+    few runs of its block; runs that overlap each have their samples.
+    """
+    spans = run_table.select("run", ms_to_s(F.col("start")).alias("_from"), ms_to_s(F.col("end")).alias("_to"))
+    width = spans.agg(F.ceil(F.avg(F.col("_to") - F.col("_from") + 1)).alias("w")).first()["w"] or 1
+    rows = without_hosts(samples).filter(F.col("metric") == metric).select("host", "ts", *[c.alias(n) for n, c in values.items()])
+    for n in values:
+        rows = rows.filter(F.col(n).isNotNull() & ~F.isnan(n))
+    met = interval_join(rows, spans, "ts", "_from", "_to", int(width)).withColumn("at", F.col("ts") - F.col("_from"))
+    sums = [F.sum(n).alias(f"_{n}") for n in values]
+    machines = met.groupBy("run", "host", "at").agg(F.count(F.lit(1)).alias("_n"), *sums)
+    # both averages from one table of sums
+    both = machines.withColumn("host", F.explode(F.array(F.col("host"), F.lit("cluster"))))
+    return both.groupBy("run", "host", "at").agg(*[(F.sum(f"_{n}") / F.sum("_n")).alias(n) for n in values])
+
+
 def between_ms(samples: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
     """Samples inside one run, in whole seconds with both ends included."""
     return samples.filter(F.col("ts").between(start_ms // 1000, end_ms // 1000))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.units import epoch_ms
+from ..functions.units import busy_percent, epoch_ms
 from ..operators import intervals, run_compare, run_resources, run_stats
 from ..session import cut_lineage, scratch_path
 from ..sources import eventlog, reports, samples as sample_files
@@ -593,20 +593,61 @@ def run_report_scan(spark, sf_dir):
     return folded.join(named, ["run", "stage", "attempt"]).join(back["runs"].select("run", "workload", "variant"), "run").drop("attempt")
 
 
+# folder names of the written metrics, in SQL
+_FOLDER = "CASE metric " + " ".join(f"WHEN '{m}' THEN '{names[0]}'" for m, names in sample_files.METRIC_FILES.items()) + " END"
+
+
 @query(
     "sample_file_scan",
-    f"""WITH {SAMPLES} SELECT host, instance, CAST(count(*) AS BIGINT) AS n, CAST(sum(ts) AS BIGINT) AS ts, CAST(sum(v1) AS BIGINT) AS v1, CAST(sum(v2) AS BIGINT) AS v2
-FROM good WHERE NOT isnan(v1) GROUP BY host, instance""",
+    f"""WITH {SAMPLES} SELECT host, concat({_FOLDER}, '-', instance) AS instance, metric, CAST(count(*) AS BIGINT) AS n, CAST(sum(ts) AS BIGINT) AS ts,
+  CAST(sum(v1) AS BIGINT) AS v1, CAST(sum(v2) AS BIGINT) AS v2
+FROM good WHERE NOT isnan(v1) GROUP BY ALL""",
 )
 def sample_file_scan(spark, sf_dir):
     path = scratch_path(spark, "samples")
-    samples(spark, sf_dir).select("host", "instance", sample_files.sample_line().alias("value")).hint("rebalance", "host", "instance").write.partitionBy("host", "instance").text(path)
+    sample_files.write_samples(samples(spark, sf_dir), path)
     back = sample_files.read_samples(spark, path)
-    return back.groupBy("host", "instance").agg(
+    return back.groupBy("host", "instance", "metric").agg(
         F.count(F.lit(1)).alias("n"), F.sum("ts").alias("ts"), F.sum("v1").cast("bigint").alias("v1"), F.sum("v2").cast("bigint").alias("v2")
     )
 
 
+# runs that follow each other: all samples of thirty days
+_BLOCK = 30 * 86400
+_BLOCK_RUNS = f"""{SAMPLES}, block_runs AS (SELECT ts // {_BLOCK} AS run, min(ts) * 1000 AS start, max(ts) * 1000 AS "end" FROM samples GROUP BY 1)"""
+_FOUR = {"idle": ("cpu", "v1", "avg"), "load": ("load", "v1", "avg"), "download": ("network", "v1", "sum"), "disk_read": ("disk", "v1", "sum")}
+
+
+def block_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples(spark, sf_dir).groupBy(F.floor(F.col("ts") / _BLOCK).alias("run")).agg(
+        (F.min("ts") * 1000).alias("start"), (F.max("ts") * 1000).alias("end"))
+
+
+@query(
+    "sample_folder_usage",
+    f"""WITH {_BLOCK_RUNS}, {_usage_sql('used', 'block_runs', 'run', _FOUR)}
+SELECT run, {', '.join(f'round({m}, 7) AS {m}' for m in _FOUR)} FROM block_runs LEFT JOIN used USING (run)""",
+)
+def sample_folder_usage(spark, sf_dir):
+    """From sample folders to the usage of each run."""
+    path = scratch_path(spark, "samples")
+    sample_files.write_samples(samples(spark, sf_dir), path)
+    used = run_resources.run_usage(sample_files.read_samples(spark, path), block_runs(spark, sf_dir), list(_FOUR))
+    return used.select("run", *[F.round(m, 7).alias(m) for m in _FOUR])
+
+
+@query(
+    "cpu_run_series",
+    f"""WITH {_BLOCK_RUNS}, met AS (SELECT run, host, ts - start // 1000 AS "at", 100 - v1 AS busy FROM block_runs i
+  JOIN good s ON s.ts BETWEEN i.start // 1000 AND i."end" // 1000 WHERE metric = 'cpu' AND NOT isnan(v1))
+SELECT run, host, "at", round(avg(busy), 7) AS busy FROM met GROUP BY run, host, "at"
+UNION ALL SELECT run, 'cluster', "at", round(avg(busy), 7) FROM met GROUP BY run, "at" """,
+)
+def cpu_run_series(spark, sf_dir):
+    series = run_resources.run_series(samples(spark, sf_dir), block_runs(spark, sf_dir), "cpu", {"busy": busy_percent(F.col("v1"))})
+    return _rounded(series)
+
+
 def _event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Application, job, stage and task events of every run as event-log JSON lines."""
     event = lambda name, *cols: F.to_json(F.struct(F.lit(name).alias("Event"), *cols)).alias("value")

@@ -148,6 +148,30 @@ def test_samples_follow_the_folder_layout(spark, tmp_path):
         ("node1", "disk-vda", 1460000000, 10.0, 2.0), ("node1", "disk-vda", 1460000002, 3.0, None)]
 
 
+def test_written_samples_come_back_with_their_metric(spark, tmp_path):
+    rows = [("n1", m, i, 100 + k, float(k), 2.0) for m in samples.METRIC_FILES for i in "ab" for k in range(3)] + [("master", "cpu", "a", 1, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "host string, metric string, instance string, ts bigint, v1 double, v2 double")
+    samples.write_samples(df, str(tmp_path / "s"))
+    (tmp_path / "s" / "n1" / "swap").mkdir(parents=True)
+    (tmp_path / "s" / "n1" / "swap" / "free").write_text("5: 1 2\n")
+    back = samples.read_samples(spark, str(tmp_path / "s"))
+    got = sorted((r["host"], r["metric"], r["instance"].split("-")[1], r["ts"], r["v1"], r["v2"]) for r in back.filter("metric IS NOT NULL").collect())
+    assert got == sorted(r for r in rows if r[0] != "master")
+    assert [r["metric_path"] for r in back.filter("metric IS NULL").collect()] == ["n1/swap/free"]
+    assert samples.read_samples(spark, str(tmp_path / "s"), "load").count() == 6
+
+
+def test_series_of_overlapping_runs(spark):
+    s = spark.createDataFrame([(h, "cpu", "a", t, float(t), 0.0) for h in ("n1", "n2") for t in range(0, 100, 10)] + [("n1", "cpu", "b", 10, 30.0, 0.0), ("n1", "load", "a", 20, 1.0, 0.0)],
+                              "host string, metric string, instance string, ts bigint, v1 double, v2 double")
+    runs = spark.createDataFrame([("r", 10_000, 30_999), ("q", 0, 90_000), ("none", 200_000, 300_000)], "run string, start bigint, end bigint")
+    got = {(r["run"], r["host"], r["at"]): r["v"] for r in run_resources.run_series(s, runs, "cpu", {"v": F.col("v1")}).collect()}
+    assert {k: v for k, v in got.items() if k[0] == "r"} == {
+        ("r", "n1", 0): 20.0, ("r", "n2", 0): 10.0, ("r", "cluster", 0): pytest.approx(50 / 3),
+        **{("r", h, t): t + 10.0 for h in ("n1", "n2", "cluster") for t in (10, 20)}}
+    assert sum(k[0] == "q" for k in got) == 30 and not any(k[0] == "none" for k in got)
+
+
 def test_statistics_file_and_appended_report(spark, tmp_path):
     df = spark.createDataFrame([(2, 1234567.0, 0.5), (1, 12.345, 2.0)], "StageId int, Size double, Ratio double")
     sinks.write_statistics(df, str(tmp_path / "csv"), {"Size": "#,### MB", "Ratio": "#.##"}, ["StageId"])
