@@ -191,19 +191,24 @@ def svdpp(
     g7: float = 0.015,
     seed: int = 5,
     cut_every: int = 1,
+    heavy_rows: int | None = None,
 ) -> tuple[DataFrame, DataFrame, float]:
     """Factorise ``(user, item, rating)`` with implicit feedback, by full-batch steps.
 
     ``prediction = mean + bu + bi + q . (p + n^-1/2 * sum of y over the user's items)``,
     clamped to [low, high]. Factors are plain columns, so every gradient is an ordinary
-    map-side combined sum. Returns (users, items, mean).
+    map-side combined sum. A round sends the items' factors to the ratings once; the
+    implicit sums and the graded ratings are both taken from that. Users and items with very
+    many ratings (counted once, they do not change) are split wherever factors meet
+    ratings. Returns (users, items, mean).
     """
     ks = range(rank)
     ratings = cut_lineage(ratings.select("user", "item", F.col("rating").cast("double").alias("rating")))
     mean = ratings.agg(F.avg("rating").alias("m")).first()["m"]
     cols = lambda name: [f"{name}{k}" for k in ks]
     init = lambda key, name, tag: [uniform(F.col(key), tag * 1000 + k, seed=seed).alias(f"{name}{k}") for k in ks]
-    per_user = ratings.groupBy("user").agg(F.count(F.lit(1)).alias("n"))
+    per_user = cut_lineage(ratings.groupBy("user").agg(F.count(F.lit(1)).alias("n")))
+    heavy = heavy_raters(ratings, per_user, heavy_rows)
     users = per_user.select("user", F.lit(0.0).alias("bu"), (1 / F.sqrt("n")).alias("norm"), *init("user", "p", 1))
     items = ratings.select("item").distinct().select("item", F.lit(0.0).alias("bi"), *init("item", "q", 2), *init("item", "y", 3))
     users, items = cut_lineage(users), cut_lineage(items)
@@ -211,7 +216,7 @@ def svdpp(
     for i in range(iters):
         # both gradients read it: written once, instead of joining three tables twice
         graded = cut_lineage(
-            svdpp_predict(ratings, users, items, mean, low, high).withColumn("err", F.col("rating") - F.col("prediction"))
+            svdpp_predict(ratings, users, items, mean, low, high, heavy).withColumn("err", F.col("rating") - F.col("prediction"))
         )
         user_grad = graded.groupBy("user").agg(
             F.sum(g1 * (F.col("err") - g6 * F.col("bu"))).alias("dbu"),
@@ -230,25 +235,30 @@ def svdpp(
     return users, items, mean
 
 
+def heavy_raters(ratings: DataFrame, per_user: DataFrame, rows: int | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+    """Users and items with more ratings than one task should join; None where none has."""
+    if row_total(per_user, "n") <= (HEAVY_ROWS if rows is None else rows):  # then nobody has
+        return None, None
+    per_item = cut_lineage(ratings.groupBy("item").agg(F.count(F.lit(1)).alias("n")))
+    return heavy_keys(per_user, "user", "n", rows), heavy_keys(per_item, "item", "n", rows)
+
+
 def svdpp_predict(
-    ratings: DataFrame, users: DataFrame, items: DataFrame, mean: float, low: float, high: float
+    ratings: DataFrame, users: DataFrame, items: DataFrame, mean: float, low: float, high: float,
+    heavy: tuple[DataFrame | None, DataFrame | None] = (None, None),
 ) -> DataFrame:
     """Add ``prediction`` and the user vector ``u<k>`` (own plus implicit part)."""
     rank = sum(c.startswith("p") for c in users.columns)
     ks = range(rank)
-    implicit = (
-        ratings.select("user", "item")
-        .join(items.select("item", *[f"y{k}" for k in ks]), "item")
-        .groupBy("user")
-        .agg(*[F.sum(f"y{k}").alias(f"s{k}") for k in ks])
-    )
+    heavy_users, heavy_items = heavy
+    # the items' factors meet the ratings once, and are read from there twice
+    routed = cut_lineage(skew_join(ratings, items, "item", heavy_items, [F.col("user")]))
+    implicit = routed.groupBy("user").agg(*[F.sum(f"y{k}").alias(f"s{k}") for k in ks])
     people = users.join(implicit, "user").select(
         "user", "bu", "norm", *[f"p{k}" for k in ks],
         *[(F.col(f"p{k}") + F.col("norm") * F.col(f"s{k}")).alias(f"u{k}") for k in ks],
     )
     dot = sum((F.col(f"q{k}") * F.col(f"u{k}") for k in ks), F.lit(0.0))
     raw = F.lit(mean) + F.col("bu") + F.col("bi") + dot
-    return (
-        ratings.join(items, "item").join(people, "user")
-        .withColumn("prediction", F.least(F.greatest(raw, F.lit(low)), F.lit(high)))
-    )
+    return skew_join(routed, people, "user", heavy_users, [F.col("item")]).withColumn(
+        "prediction", F.least(F.greatest(raw, F.lit(low)), F.lit(high)))

@@ -109,6 +109,20 @@ def test_triangles_with_a_salted_hub(spark, all_heavy):
     assert {v: got[v] for v in expected} == expected
 
 
+def test_svdpp_of_split_users_and_items_is_the_same(spark):
+    rng = random.Random(9)
+    rows = sorted({(0 if rng.random() < 0.5 else rng.randrange(20), 1 if rng.random() < 0.4 else rng.randrange(15)) for _ in range(400)})
+    ratings = spark.createDataFrame([(u, i, float((u * 7 + i) % 5)) for u, i in rows], "user bigint, item bigint, rating double")
+    found = []
+    for limit in (None, 4):
+        users, items, mean = graph.svdpp(ratings, rank=2, iters=2, heavy_rows=limit)
+        heavy = graph.heavy_raters(ratings, ratings.groupBy("user").agg(F.count(F.lit(1)).alias("n")), limit)
+        assert all(h is None for h in heavy) == (limit is None)
+        scored = graph.svdpp_predict(ratings, users, items, mean, 0.0, 5.0, heavy)
+        found.append({(r["user"], r["item"]): round(r["prediction"], 9) for r in scored.collect()})
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+
+
 def test_svdpp_error_falls(spark):
     rng = random.Random(2)
     rows = [(u, i, float(min(5, max(0, (u % 3) + (i % 2) + rng.random())))) for u in range(12) for i in range(8) if rng.random() < 0.7]
