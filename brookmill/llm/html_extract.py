@@ -11,7 +11,11 @@ ends with the element around it. A container is named by its generalised
 path of tags and classes, without digits. Every page votes for the path of its best
 container; Spark counts the votes per host; then each page is read again and gives the
 blocks inside the elements at its host's winning path. A page that has none of these, or
-no host, gives those at its own best path.
+no host, gives those at its own best path, or all its blocks if they stand in no container.
+
+A page is read in one pass: a tag that does not end before the next ``<`` is text, and
+containers are numbered nodes that know the one around them, so neither many unclosed
+tags nor deep nesting costs more than its length.
 
 Defined cases: a null or empty page, and one without blocks, gives an empty text; a page
 without a url has no host; equal rows give equal results; an empty table gives an empty
@@ -24,6 +28,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -50,7 +55,9 @@ NEVER = set("html body main article".split())
 NO_IDS = set("h1 h2 h3 h4 h5 h6 section p li dt dd td th blockquote figure pre".split())
 PREFERRED = ("article", "main")
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
+# a tag with quotes that do not close ends at the first >, and none goes on over a <
+_TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][^\s/<>]*+)((?:"[^"]*"|'[^']*'|[^<>"'])*+(?=>)|[^<>]*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
 
@@ -81,29 +88,78 @@ def _is_around(tag: str, attributes: str, in_article: bool) -> str:
 
 def _step(tag: str, attributes: str) -> str:
     classes = sorted(c for c in (re.sub(r"\d+", "", c) for c in _names(attributes)[0]) if c)
-    return ".".join([tag, *classes])
-
-
-def blocks(page: str) -> list[tuple[str, int, tuple[str, ...]]]:
-    """(text, characters outside of links, paths of the containers around it, outermost
-    first) of each block that is not part of a menu, an advert and the like."""
-    found, weights, total = _read(page, frozenset(), False)
+    return ".".join([tag, *classes]).replace(">", "")
+
+
+class Paths:
+    """Generalised paths as numbered nodes: a node is one step below another one (-1: none).
+    Equal paths are one node, and a node's number is larger than that of the node above."""
+
+    def __init__(self):
+        self.above: list[int] = []
+        self.steps: list[str] = []
+        self._known: dict[tuple[int, str], int] = {}
+
+    def below(self, node: int, step: str) -> int:
+        found = self._known.setdefault((node, step), len(self.above))
+        if found == len(self.above):
+            self.above.append(node)
+            self.steps.append(step)
+        return found
+
+    def up(self, node: int) -> list[int]:
+        """The node and all above it, innermost first."""
+        out = []
+        while node >= 0:
+            out.append(node)
+            node = self.above[node]
+        return out
+
+    def text(self, node: int) -> str:
+        return ">".join(self.steps[n] for n in reversed(self.up(node)))
+
+    def find(self, path: str) -> int:
+        """The node of a path, or -1."""
+        node = -1
+        for step in path.split(">"):
+            node = self._known.get((node, step), -1)
+            if node < 0:
+                break
+        return node
+
+    def inside(self, node: int) -> list[bool]:
+        """Of each node, whether it is ``node`` or below it."""
+        out: list[bool] = []
+        for n, above in enumerate(self.above):
+            out.append(n == node or above >= 0 and out[above])
+        return out
+
+
+Blocks = tuple[list[tuple[str, int, int]], Paths]
+
+
+def blocks(page: str) -> Blocks:
+    """(text, characters outside of links, node of the innermost container around it) of
+    each block that is not part of a menu, an advert and the like, and the nodes."""
+    paths = Paths()
+    found, weights, total = _read(page, frozenset(), False, paths)
     kept = frozenset(k for k, n in weights.items() if 2 * n > total)
-    found = _read(page, kept, False)[0] if kept else found
+    found = _read(page, kept, False, paths)[0] if kept else found
     if not any(plain for _, plain, _ in found):
-        _, weights, total = _read(page, frozenset(), True)
+        _, weights, total = _read(page, frozenset(), True, paths)
         kept = frozenset(k for k, n in weights.items() if 2 * n > total)
-        found = _read(page, kept, True)[0] if kept else found
-    return found
+        found = _read(page, kept, True, paths)[0] if kept else found
+    return found, paths
 
 
-def _read(page: str, kept: frozenset[int], comments: bool) -> tuple[list, dict[int, int], int]:
+def _read(page: str, kept: frozenset[int], comments: bool, paths: Paths) -> tuple[list, dict[int, int], int]:
     """The blocks outside of marked parts that are not ``kept``; the unlinked characters in
     each part that may stay (with ``comments``, those marked as such may), and in all of the
     page but for the parts that may not."""
     out: list = []
-    stack: list[tuple[str, int]] = []  # tag, and the number of paths before it was opened
-    paths: list[str] = []
+    stack: list[tuple[str, int]] = []  # tag, and the node of the container it was opened in
+    open_tags: Counter[str] = Counter()
+    here = -1
     text: list[str] = []
     parts: list[tuple[int, int, bool]] = []  # open marked parts: depth of the stack, number, whether it may stay
     weights: dict[int, int] = {}
@@ -115,16 +171,17 @@ def _read(page: str, kept: frozenset[int], comments: bool) -> tuple[list, dict[i
             joined = " ".join("".join(text).split())
             text.clear()
             if joined:
-                out.append((joined, min(state["plain"], len(joined)), tuple(paths)))
+                out.append((joined, min(state["plain"], len(joined)), here))
         state["plain"] = 0
 
     def close(depth: int):
-        nonlocal skip, hard, linked, in_article
+        nonlocal skip, hard, linked, in_article, here
         while len(stack) > depth:
-            tag, n = stack.pop()
+            tag, outer = stack.pop()
+            open_tags[tag] -= 1
             if tag in BLOCKS and not skip:
                 flush()
-            del paths[n:]
+            here = outer
             linked -= tag == "a"
             in_article -= tag == "article"
             if parts and len(stack) < parts[-1][0]:
@@ -158,7 +215,7 @@ def _read(page: str, kept: frozenset[int], comments: bool) -> tuple[list, dict[i
             continue
         tag = m[2].lower()
         if m[1]:
-            for depth in range(len(stack) - 1, -1, -1):
+            for depth in range(len(stack) - 1, -1, -1) if open_tags[tag] else ():
                 if stack[depth][0] == tag:
                     close(depth)
                     break
@@ -187,7 +244,7 @@ def _read(page: str, kept: frozenset[int], comments: bool) -> tuple[list, dict[i
             add(" ")
         if tag in VOID:
             continue
-        before = len(paths)
+        outer = here
         kind = _is_around(tag, m[3], in_article > 0)
         if kind:
             number += 1
@@ -197,8 +254,9 @@ def _read(page: str, kept: frozenset[int], comments: bool) -> tuple[list, dict[i
             skip += number not in kept
             hard += not may_stay
         if tag in CONTAINERS:
-            paths.append((paths[-1] + ">" if paths else "") + _step(tag, m[3]))
-        stack.append((tag, before))
+            here = paths.below(here, _step(tag, m[3]))
+        stack.append((tag, outer))
+        open_tags[tag] += 1
         linked += tag == "a"
         in_article += tag == "article"
     if not skip:
@@ -207,25 +265,35 @@ def _read(page: str, kept: frozenset[int], comments: bool) -> tuple[list, dict[i
     return out, weights, total
 
 
-def best_path(found: list[tuple[str, int, tuple[str, ...]]]) -> str:
-    """The path of the container that scores best, widened to the article it is in."""
-    scores: dict[str, float] = {}
-    for _, plain, paths in found:
-        for path, share in zip(reversed(paths), (1.0, 0.5)):
-            scores[path] = scores.get(path, 0.0) + plain * share
+def best_path(page: Blocks) -> str:
+    """The path of the container that scores best (of equal ones the first), widened to the
+    article it is in."""
+    found, paths = page
+    scores: Counter[int] = Counter()
+    for _, plain, node in found:
+        for share in (1.0, 0.5):
+            if node >= 0:
+                scores[node] += plain * share
+                node = paths.above[node]
     if not scores:
         return ""
-    best = max(scores, key=lambda p: (scores[p], p))
-    steps = best.split(">")
+    best = min(scores, key=lambda node: (-scores[node], node))
+    around = paths.up(best)[::-1]
     for name in PREFERRED:
-        for i, step in enumerate(steps):
-            if step.split(".")[0] == name:
-                return ">".join(steps[:i + 1])
-    return best
-
-
-def text_at(found: list[tuple[str, int, tuple[str, ...]]], path: str) -> str:
-    return "\n".join(text for text, _, paths in found if path in paths)
+        for node in around:
+            if paths.steps[node].split(".")[0] == name:
+                return paths.text(node)
+    return paths.text(best)
+
+
+def text_at(page: Blocks, path: str) -> str:
+    """The blocks in the containers at a path, or all of a page that has its text in none."""
+    found, paths = page
+    if not path:
+        return "\n".join(text for text, _, _ in found)
+    node = paths.find(path)
+    inside = paths.inside(node) if node >= 0 else None
+    return "\n".join(text for text, _, n in found if n >= 0 and inside[n]) if inside else ""
 
 
 def host_paths(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:

@@ -1,6 +1,8 @@
 """Quality model, license scan, page extraction and the pipeline."""
 
 import random
+import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -146,23 +148,23 @@ STORY = "A story of some length, with enough words to be the main text of its pa
 def test_names_that_do_not_leave_out_the_page(open_):
     inner = f"<p>{STORY}<section id='related-work'><h2 id='navigation-api'>Related</h2><p id='notice-2'>Noted.</section><div class=ad>Buy</div>"
     found = html_extract.blocks(f"<nav>Home</nav>{open_}{inner}</{open_[1:].split()[0]}><footer>Us</footer>")
-    assert [t for t, _, _ in found] == [STORY, "Related", "Noted."]
+    assert [t for t, _, _ in found[0]] == [STORY, "Related", "Noted."]
 
 
 @pytest.mark.parametrize("tag", "noscript template svg math object select button".split())
 def test_unclosed_elements_keep_what_comes_after(tag):
     found = html_extract.blocks(f"<body><div><{tag}>x</div><div class=story><p>{STORY}</div>")
-    assert [t for t, _, _ in found][-1] == STORY
+    assert [t for t, _, _ in found[0]][-1] == STORY
 
 
 def test_nested_objects_and_fallbacks_stay():
     page = f"<div><p>{STORY}<p>a <object>b <object>c</object> d</object> <math>e</math> <noscript>f</noscript> <button>g</button> <svg/> h</div>"
-    assert html_extract.blocks(page)[1][0] == "a b c d e f h"
+    assert html_extract.blocks(page)[0][1][0] == "a b c d e f h"
 
 
 def test_long_comments_do_not_replace_the_story():
     found = html_extract.blocks(f"<div class=story><p>{STORY}</div><div id=comments><p>{STORY * 9}</div><div class='cookie-notice'>Cookies</div>")
-    assert [t for t, _, _ in found] == [STORY]
+    assert [t for t, _, _ in found[0]] == [STORY]
 
 
 def test_host_consensus(spark):
@@ -237,3 +239,24 @@ def test_stages_of_an_empty_table(spark, empty, stage_inputs):
     sf_dir, docs, _ = stage_inputs
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+@pytest.mark.parametrize("page,n", [
+    ("<a " * 70_000, 1), ('<a "' * 50_000, 1), ("<a '\"" * 40_000, 1), ("<!x" * 70_000, 1), ("<!--" * 50_000, 0),
+    ("<div class=content>" * 50_000, 0), ("<div class=content>t " * 50_000, 50_000), ("<div>" * 20_000 + "</b>" * 40_000, 0),
+    ("<b>" * 30_000 + "<p>x" * 100, 100),
+])
+def test_malformed_and_deep_pages_cost_their_length(page, n):
+    began, paths = time.time(), None
+    tracemalloc.start()
+    found, paths = html_extract.blocks(page)
+    html_extract.text_at((found, paths), html_extract.best_path((found, paths)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == n and time.time() - began < 60 and peak < 200 * len(page) + 1e6
+
+
+def test_text_outside_of_any_container_is_kept(spark):
+    pages = spark.createDataFrame([(1, "http://h/1", "Bare <b>text</b>"), (2, None, "<p>One</p><p title='a > b' class=it's>Two</p>"), (3, "http://h/3", "")], "page_id int, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(pages).collect()}
+    assert got == {1: "Bare text", 2: "One\nTwo", 3: ""}
