@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.noise import gaussian_sql, mix_sql, uniform_sql
 from ..functions.units import bytes_to_size, size_to_bytes
 from ..operators import text_ops
+from ..operators.ranking import rank_rows
 from ..operators.sampling import sample_with_replacement
+from ..session import cut_lineage
 from ..sources import generators as gen
 from .registry import query, table
 from .text_queries import COUNTS, document_lines
@@ -95,13 +97,16 @@ step AS (SELECT *, least(CAST(round(train * 0.2) AS BIGINT), cells - train) AS t
 stride AS (SELECT step.*, (SELECT min(base + k) FROM range(0, 2000) r(k) WHERE gcd(base + k, cells) = 1) AS stride FROM step),
 c AS (SELECT i < train AS is_train, CAST((CAST(i AS HUGEINT) * stride + 7) % cells AS BIGINT) AS cell, m FROM stride, range(0, train + test) r(i)),
 x AS (SELECT is_train, cell, cell % m AS u, cell // m AS p FROM c)
-SELECT CASE WHEN is_train THEN 'train' ELSE 'test' END AS side, u AS "user", p AS product,
-  round(({_AB}) / sqrt(4) + 0.1 * {gaussian_sql('cell', seed=9)}, 6) AS rating FROM x""",
+SELECT CASE WHEN is_train THEN 'train' ELSE 'test' END AS side, s_suppkey AS "user", p_partkey AS product,
+  round(({_AB}) / sqrt(4) + 0.1 * {gaussian_sql('cell', seed=9)}, 6) AS rating
+FROM x JOIN (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS us FROM supplier) ON u = us
+  JOIN (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS ps FROM part) ON p = ps""",
 )
 def gen_ratings(spark, sf_dir):
-    """Sides as large as ``supplier`` and ``part``."""
-    rows, cols = table(spark, sf_dir, "supplier").count(), table(spark, sf_dir, "part").count()
-    train, test = gen.low_rank_ratings(spark, rows, cols, **_GR)
+    """Ratings of the parts by the suppliers, both numbered in key order."""
+    numbered = lambda name, key: cut_lineage(rank_rows(table(spark, sf_dir, name).select(F.col(key).alias("id")), [], ["id"], "slot").withColumn("slot", F.col("slot") - 1))
+    users, products = numbered("supplier", "s_suppkey"), numbered("part", "p_partkey")
+    train, test = gen.low_rank_ratings(spark, users.count(), products.count(), users=users, products=products, **_GR)
     both = train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
     return both.select("side", "user", "product", F.round("rating", 6).alias("rating"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import mileage
 from ..session import scratch_path, shuffle_partitions
 from ..sources import text_formats as tf
-from ..sources.sinks import write_text
+from ..sources.sinks import write_or_force, write_text
 from .registry import query, table
 
 LEGS = """itineraries AS (SELECT row_number() OVER () AS itinerary, * FROM lineitem),
@@ -63,6 +63,26 @@ def mileage_total(spark, sf_dir):
     return tagged(mileage.mileage_flat(*given), "flat").unionByName(tagged(mileage.mileage_fixed_rounds(*given), "fixed"))
 
 
+@query("mileage_update", f"WITH {LEGS} SELECT passenger, flat.miles + complete.miles AS miles FROM flat JOIN complete USING (passenger)")
+def mileage_update(spark, sf_dir):
+    """A running state of miles, to which one update per passenger is added."""
+    given = inputs(spark, sf_dir)
+    return mileage.update_scores(mileage.mileage_flat(*given), mileage.mileage_fixed_rounds(*given).withColumnRenamed("miles", "score"))
+
+
+@query(
+    "mileage_forced",
+    f"WITH {LEGS} SELECT concat(passenger, ' ', miles) AS value, CAST(count(*) AS BIGINT) AS n FROM flat GROUP BY 1",
+)
+def mileage_forced(spark, sf_dir):
+    """The result evaluated without output, then written as text and read back."""
+    result, line = mileage.mileage_flat(*inputs(spark, sf_dir)), F.concat_ws(" ", "passenger", "miles")
+    path = scratch_path(spark, "forced")
+    for where in (None, path):
+        write_or_force(result, line, where)
+    return tf.read_lines(spark, path).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "passenger_file_scan",
     f"WITH {LEGS} SELECT passenger, flight, CAST(count(*) AS BIGINT) AS n FROM legs GROUP BY passenger, flight",

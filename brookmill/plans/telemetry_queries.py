@@ -14,7 +14,7 @@ from ..functions.units import busy_percent, epoch_ms
 from ..operators import intervals, run_compare, run_resources, run_stats
 from ..session import cut_lineage, scratch_path
 from ..sources import eventlog, reports, samples as sample_files
-from ..sources.sinks import formatted, write_statistics
+from ..sources.sinks import append_report, formatted, write_statistics
 from .registry import ORACLES, query, table
 
 TASKS = """tasks AS (
@@ -373,6 +373,22 @@ def gc_report(spark, sf_dir):
     return out.select("item", F.round("on", 8).alias("on"), F.round("off", 8).alias("off"))
 
 
+@query(
+    "gc_report_log",
+    f"""WITH {GC}, kinds AS (SELECT unnest(['stage', 'total']) AS kind)
+SELECT kind, CASE kind WHEN 'stage' THEN CAST(stage AS VARCHAR) ELSE 'all' END AS item, CAST(sum(on_gc) AS BIGINT) AS "on", CAST(sum(off_gc) AS BIGINT) AS "off"
+FROM gc, kinds GROUP BY 1, 2""",
+)
+def gc_report_log(spark, sf_dir):
+    """Two reports one after the other in one folder, read back together."""
+    path = scratch_path(spark, "report-log")
+    stages_ = cut_lineage(run_compare.compare_gc(tasks(spark, sf_dir), *selected(spark, sf_dir, 0)))
+    sums = [F.sum("on_gc").cast("bigint").alias("on"), F.sum("off_gc").cast("bigint").alias("off")]
+    append_report(stages_.groupBy(F.lit("stage").alias("kind"), F.col("stage").cast("string").alias("item")).agg(*sums), path)
+    append_report(stages_.groupBy(F.lit("total").alias("kind"), F.lit("all").alias("item")).agg(*sums), path)
+    return spark.read.schema("kind string, item string, `on` bigint, `off` bigint").option("header", True).csv(path)
+
+
 @query("gc_statistics_file", f"""WITH {GC} SELECT CAST(stage AS VARCHAR) AS "StageId", format('{{:,}} MB', on_gc * 1000) AS "Barrier", format('{{:,}}', off_gc * 1000) AS "NoBarrier" FROM gc""")
 def gc_statistics_file(spark, sf_dir):
     """A statistics file with header and number patterns, read back as text."""

@@ -105,10 +105,13 @@ def separable_points(ids: DataFrame, d: int, seed: int, noise: float = 0.1, weig
 
 def low_rank_ratings(
     spark: SparkSession, rows: int, cols: int, rank: int, share: float, seed: int,
-    noise: float = 0.0, test_share: float = 0.0,
+    noise: float = 0.0, test_share: float = 0.0, users: DataFrame | None = None, products: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Train and test cells ``(user, product, rating)`` of A.B / sqrt(rank).
 
+    Users and products are numbers from 0, or the ids that ``users`` and ``products``,
+    tables of (slot, id), give to these.
+
     ``min(round(share * rank * (rows + cols - rank)), round(.99 * rows * cols))`` distinct
     cells are visited by an affine permutation of the cell numbers, so no dense matrix
     and no sort is needed; the test cells follow the training cells in that order and
@@ -121,17 +124,20 @@ def low_rank_ratings(
     while math.gcd(stride, cells) != 1:
         stride += 1
 
+    plain = lambda n: spark.range(n).select(F.col("id").alias("slot"), "id")
+    sides = (plain(rows) if users is None else users, plain(cols) if products is None else products)
+
     def pick(first: int, count: int) -> DataFrame:
         i = F.col("id").cast("decimal(19,0)")
         cell = ((i * F.lit(stride).cast("decimal(18,0)") + F.lit(seed)) % F.lit(cells)).cast("bigint")
         at = spark.range(first, first + count).select(cell.alias("cell"))
         at = at.select("cell", (F.col("cell") % rows).alias("user"), F.call_function("div", F.col("cell"), F.lit(rows).cast("bigint")).alias("product"))
-        left = spark.range(rows).select(F.col("id").alias("user"), _dims(rank, lambda k: gaussian(F.col("id"), k, seed=seed)).alias("a"))
-        right = spark.range(cols).select(F.col("id").alias("product"), _dims(rank, lambda k: gaussian(F.col("id"), k, seed=seed + 1)).alias("b"))
+        left = sides[0].select(F.col("slot").alias("user"), F.col("id").alias("_u"), _dims(rank, lambda k: gaussian(F.col("slot"), k, seed=seed)).alias("a"))
+        right = sides[1].select(F.col("slot").alias("product"), F.col("id").alias("_p"), _dims(rank, lambda k: gaussian(F.col("slot"), k, seed=seed + 1)).alias("b"))
         value = dot(F.col("a"), F.col("b")) / math.sqrt(rank)
         if noise:
             value = value + noise * gaussian(F.col("cell"), seed=seed + 2)
-        return at.join(left, "user").join(right, "product").select("user", "product", value.alias("rating"))
+        return at.join(left, "user").join(right, "product").select(F.col("_u").alias("user"), F.col("_p").alias("product"), value.alias("rating"))
 
     return pick(0, train), pick(train, test)
 
