@@ -308,7 +308,7 @@ _REPORT = {
     f"""WITH RECURSIVE {COMPARED}, sizes AS (SELECT n1 - 1 AS v FROM df UNION SELECT n2 - 1 FROM df UNION SELECT freedom FROM df), {_quantile_sql('sizes')},
 r AS (SELECT df.*, a.x * sqrt(v1 / n1) AS h1, b.x * sqrt(v2 / n2) AS h2, abs((m2 - m1) / sqrt(v1 / n1 + v2 / n2)) > c.x AS differ,
   c.x * sqrt(2 * ((v1 * (n1 - 1) + v2 * (n2 - 1)) / freedom) / (2 * n1 * n2 / (n1 + n2))) AS reach
-  FROM df JOIN quantile a ON a.v = n1 - 1 JOIN quantile b ON b.v = n2 - 1 JOIN quantile c ON c.v = freedom)
+  FROM df LEFT JOIN quantile a ON a.v = n1 - 1 LEFT JOIN quantile b ON b.v = n2 - 1 LEFT JOIN quantile c ON c.v = freedom)
 SELECT workload AS "Name", differ AS "SignificantDifferent", {', '.join(f'{_decimals_sql(x)} AS "{c}"' for c, x in _REPORT.items())} FROM r""",
 )
 def runtime_compare_report(spark, sf_dir):
