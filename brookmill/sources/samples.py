@@ -30,6 +30,8 @@ def read_samples(spark: SparkSession, root: str, metric: str | None = None, skip
     part = F.split(F.trim(F.regexp_extract("value", r":(.*)$", 1)), r"\s+")
     rows = spark.read.option("recursiveFileLookup", "true").text(root).select("value", F.col("_metadata.file_path").alias("path"))
     rows = rows.filter(F.col("value").rlike(r"^\s*\d+:") & ~F.lower("value").contains("nan"))
+    # only the last four parts of a path can match; a search from its start would try every place in it, for every line
+    rows = rows.withColumn("path", F.substring_index("path", "/", -4))
     name = lambda k: F.regexp_extract("path", _PLACE, k)
     placed = rows.select("value", name(1).alias("host"), name(2).alias("instance"), F.concat_ws("/", name(2), name(3)).alias("_file"),
                          F.concat_ws("/", name(1), name(2), name(3)).alias("metric_path"))
