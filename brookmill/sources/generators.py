@@ -52,7 +52,8 @@ def text_lines(parts: DataFrame, vocabulary: DataFrame, bytes_per_part: int, see
         .withColumn("line", F.explode(F.sequence(F.lit(0), F.lit(lines - 1))))
         .withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
         .withColumn("slot", below(size, part, F.col("line"), F.col("n"), seed=seed))
-        .join(vocabulary, "slot")
+        # never by a copy of the vocabulary, which grows with the texts, in the driver
+        .join(vocabulary.hint("merge"), "slot")
     )
     so_far = W.partitionBy("part", "line").orderBy("n").rowsBetween(W.unboundedPreceding, -1)
     used = draws.withColumn("before", F.coalesce(F.sum(F.octet_length("word") + 1).over(so_far), F.lit(0))).filter(
