@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
+CHARACTERS_AT_ONCE = 1 << 17
+
 
 # fixed values: what the pattern \s matches
 WHITE_SPACE = " \t\n\x0b\f\r"
@@ -30,26 +37,82 @@ def characters(line: Column) -> Column:
     return F.split(line, "")
 
 
+def _by_line(lines: pd.Series, arrange: Callable[[np.ndarray, np.ndarray, list[str]], np.ndarray]) -> pd.Series:
+    """Lines with their characters rearranged; null stays null.
+
+    ``arrange`` gets the code points of several lines, the number of the line of each, and
+    the lines, and gives back the code points in an order that keeps the lines apart.
+    """
+    out: list[str | None] = []
+
+    def groups() -> Iterator[list[str | None]]:
+        group, n = [], 0
+        for line in lines:
+            group.append(line)
+            n += len(line) if line is not None else 0
+            if n >= CHARACTERS_AT_ONCE:
+                yield group
+                group, n = [], 0
+        yield group
+
+    for group in groups():
+        held = [line for line in group if line is not None]
+        lengths = np.array([len(line) for line in held], np.int64)
+        points = np.frombuffer("".join(held).encode("utf-32-le"), np.uint32)
+        text = arrange(points, np.repeat(np.arange(len(held)), lengths), held).astype(np.uint32).tobytes().decode("utf-32-le")
+        ends = iter(np.cumsum(lengths).tolist())
+        at = 0
+        for line in group:
+            if line is None:
+                out.append(None)
+            else:
+                end = next(ends)
+                out.append(text[at:end])
+                at = end
+    return pd.Series(out, dtype=object)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64 well-mixed bits of each number."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def permute_characters(line: Column, seed: int) -> Column:
     """A pseudo-random permutation of the characters of ``line``.
 
     The order is a function of text, position and seed only, so a retried task
-    produces the same string again. Each sort key packs 33 hash bits above the position,
-    which keeps the sort on plain numbers.
+    produces the same string again. Many lines are sorted at once, by line and hash.
     """
-    position_bits = 31
+    hash_bits = 40
 
-    def arranged(row: Column) -> Column:
-        key = lambda c, i: F.shiftleft(F.xxhash64(i, row["hash"]), position_bits).bitwiseOR(i.cast("bigint"))
-        place = lambda k: k.bitwiseAND(F.lit((1 << position_bits) - 1)).cast("int")
-        keys = F.sort_array(F.transform(row["chars"], key))
-        return F.array_join(F.transform(keys, lambda k: F.get(row["chars"], place(k))), "")
+    def order(points: np.ndarray, rows: np.ndarray, held: list[str]) -> np.ndarray:
+        hashes = _mixed(np.array([zlib.crc32(s.encode()) for s in held], np.uint64) + (np.uint64(seed % (1 << 31)) << np.uint64(32)))
+        keys = _mixed(hashes[rows] + np.arange(len(points), dtype=np.uint64) - first(rows, len(held)))
+        # a stable sort: equal hashes keep their order, whatever else is sorted with them
+        return points[np.argsort((keys >> np.uint64(64 - hash_bits)) | (rows.astype(np.uint64) << np.uint64(hash_bits)), kind="stable")]
 
-    # the one-element array binds characters and line hash, which are then computed once
-    row = F.struct(characters(line).alias("chars"), F.xxhash64(line, F.lit(seed)).alias("hash"))
-    return F.element_at(F.transform(F.array(row), arranged), 1)
+    def first(rows: np.ndarray, n: int) -> np.ndarray:
+        """The place of the first character of each one's line."""
+        return np.searchsorted(rows, np.arange(n)).astype(np.uint64)[rows]
+
+    @F.pandas_udf("string")
+    def permuted(lines: pd.Series) -> pd.Series:
+        return _by_line(lines, order)
+
+    return permuted(line)
 
 
 def sorted_characters(line: Column) -> Column:
     """The characters of ``line`` in byte order: equal for all permutations."""
-    return F.array_join(F.sort_array(characters(line)), "")
+
+    def order(points: np.ndarray, rows: np.ndarray, held: list[str]) -> np.ndarray:
+        # byte order of UTF-8 is the order of code points
+        return np.sort((rows.astype(np.uint64) << np.uint64(32)) | points) & np.uint64((1 << 32) - 1)
+
+    @F.pandas_udf("string")
+    def in_order(lines: pd.Series) -> pd.Series:
+        return _by_line(lines, order)
+
+    return in_order(line)
