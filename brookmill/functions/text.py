@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
-CHARACTERS_AT_ONCE = 1 << 17
+CHARACTERS_AT_ONCE = 1 << 16
 
 
 # fixed values: what the pattern \s matches
@@ -85,13 +85,18 @@ def permute_characters(line: Column, seed: int) -> Column:
     The order is a function of text, position and seed only, so a retried task
     produces the same string again. Many lines are sorted at once, by line and hash.
     """
-    hash_bits = 40
+    hash_bits, row_bits, place_bits = 24, 16, 24
 
     def order(points: np.ndarray, rows: np.ndarray, held: list[str]) -> np.ndarray:
         hashes = _mixed(np.array([zlib.crc32(s.encode()) for s in held], np.uint64) + (np.uint64(seed % (1 << 31)) << np.uint64(32)))
-        keys = _mixed(hashes[rows] + np.arange(len(points), dtype=np.uint64) - first(rows, len(held)))
-        # a stable sort: equal hashes keep their order, whatever else is sorted with them
-        return points[np.argsort((keys >> np.uint64(64 - hash_bits)) | (rows.astype(np.uint64) << np.uint64(hash_bits)), kind="stable")]
+        place = np.arange(len(points), dtype=np.uint64)
+        keys = _mixed(hashes[rows] + place - first(rows, len(held))) >> np.uint64(64 - hash_bits)
+        keys |= rows.astype(np.uint64) << np.uint64(hash_bits)
+        # equal hashes keep their order, whatever else is sorted with them
+        if len(points) >= 1 << place_bits or len(held) >= 1 << row_bits:
+            return points[np.argsort(keys, kind="stable")]
+        keys = np.sort((keys << np.uint64(place_bits)) | place)
+        return points[keys & np.uint64((1 << place_bits) - 1)]
 
     def first(rows: np.ndarray, n: int) -> np.ndarray:
         """The place of the first character of each one's line."""
