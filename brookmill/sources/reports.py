@@ -69,24 +69,35 @@ def read_run_reports(spark: SparkSession, folder: str, glob: str = "*.json") ->
     return {"runs": runs, "stages": stages, "tasks": tasks}
 
 
-def write_run_reports(runs: DataFrame, stages: DataFrame, tasks: DataFrame, folder: str, tasks_per_line: int = 10_000) -> None:
+def write_run_reports(runs: DataFrame, stages: DataFrame, tasks: DataFrame, folder: str, tasks_per_line: int = 10_000, compression: str = "none") -> None:
     """One folder per run with the application line, the count line and the stage lines.
 
     A stage with more than ``tasks_per_line`` tasks is written as several lines of the
     same stage, so no row grows with the size of a stage, and a run with many lines as
     several files: lines are dealt by run and stage line, so no task writes a whole run.
+    ``compression`` is that of the text files, which are read back with it by their names.
     """
     task = F.struct(
         *[F.col(v).alias(k) for k, v in TASK_COLUMNS.items()],
         (F.array_position(F.array(*[F.lit(m) for m in READ_METHODS]), F.col("input_source")) - 1).cast("int").alias("inputSource"),
     )
     key = ["run", "stage", "attempt"]
+    dealt = lambda col: F.pmod(F.xxhash64(col), F.ceil(F.greatest("task_count", F.lit(1)) / tasks_per_line))
     chunks = (
-        tasks.join(stages.select(*key, "task_count"), key)
-        .withColumn("_chunk", F.pmod(F.xxhash64("task_id"), F.ceil(F.greatest("task_count", F.lit(1)) / tasks_per_line)))
+        tasks.join(stages.select(*key, "task_count"), key).withColumn("_chunk", dealt("task_id"))
         .groupBy(*key, "_chunk").agg(F.collect_list(task).alias("tasks"))
     )
-    bodies = stages.join(chunks, key, "left").select(
+    # a stage of one line meets its tasks by all that they are grouped by, so they are not moved for that
+    one_line = lambda rows: rows.withColumn("_chunk", dealt("stage")).join(chunks, [*key, "_chunk"], "left")
+    several = stages.filter(F.col("task_count") > tasks_per_line).select(*key).distinct()
+    if several.isEmpty():
+        met, counted = one_line(stages), stages.select("run")
+    else:
+        single, many = stages.join(several, key, "left_anti"), stages.join(several, key, "left_semi")
+        met = one_line(single).unionByName(many.join(chunks, key, "left"))
+        # only these need their tasks to be counted
+        counted = single.select("run").unionByName(many.join(chunks.select(*key, "_chunk"), key, "left").select("run"))
+    bodies = met.select(
         "run", F.xxhash64("stage", "attempt", "_chunk").alias("_deal"), F.to_json(F.struct(
             F.col("stage").alias("stageId"), F.col("attempt").alias("stageAttemptId"), "name", F.col("task_count").alias("taskCount"),
             F.col("start").alias("startTime"), F.col("completion").alias("completionTime"), "failed", F.col("job").alias("jobId"), "tasks",
@@ -96,7 +107,7 @@ def write_run_reports(runs: DataFrame, stages: DataFrame, tasks: DataFrame, fold
         F.col("workload").alias("name"), F.col("run").cast("string").alias("id"), F.lit("1").alias("attempId"), "start", "end",
         F.col("variant").alias("barrier"),
     )).alias("value"))
-    counts = bodies.groupBy("run").agg(F.count(F.lit(1)).alias("n")).select("run", F.lit(0).cast("bigint").alias("_deal"), F.col("n").cast("string").alias("value"))
+    counts = counted.groupBy("run").agg(F.count(F.lit(1)).alias("n")).select("run", F.lit(0).cast("bigint").alias("_deal"), F.col("n").cast("string").alias("value"))
     # so many files a run as its lines fill; the first file has the head
     files = counts.select("run", F.ceil(F.col("value").cast("bigint") / LINES_PER_FILE).alias("_files"))
     lines = heads.unionByName(counts).unionByName(bodies).join(files, "run", "left")
@@ -104,5 +115,5 @@ def write_run_reports(runs: DataFrame, stages: DataFrame, tasks: DataFrame, fold
     (
         lines.withColumn("run_id", F.col("run")).withColumn("_part", part)
         .repartition("run_id", "_part").sortWithinPartitions("run_id", "_deal")
-        .select("run_id", "value").write.mode("overwrite").partitionBy("run_id").text(folder)
+        .select("run_id", "value").write.mode("overwrite").option("compression", compression).partitionBy("run_id").text(folder)
     )
