@@ -13,16 +13,16 @@ the threshold are left out before any comparison (a sketch tells which shingles;
 call a lone one shared, which only weakens the bound).
 
 In each bucket one node leads: the one whose buckets hold the most nodes, which stands in
-the middle of its copies. The others are compared with it, unless they are in its
-group already, and links bring groups together. What stays apart meets in finer buckets:
-every candidate carries ``MARKS`` further draws, and a round deals the nodes of buckets that
-are not done by ``FINER_KEYS`` random sets of them, larger sets in later rounds, with a
-random member of a bucket's highest group as its leader, until a round at the finest
-level finds no link. So a round makes at most one pair per (node, key), however large a
-set of copies is and whatever it is made of; all pairs of a bucket are never listed. Pairs
-whose marks agree so seldom that a pair at the threshold would do so once in some ten
-thousand times (``ODDS`` standard deviations) are not compared. Groups only save
-comparisons; classes are the connected components of all links found.
+the middle of its copies. The others are compared with it, unless their marks (``MARKS``
+further draws) agree so seldom that a link is unlikely, and links bring groups together.
+Then every bucket that still holds several groups is compared in full: all pairs of two
+groups, whatever their marks say, but none within a group. Its members are dealt to parts
+of at most about ``PART_ROWS`` texts and ``PART_WORDS`` words; a task takes two parts, gets
+all their similarities as a product of matrices, and gives back only links that join groups,
+so pairs are never rows. Parts within the leader's group do not meet: what is dealt grows
+with the members in that group times the parts outside of it, and the square of the latter.
+So no pair that shares a bucket and meets the threshold stays in two classes. Classes are
+the connected components of all links found.
 
 Defined cases: null texts are empty; texts with the same words (so also all empty ones)
 are one class; texts shorter than a shingle are one shingle of all their words; a null id
@@ -52,9 +52,9 @@ FREQUENCY_BITS = 20
 FULL_WEIGHT, PRIOR = 3, 100
 SHARED_BITS, SHARED_ROWS = 26, 2
 SLACK = 1e-6  # of rounding, between a bound and an exact similarity
-MARKS, FINER_KEYS = 64, 12
-LEVELS = (5, 8, 11)  # draws in a key of the finer rounds; the last level is repeated
-ODDS = 3.7
+MARKS, ODDS = 64, 3.7
+PART_ROWS, PART_WORDS = 1 << 9, 1 << 19
+COLUMNS = 1 << 12  # of a matrix of shingles
 BLOCK = 1 << 10  # shingles drawn from at once
 REMEMBERED = 32
 
@@ -225,24 +225,9 @@ def masses(texts: DataFrame, weights, size: int) -> DataFrame:
     return hashed.mapInArrow(measure, "node bigint, mass double, common double, marks binary")
 
 
-def finer_keys(nodes: DataFrame, level: int, seed: int) -> DataFrame:
-    """``(key, node)``: each node under ``FINER_KEYS`` hashes of ``level`` of its marks."""
-    sets = np.array([np.random.default_rng((seed, k)).choice(MARKS, level, replace=False) for k in range(FINER_KEYS)])
-
-    def deal(batches):
-        for batch in batches:
-            marks = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, MARKS)
-            keys = np.repeat(np.arange(FINER_KEYS, dtype=np.uint64)[None, :] + np.uint64(seed << 8), len(marks), axis=0)
-            for r in range(level):
-                keys = mix(keys ^ marks[:, sets[:, r]].astype(np.uint64), r + 1)
-            nodes_ = np.repeat(batch.column(0).to_numpy(), FINER_KEYS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(nodes_)], ["key", "node"])
-
-    return nodes.select("node", "marks").mapInArrow(deal, "key bigint, node bigint")
-
-
 def promising(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose marks agree as often as those of a pair at the threshold may."""
+    """Pairs whose marks agree as often as those of a pair at the threshold may. It only
+    chooses what is compared first; what it leaves out meets in :func:`links_apart`."""
     least = int(MARKS * threshold - ODDS * math.sqrt(MARKS * threshold * (1 - threshold)))
 
     def sift(batches):
@@ -312,8 +297,117 @@ def brought_together(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return cut_lineage(out.select(*nodes.columns))
 
 
+def shared_weights(sets: list[tuple[np.ndarray, np.ndarray, np.ndarray]], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The weight that each of ``left`` shares with each of ``right``; both number ``sets``,
+    which hold shingles, how often each occurs, and the weight of one occurrence.
+
+    Each further occurrence is an element of its own, so that the smaller of two weights is
+    the weight of the elements in both. Elements held by the same texts are one column.
+    """
+    further = [np.repeat(np.arange(len(times)), times - 1) for _, times, _ in sets]
+    nth = [np.arange(len(at)) - np.searchsorted(at, at) + 1 for at in further]
+    ids = np.concatenate([part for (found, _, _), at, k in zip(sets, further, nth) for part in (found, mix(found[at] ^ mix(k, 11), 12))])
+    weights = np.concatenate([part for (_, _, one), at in zip(sets, further) for part in (one, one[at])]).astype(np.float64)
+    owners = np.repeat(np.arange(len(sets)), [len(found) + len(at) for (found, _, _), at in zip(sets, further)])
+    order = np.argsort(ids, kind="stable")
+    ids, weights, owners = ids[order], weights[order], owners[order]
+    start = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    holders = np.diff(np.concatenate([start, [len(ids)]]))
+    _, first, kind = np.unique(np.add.reduceat(mix(owners, 13), start), return_index=True, return_inverse=True)
+    total = np.bincount(kind, weights[start])
+    first, total = first[holders[first] > 1], total[holders[first] > 1]
+    out = np.zeros((len(left), len(right)))
+    for at in range(0, len(first), COLUMNS):
+        some = first[at:at + COLUMNS]
+        held = np.zeros((len(sets), len(some)))
+        column = np.repeat(np.arange(len(some)), holders[some])
+        place = np.arange(len(column)) - np.repeat(np.cumsum(holders[some]) - holders[some], holders[some])
+        held[owners[start[some][column] + place], column] = 1
+        out += (held[left] * total[at:at + COLUMNS]) @ held[right].T
+    return out
+
+
+def joining_links(sets: list[tuple[np.ndarray, np.ndarray, np.ndarray]], groups: np.ndarray, second: np.ndarray, within: bool, threshold: float) -> list[tuple[int, int]]:
+    """Links that join all groups with a pair at the threshold: of one text of the first
+    part and one of the ``second``, or also of two of the second if ``within``."""
+    right = np.flatnonzero(second)
+    left = np.arange(len(sets)) if within else np.flatnonzero(~second)
+    apart = (groups[left][:, None] != groups[right]) & (~second[left][:, None] | (left[:, None] < right))
+    if not apart.any():
+        return []
+    whole = [one * times.astype(np.float32) for _, times, one in sets]
+    mass = np.array([w.sum(dtype=np.float64) for w in whole])
+    low = shared_weights(sets, left, right)
+    alike = low / (mass[left][:, None] + mass[right] - low)
+    a, b = np.nonzero(apart & (alike >= threshold - SLACK))
+    sure = alike[a, b] >= threshold + SLACK
+    a, b = left[a], right[b]
+    # one pair of each two groups will do where rounding cannot matter
+    _, one = np.unique(np.stack([groups[a[sure]], groups[b[sure]]]), axis=1, return_index=True)
+    pairs = [(x, y, True) for x, y in zip(a[sure][one], b[sure][one])] + [(x, y, False) for x, y in zip(a[~sure], b[~sure])]
+    up: dict[int, int] = {}
+
+    def top(g):
+        while g in up:
+            g = up[g]
+        return g
+
+    links = []
+    for x, y, known in pairs:
+        g, h = top(groups[x]), top(groups[y])
+        if g != h and (known or weighted_jaccard((sets[x][0], whole[x]), (sets[y][0], whole[y])) >= threshold):
+            up[g] = h
+            links.append((x, y))
+    return links
+
+
+def dealt_parts(members: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(key, mixed, a, b, node, group, second, h)``: the members of buckets of several
+    groups, dealt so that any two of different groups meet. ``mixed`` deals bring part ``a``
+    of the leader's group and part ``b`` of the others; the rest parts ``a < b`` of the others."""
+    rows = members.join(nodes.select("node", "group"), "node")
+    several = rows.groupBy("key").agg(F.max("group").alias("of"), F.min("group").alias("low")).filter("of != low").select("key", "of")
+    rows = rows.join(several, "key").select("key", "node", (-F.col("group.by")).alias("group"), (F.col("group") == F.col("of")).alias("inside"))
+    rows = cut_lineage(rows)
+    hashed = texts.join(rows.select("node").distinct(), "node", "left_semi").select("node", _word_hashes(F.col(TEXT)).alias("h"))
+    rows = cut_lineage(rows.join(hashed.withColumn("n_words", F.size("h")), "node"))
+    parts = lambda side: F.greatest(
+        F.ceil(F.count_if(side) / PART_ROWS), F.ceil(F.sum(F.when(side, F.col("n_words")).otherwise(0)) / PART_WORDS)).cast("int")
+    sizes = rows.groupBy("key").agg(parts(F.col("inside")).alias("n_in"), parts(~F.col("inside")).alias("n_out"))
+    own = F.pmod(F.xxhash64("node", "key"), F.when(F.col("inside"), F.col("n_in")).otherwise(F.col("n_out"))).cast("int")
+    rows = rows.join(sizes, "key").withColumn("own", own)
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    deal = lambda mixed, a, b, second: F.struct(F.lit(mixed).alias("mixed"), a.alias("a"), b.alias("b"), second.alias("second"))
+    inner = F.transform(upto("n_out"), lambda k: deal(True, F.col("own"), k, F.lit(False)))
+    outer = F.transform(upto("n_in"), lambda k: deal(True, k, F.col("own"), F.lit(True)))
+    others = F.filter(upto("n_out"), lambda k: k != F.col("own"))
+    others = F.transform(others, lambda k: deal(False, F.least(k, "own"), F.greatest(k, "own"), F.col("own") > k))
+    dealt = rows.select("key", "node", "group", "h", F.inline(F.when(F.col("inside"), inner).otherwise(F.concat(outer, others))))
+    return dealt.select("key", "mixed", "a", "b", "node", "group", "second", "h")
+
+
+def links_apart(members: DataFrame, nodes: DataFrame, texts: DataFrame, weights, size: int, threshold: float) -> DataFrame:
+    """``(leader, node)`` links that join all groups with a pair at the threshold in a bucket."""
+
+    def link(key, table):
+        table = table.combine_chunks()
+        sets = []
+        for batch in table.select(["h"]).to_batches():
+            for _, h in _texts(batch, 0):
+                found, times = shingles(h, size)
+                sets.append((found, times, weigh(weights.value, found, np.ones(len(found), np.int64))))
+        nodes_, groups = table["node"].to_numpy(), table["group"].to_numpy()
+        second = table["second"].to_numpy()
+        links = joining_links(sets, groups, second, key[1].as_py() and key[2].as_py() == 0, threshold)
+        a, b = (nodes_[np.array([pair[k] for pair in links], np.int64)] for k in (0, 1))
+        return pa.table({"leader": pa.array(a, pa.int64()), "node": pa.array(b, pa.int64())})
+
+    dealt = dealt_parts(members, nodes, texts)
+    return dealt.groupBy("key", "mixed", "a", "b").applyInArrow(link, "leader bigint, node bigint")
+
+
 def bucket_links(members: DataFrame, nodes: DataFrame, texts: DataFrame, weights, size: int, threshold: float) -> DataFrame | None:
-    """``(leader, node)`` links that join all that are alike; None if nothing shares a bucket.
+    """``(leader, node)`` links that join all that are alike; None if there are none.
 
     ``members`` are (key, node); ``nodes`` have mass, common and marks of each.
     """
@@ -322,46 +416,23 @@ def bucket_links(members: DataFrame, nodes: DataFrame, texts: DataFrame, weights
     middle = members.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("crowd"))
     # groups are named by their highest node
     place = F.struct("crowd", (-F.col("node")).alias("by"))
-    nodes = cut_lineage(nodes.join(middle, "node").withColumns({"place": place, "group": place}).drop("crowd"))
-    compared = links = None
-    rounds = 0
-    while True:
-        # first the middle of a bucket leads, later any one of its largest group
-        rank = F.xxhash64("key", "node") if rounds else F.col("place")
-        rows = members.join(nodes.select("node", "group", "place"), "node").select("key", "node", "group", rank.alias("rank"))
-        leaders = rows.groupBy("key").agg(F.max(F.struct("group", "rank", "node")).alias("l"), F.min("group").alias("low"))
-        leaders = leaders.filter(F.col("low") != F.col("l.group")).select("key", F.col("l.node").alias("leader"), F.col("l.group").alias("of"))
-        pairs = rows.join(leaders, "key").filter(F.col("of") != F.col("group"))
-        # one pair under many keys is one pair, whichever of the two leads
-        low, high = F.least("leader", "node"), F.greatest("leader", "node")
-        pairs = pairs.groupBy(low.alias("low"), high.alias("high")).agg(F.min("leader").alias("leader"))
-        if compared is not None:
-            pairs = pairs.join(compared, ["low", "high"], "left_anti")
-        pairs = pairs.select("leader", (F.col("low") + F.col("high") - F.col("leader")).alias("node"))
-        known = nodes.select("node", "mass", "common", "marks")
-        lead = known.select(F.col("node").alias("leader"), F.col("mass").alias("lead_mass"), F.col("common").alias("lead_common"), F.col("marks").alias("lead_marks"))
-        possible = most_alike(F.col("mass"), F.col("common"), F.col("lead_mass"), F.col("lead_common")) >= threshold - SLACK
-        pairs = cut_lineage(promising(pairs.join(known, "node").join(lead, "leader").filter(possible), threshold))
-        linked = False
-        if not pairs.isEmpty():
-            found = cut_lineage(compare(pairs, texts, weights, size))
-            new = found.filter(F.col("similarity") >= threshold).select("leader", "node")
-            done = found.select(F.least("leader", "node").alias("low"), F.greatest("leader", "node").alias("high"))
-            compared = done if compared is None else compared.unionByName(done)
-            linked = not new.isEmpty()
-            if linked:
-                links = new if links is None else links.unionByName(new)
-                nodes = brought_together(nodes, new)
-        if rounds >= len(LEVELS) and not linked:
-            return links
-        # nodes of buckets that still hold several groups go on
-        split = members.join(nodes.select("node", "group"), "node").groupBy("key").agg(F.min("group").alias("a"), F.max("group").alias("b"))
-        apart = members.join(split.filter("a != b").select("key"), "key", "left_semi").select("node").distinct()
-        still = cut_lineage(nodes.join(apart, "node", "left_semi"))
-        if still.isEmpty():
-            return links
-        rounds += 1
-        members = cut_lineage(finer_keys(still, LEVELS[min(rounds, len(LEVELS)) - 1], rounds))
+    nodes = cut_lineage(nodes.join(middle, "node").withColumn("group", place).drop("crowd"))
+    rows = members.join(nodes.select("node", "group"), "node")
+    leaders = rows.groupBy("key").agg(F.max(F.struct("group", "node")).alias("l")).select("key", F.col("l.node").alias("leader"))
+    pairs = rows.join(leaders, "key").filter(F.col("leader") != F.col("node"))
+    # one pair under many keys is one pair, whichever of the two leads
+    low, high = F.least("leader", "node"), F.greatest("leader", "node")
+    pairs = pairs.groupBy(low.alias("low"), high.alias("high")).agg(F.min("leader").alias("leader"))
+    pairs = pairs.select("leader", (F.col("low") + F.col("high") - F.col("leader")).alias("node"))
+    known = nodes.select("node", "mass", "common", "marks")
+    lead = known.select(F.col("node").alias("leader"), F.col("mass").alias("lead_mass"), F.col("common").alias("lead_common"), F.col("marks").alias("lead_marks"))
+    possible = most_alike(F.col("mass"), F.col("common"), F.col("lead_mass"), F.col("lead_common")) >= threshold - SLACK
+    pairs = cut_lineage(promising(pairs.join(known, "node").join(lead, "leader").filter(possible), threshold))
+    links = cut_lineage(compare(pairs, texts, weights, size).filter(F.col("similarity") >= threshold).select("leader", "node"))
+    if not links.isEmpty():
+        nodes = brought_together(nodes, links)
+    links = links.unionByName(cut_lineage(links_apart(members, nodes, texts, weights, size, threshold)))
+    return None if links.isEmpty() else links
 
 
 def near_classes(rows: DataFrame, threshold: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
