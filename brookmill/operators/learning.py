@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .sampling import sample_with_replacement
 
 SVM_PENALTY = 0.01
+PAIR_ROWS = 1 << 18  # ratings in one partition of pairs
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -250,8 +251,19 @@ def factorise(ratings: DataFrame, rank: int, iters: int, reg: float = 0.01, seed
     return model.transform(ratings).withColumn("prediction", F.col("prediction").cast("double"))
 
 
+def by_pair(ratings: DataFrame) -> DataFrame:
+    """``ratings`` placed by (user, product), about ``PAIR_ROWS`` in a partition.
+
+    What groups or joins by pair behind it moves nothing again, and its tasks hold as many
+    rows however large the table is; adaptive plans would fill a task up to a size on disk.
+    """
+    parts = max(ratings.sparkSession.sparkContext.defaultParallelism, -(-ratings.count() // PAIR_ROWS))
+    return ratings.repartition(parts, "user", "product")
+
+
 def join_predictions(actual: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Join on the composite key; ``predicted`` is made unique per pair first."""
+    """Join on the composite key; ``predicted`` is made unique per pair first. Place large
+    inputs with :func:`by_pair`."""
     return actual.join(predicted.dropDuplicates(["user", "product"]), ["user", "product"])
 
 
