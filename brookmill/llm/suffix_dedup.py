@@ -15,7 +15,8 @@ would hold a record per byte, so it is made in parts that cannot miss a repeat:
   the suffix of each segment's start is sorted: where it agrees with a neighbour in the
   sorted order for ``window`` bytes or more, the windows up to there are repeats. Then the
   suffixes of all windows are sorted where any is left, one of equal segments standing for
-  all.
+  all. Windows that begin alike are sorted together, a bounded number (``PART``) at once;
+  where more begin alike, further bytes tell them apart.
 * Copies of a segment inside one batch of a task are settled there, and one is sent on, so
   a passage that stands in a large part of the corpus is a record per batch. What still
   is too large a group for one task (``HEAVY_BYTES``) is told apart by digests of whole
@@ -48,8 +49,9 @@ from .sketches import mix, repeated, seen_twice
 WINDOW, GRAM = 200, 64
 SKETCH_BITS, SKETCH_ROWS = 26, 2
 BLOCK = 1 << 19  # bytes of text worked on at once
-CHUNK = 1 << 21  # bytes of segments sorted at once, unless one group is larger
-HEAVY_BYTES = 1 << 25
+CHUNK = 1 << 20  # bytes of segments sorted at once, unless one group is larger
+HEAVY_BYTES = 1 << 22
+PART = 1 << 17  # windows sorted at once
 _TABLE = mix(np.arange(256), 41)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -73,7 +75,7 @@ class Prefixes:
 
     def __init__(self, data: np.ndarray, seed: int = 0):
         up, down = powers(len(data) + 1, seed)
-        self.data, self.down = data, down
+        self.data, self.down, self.seed = data, down, seed
         self.sums = np.zeros(len(data) + 1, np.uint64)
         with np.errstate(over="ignore"):
             np.cumsum(_TABLE[data] * up[:len(data)], out=self.sums[1:])
@@ -158,22 +160,26 @@ def neighbours(text: Prefixes, at: np.ndarray, size: np.ndarray, group: np.ndarr
     found = text.common(at[a], at[b], np.minimum(size[a], size[b]))
     agree[same] = found
     raw = text.data.tobytes()
-    for p, m, q, n, k in zip(at[a].tolist(), size[a].tolist(), at[b].tolist(), size[b].tolist(), found.tolist()):
-        left, right = raw[p:p + m], raw[q:q + n]
-        if left > right or left[:k] != right[:k] or left[k:k + 1] == right[k:k + 1] != b"":
-            return None
+    for low in range(0, len(a), 1 << 14):
+        some = slice(low, low + (1 << 14))
+        x, y = a[some], b[some]
+        for p, m, q, n, k in zip(at[x].tolist(), size[x].tolist(), at[y].tolist(), size[y].tolist(), found[some].tolist()):
+            left, right = raw[p:p + m], raw[q:q + n]
+            if left > right or left[:k] != right[:k] or left[k:k + 1] == right[k:k + 1] != b"":
+                return None
     return agree
 
 
-def _sorted(data: np.ndarray, at: np.ndarray, size: np.ndarray, group: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """A verified order and the agreement of neighbours, under the first base that holds."""
+def _sorted(data: np.ndarray, at: np.ndarray, size: np.ndarray, group: np.ndarray, text: Prefixes | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A verified order and the agreement of neighbours, under the first base that holds.
+    ``text``: the hashes of the bytes, if they are known."""
+    text = text or Prefixes(data)
     while True:
-        text = Prefixes(data, seed)
         order = suffix_sort(text, at, size, group)
         agree = neighbours(text, at, size, group, order)
         if agree is not None:
             return order, agree
-        seed += 1
+        text = Prefixes(data, text.seed + 1)
 
 
 def _best(order: np.ndarray, agree: np.ndarray) -> np.ndarray:
@@ -183,13 +189,48 @@ def _best(order: np.ndarray, agree: np.ndarray) -> np.ndarray:
     return best
 
 
+def alike(data: np.ndarray, at: np.ndarray, group: np.ndarray, window: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """``(windows, part)``: windows that begin like another one of their part, with at most
+    ``most`` in a part and twice as many at once. Parts that are larger are told apart by
+    further bytes; windows that agree in all of them come without a part."""
+    open_ = [(np.arange(len(at), dtype=np.int32), 0)]
+    while open_:
+        which, depth = open_.pop()
+        head = np.zeros(len(which), np.uint64)
+        for k in range(depth, min(depth + 8, window)):
+            head = head << np.uint64(8) | data[at[which] + k]
+        by = np.lexsort((head, group[which])) if not depth else np.argsort(head, kind="stable")
+        which, head = which[by], head[by]
+        new = head[1:] != head[:-1]
+        if not depth:
+            new |= group[which[1:]] != group[which[:-1]]
+        first = np.flatnonzero(np.r_[True, new])
+        n = np.diff(np.r_[first, len(which)])
+        for k in np.flatnonzero(n > most).tolist():
+            rest = which[first[k]:first[k] + n[k]].copy()
+            if depth + 8 < window:
+                open_.append((rest, depth + 8))
+            else:
+                yield rest, None
+        fits = (n > 1) & (n <= most)
+        which, n = which[np.repeat(fits, n)], n[fits]
+        total = np.cumsum(n)
+        low = 0
+        while low < len(n):
+            done = total[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(total, done + most, "right")))
+            yield which[done:total[high - 1]], np.repeat(np.arange(high - low), n[low:high])
+            low = high
+
+
 def repeats(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stretches (segment, from, to) of segments that are covered by repeated windows.
 
     ``group`` is sorted; windows are compared inside their group only.
     """
     at, size = offsets[:-1], np.diff(offsets)
-    order, agree = _sorted(data, at, size, group)
+    text = Prefixes(data)
+    order, agree = _sorted(data, at, size, group, text)
     best = _best(order, agree)
     whole = np.flatnonzero(best >= window)
     found = [(whole, np.zeros(len(whole), np.int64), best[whole])]
@@ -202,23 +243,20 @@ def repeats(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, window: in
     several = np.zeros(len(at), bool)
     several[open_ & ~copies] = True
     each = np.where(several, size - window + 1, 0)
-    of = np.repeat(np.arange(len(at)), each)
-    start = np.arange(len(of)) - np.repeat(np.r_[0, np.cumsum(each)[:-1]], each)
-    if len(of):
-        # windows that begin with the same eight bytes are a group of their own
-        head = np.zeros(len(of), np.uint64)
-        for k in range(8):
-            head = head << np.uint64(8) | data[at[of] + start + k]
-        by = np.lexsort((head, group[of]))
-        new = np.r_[False, (head[by][1:] != head[by][:-1]) | (group[of][by][1:] != group[of][by][:-1])]
-        inner = np.empty(len(of), np.int64)
-        inner[by] = np.cumsum(new)
-        twice = np.bincount(inner)[inner] > 1
-        of, start, inner = of[twice], start[twice], inner[twice]
-    if len(of):
-        order, agree = _sorted(data, at[of] + start, np.full(len(of), window), inner)
-        hit = np.flatnonzero(_best(order, agree) >= window)
-        found.append((of[hit], start[hit], start[hit] + window))
+    of = np.repeat(np.arange(len(at), dtype=np.int32), each)
+    place = np.arange(len(of)) + np.repeat(at - np.r_[0, np.cumsum(each)[:-1]], each)
+    hit = np.zeros(len(of), bool)
+    for which, part in alike(data, place, group[of], window, PART) if len(of) else ():
+        if part is None:
+            hit[which] = True
+            continue
+        order, agree = _sorted(data, place[which], np.full(len(which), window), part, text)
+        hit[which[_best(order, agree) >= window]] = True
+    of, start = of[hit], place[hit] - at[of[hit]]
+    if len(of):  # they ascend
+        new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (start[1:] > start[:-1] + window)])
+        last = np.r_[new[1:], len(of)] - 1
+        found.append((of[new].astype(np.int64), start[new], start[last] + window))
     return united(*(np.concatenate(x) for x in zip(*found)))
 
 
@@ -366,7 +404,7 @@ def covered(found: DataFrame, window: int, heavy_bytes: int = HEAVY_BYTES) -> Da
         spans.append(windows.join(often, "digest").select(ID, HASH, "low", (F.col("low") + window).alias("high")))
 
     def settle(batches):
-        held, held_bytes, held_rows_ = [], 0, 0
+        held, held_bytes = [], 0
 
         def solve(batch: pa.RecordBatch):
             data = batch.column(batch.schema.get_field_index("data"))
@@ -379,23 +417,23 @@ def covered(found: DataFrame, window: int, heavy_bytes: int = HEAVY_BYTES) -> Da
         def joined():
             return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
+        last = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             grams = batch.column(3).to_numpy()
-            cuts = np.flatnonzero(grams[1:] != grams[:-1]) + 1
-            weight = np.cumsum(pc.binary_length(batch.column(4)).to_numpy()) if batch.num_rows else np.zeros(0)
+            ends = np.r_[0, np.cumsum(pc.binary_length(batch.column(4)).to_numpy())]
+            edges = np.flatnonzero(np.r_[grams[0] != last, grams[1:] != grams[:-1]])
             start = 0
-            if held and batch.num_rows and held_bytes > CHUNK and grams[0] != held[-1].column(3)[-1].as_py():
-                yield solve(joined())
-                held, held_bytes = [], 0
-            for cut in cuts:
-                part = int(weight[cut - 1] - (weight[start - 1] if start else 0))
-                if held_bytes + part > CHUNK:
-                    held.append(batch.slice(start, cut - start))
+            for edge, stop in zip(edges.tolist(), [*edges[1:].tolist(), batch.num_rows]):
+                if held_bytes + ends[stop] - ends[start] > CHUNK and (held or edge > start):
+                    if edge > start:
+                        held.append(batch.slice(start, edge - start))
                     yield solve(joined())
-                    held, held_bytes, start = [], 0, cut
-            if start < batch.num_rows:
-                held.append(batch.slice(start))
-                held_bytes += int(weight[-1] - (weight[start - 1] if start else 0))
+                    held, held_bytes, start = [], 0, edge
+            held.append(batch.slice(start))
+            held_bytes += int(ends[-1] - ends[start])
+            last = grams[-1]
         if held:
             yield solve(joined())
 

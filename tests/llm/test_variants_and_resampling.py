@@ -241,3 +241,29 @@ def test_suffix_sort_is_a_sort_and_survives_collisions(monkeypatch):
     order = sd.suffix_sort(text, offsets[:-1], np.diff(offsets), group)
     assert sd.neighbours(text, offsets[:-1], np.diff(offsets), group, order) is None
     check(*sd._sorted(data, offsets[:-1], np.diff(offsets), group))
+
+
+@pytest.mark.parametrize("text", ["ab" * 40 + "c", "x" * 50, "abcdefghij" * 6 + "k"])
+def test_windows_of_a_large_group_are_sorted_in_parts(monkeypatch, text):
+    window, most, seen = 20, 64, []
+    sort = sd.suffix_sort
+    monkeypatch.setattr(sd, "suffix_sort", lambda t, at, *rest: seen.append(len(at)) or sort(t, at, *rest))
+    monkeypatch.setattr(sd, "PART", most)
+    rng = random.Random(4)
+    parts = [(text[k % 7:] + "".join(rng.choice("uvw") for _ in range(k % 30 + 1))).encode() for k in range(40)]
+    parts.append("".join(rng.choice("0123456789") for _ in range(90)).encode())
+    offsets = np.r_[0, np.cumsum([len(p) for p in parts])]
+    of, low, high = sd.repeats(np.frombuffer(b"".join(parts), np.uint8), offsets, np.zeros(len(parts), np.int64), window)
+    got = [set() for _ in parts]
+    for k, a, b in zip(of.tolist(), low.tolist(), high.tolist()):
+        got[k].update(range(a, b))
+    places = {}
+    for k, p in enumerate(parts):
+        for s in range(len(p) - window + 1):
+            places.setdefault(p[s:s + window], []).append((k, s))
+    want = [set() for _ in parts]
+    for held in places.values():
+        for k, s in held if len(held) > 1 else ():
+            want[k].update(range(s, s + window))
+    assert got == want and not got[-1]
+    assert max(seen) <= 2 * most and sum(len(p) for p in parts) > 10 * most
