@@ -39,6 +39,9 @@ CAPACITY, END_ID = 4096, 1
 MEMO_WORDS = 300_000  # words a worker remembers the ids of
 SLICE_BYTES = 12 << 20  # of text tokenised at once
 ENCODED_AT_ONCE = 4_096  # words whose encodings are held
+WORDS_A_CALL = 128  # plain words of one encoding
+PLAIN = r"^[\x21-\x7E]+$"  # words that keep their number of bytes when they are normalised
+SUFFIX = "</w>"
 BUCKET_ROWS = 65_536
 
 
@@ -52,6 +55,10 @@ def _worker_state(path: str):
         from tokenizers import Tokenizer
 
         state.path, state.tokenizer = path, Tokenizer.from_file(path)
+        vocabulary = state.tokenizer.get_vocab(with_added_tokens=True)
+        state.bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # of each token
+        for token, i in vocabulary.items():
+            state.bytes[i] = len(token.removesuffix(SUFFIX))
         state.words, state.ids, state.ends = pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(1, np.int64)
     return state
 
@@ -64,17 +71,42 @@ def _ragged(ids: np.ndarray, ends: np.ndarray, pick: np.ndarray) -> tuple[np.nda
     return ids[at], sizes
 
 
+def _ids_of_each(state, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words end to end, and the number of each word's ids; a word is a call."""
+    lists = [e.ids for e in state.tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
+    return np.fromiter((i for ids in lists for i in ids), np.int32), np.array([len(ids) for ids in lists], np.int64)
+
+
+def _ids_of_plain(state, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`_ids_of_each`, many words a call: no token goes over a blank, so the bytes
+    of words and tokens tell where a word's ids end."""
+    texts = words.to_pylist()
+    calls = [" ".join(texts[k:k + WORDS_A_CALL]) for k in range(0, len(texts), WORDS_A_CALL)]
+    found = state.tokenizer.encode_batch_fast(calls, add_special_tokens=False)
+    ids = np.concatenate([np.array(e.ids, np.int32) for e in found])
+    word_ends, token_ends = np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64)), np.cumsum(state.bytes[ids])
+    last = np.searchsorted(token_ends, word_ends)
+    if len(ids) and token_ends[-1] == word_ends[-1] and (token_ends[last] == word_ends).all():
+        return ids, np.diff(np.r_[-1, last])
+    return _ids_of_each(state, words)
+
+
 def _encode(state, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of distinct words as a ragged table."""
     known = pc.index_in(words, value_set=state.words).to_numpy(zero_copy_only=False) if len(state.words) else np.full(len(words), np.nan)
     new = np.flatnonzero(np.isnan(known.astype(float)))
     fresh = words.take(pa.array(new))
-    lists = [
-        e.ids for at in range(0, len(fresh), ENCODED_AT_ONCE)
-        for e in state.tokenizer.encode_batch_fast(fresh.slice(at, ENCODED_AT_ONCE).to_pylist(), add_special_tokens=False)
-    ]
-    fresh_ids = np.fromiter((i for ids in lists for i in ids), np.int32)
-    fresh_ends = np.r_[0, np.cumsum([len(ids) for ids in lists], dtype=np.int64)].astype(np.int64)
+    plain = pc.match_substring_regex(fresh, PLAIN).to_numpy(zero_copy_only=False).astype(bool)
+    new = np.r_[new[plain], new[~plain]]
+    fresh, n_plain = words.take(pa.array(new)), int(plain.sum())
+    lists, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for part, read in ((fresh.slice(0, n_plain), _ids_of_plain), (fresh.slice(n_plain), _ids_of_each)):
+        for at in range(0, len(part), ENCODED_AT_ONCE):
+            some, n = read(state, part.slice(at, ENCODED_AT_ONCE))
+            lists.append(some)
+            sizes.append(n)
+    fresh_ids = np.concatenate(lists)
+    fresh_ends = np.r_[0, np.cumsum(np.concatenate(sizes))].astype(np.int64)
     ids, ends = np.concatenate([state.ids, fresh_ids]), np.concatenate([state.ends, state.ends[-1] + fresh_ends[1:]])
     row = np.where(np.isnan(known.astype(float)), 0, known).astype(np.int64)
     row[new] = len(state.words) + np.arange(len(new))

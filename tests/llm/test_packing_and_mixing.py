@@ -178,3 +178,25 @@ def test_empty_mix(empty):
     assert mixing.mix_sources(empty).count() == 0
     assert mixing.copies(empty).count() == 0
     assert held_rows(empty).count() == 0
+
+
+def test_plain_words_share_encodings():
+    path, rng = vocabulary(), random.Random(8)
+    state = packing._worker_state(path)
+    plain = [f"{rng.choice(['It', 'WE', 'x'])}{rng.choice(chr(39) + '-.3')}{k}ly!" for k in range(3_000)] + ["</w>", "ab</w>c", "<|endoftext|>", "a<|startoftext|>b"]
+    other = ["\u0130", "e\u0301", "H\u0331", "\x1c", "a\x00b", "\uff11\uff12", "\U0001f600", "\u200b", "\u00f1and\u00fa."]
+    words, texts = plain + other, []
+
+    class Counted:
+        def encode_batch_fast(self, some, **options):
+            texts.extend(some)
+            return state.tokenizer.encode_batch_fast(some, **options)
+
+    class State:
+        tokenizer, bytes = Counted(), state.bytes
+        words, ids, ends = pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    ids, sizes = packing._encode(State, pa.array(words))
+    want = [state.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert len(texts) < len(plain) / 50 + len(other)
