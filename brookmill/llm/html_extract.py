@@ -55,9 +55,10 @@ NEVER = set("html body main article".split())
 NO_IDS = set("h1 h2 h3 h4 h5 h6 section p li dt dd td th blockquote figure pre".split())
 PREFERRED = ("article", "main")
 
-# a tag with quotes that do not close ends at the first >, and none goes on over a <
+# quotes stand around a value only behind its =; a tag with quotes that do not close ends
+# at the first >, and none goes on over a < outside of quotes
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][^\s/<>]*+)((?:"[^"]*"|'[^']*'|[^<>"'])*+(?=>)|[^<>]*+)>""", re.S)
+    r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][^\s/<>]*+)((?:=\s*+(?:"[^"]*"|'[^']*')|[^<>])*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
 
