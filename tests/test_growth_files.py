@@ -5,7 +5,7 @@ from pyspark.sql import DataFrameWriter, functions as F
 
 from brookmill.plans import all_queries, telemetry_queries
 from brookmill.session import cut_by_kind
-from brookmill.sources import reports
+from brookmill.sources import eventlog, reports
 
 
 @pytest.mark.parametrize("name", ["run_report_scan", "event_log_scan"])
@@ -80,3 +80,20 @@ def test_a_kind_tells_its_own_size(spark):
     assert kind("few").count() == 5 and kind("many").count() == 19_995
     assert 10 * size(kind("few")) < size(kind("many"))
     assert kind("none").count() == 0 and kind("none").columns == ["x"]
+
+
+def test_event_logs_are_kept_in_two_parts(spark, sf_dir, monkeypatch):
+    kinds = []
+    monkeypatch.setattr(eventlog, "cut_by_kind", lambda df, kind: kinds.append({r[0] for r in df.select(kind).distinct().collect()}) or cut_by_kind(df, kind))
+    assert all_queries()["event_log_scan"](spark, sf_dir).count() > 0
+    assert kinds == [{"task", "other"}]
+
+
+def test_log_of_a_path(spark):
+    want = {
+        "file:/a/log=eventlog_v2_app-1/part-0": "eventlog_v2_app-1", "file:/a/eventlog_v2_x/eventlog_v2_y/z": "eventlog_v2_x",
+        "file:/a/eventlog_v2_part": "file:/a/eventlog_v2_part", "file:/a/b": "file:/a/b", "file:/eventlog_v2_/b": "file:/eventlog_v2_/b",
+        "file:/eventlog_v2_/eventlog_v2_q/b": "eventlog_v2_q",
+    }
+    paths = spark.createDataFrame([(p,) for p in want], "path string")
+    assert {r["path"]: r["log"] for r in paths.select("path", eventlog._log_of(F.col("path")).alias("log")).collect()} == want
